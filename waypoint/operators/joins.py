@@ -1,13 +1,14 @@
-"""Join helpers. No side is broadcast by hint: Spark broadcasts a side only when its size, known
-from statistics or measured at run time, is below ``spark.sql.autoBroadcastJoinThreshold``."""
+"""Join helpers."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MAX_BROADCAST_ROWS = 100_000
+
 
 def match_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner equi-join on keys that may be null; keeps one copy of the keys."""
@@ -18,10 +19,20 @@ def match_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(renamed, condition, "inner").drop(*[f"_r_{k}" for k in keys])
 
 
-def attach_group(df: DataFrame, group: Sequence[str], **aggregates: Column) -> DataFrame:
-    """Add aggregates of a group to its rows by aggregating and joining.
+def join_checked(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    max_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Join with a side expected to be small; broadcast it only if it turns out to be.
 
-    For groups without a bound on their size, where a window would sort a group in one task. The
-    aggregate is combined map-side, and the join is a broadcast or a skew-split sort-merge join.
+    Keys such as the edition or the checkpoint take few values, so shuffling the large side by them
+    would leave most tasks idle, and Spark cannot know the size of a derived table beforehand. The
+    small side is counted up to the bound: within it, it is broadcast; beyond it the join is left to
+    adaptive execution (sort-merge with skewed partitions split).
     """
-    return df.join(df.groupBy(*group).agg(*[c.alias(n) for n, c in aggregates.items()]), list(group))
+    if right.limit(max_rows + 1).count() <= max_rows:
+        right = F.broadcast(right)
+    return left.join(right, list(keys), how)

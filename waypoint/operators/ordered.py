@@ -51,15 +51,23 @@ def slice_offsets(
 
 
 def ordinal_rank(
-    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str | Column],
+    name: str,
+    size: str | None = None,
 ) -> DataFrame:
-    """1-based rank inside ``group`` by ``order``, as ``row_number`` would give it."""
+    """1-based rank inside ``group`` by ``order``, as ``row_number`` would give it.
+
+    ``size`` names a column for the number of rows of the group, which is known on the way.
+    """
     columns = df.columns
     slices = ordered_slices(df, group, order)
     starts = slice_offsets(slices, group, F.count(F.lit(1)), [F.min(ROW).alias("_first")])
-    ranked = match_null_safe(slices, starts.drop("_in_slice", "_in_group"), [*group, SLICE])
+    ranked = match_null_safe(slices, starts.drop("_in_slice"), [*group, SLICE])
     rank = (F.col(ROW) - F.col("_first") + F.col("_before") + 1).cast("long")
-    return ranked.select(*columns, rank.alias(name))
+    sizes = [F.col("_in_group").alias(size)] if size else []
+    return ranked.select(*columns, rank.alias(name), *sizes)
 
 
 def running_sum(
