@@ -76,5 +76,10 @@ def strict_timestamp(text: Column, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
 
 
 def lenient_timestamp(text: Column, pattern: str = "M/d/yy HH:mm") -> Column:
-    """Text → timestamp without zone; malformed text becomes null."""
-    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    """Text → timestamp without zone; malformed text becomes null.
+
+    Two-digit years from 69 on belong to the last century.
+    """
+    parsed = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    century = F.make_ym_interval(F.lit(100))
+    return F.when(F.year(parsed) >= 2069, parsed - century).otherwise(parsed)

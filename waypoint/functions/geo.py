@@ -14,7 +14,12 @@ def haversine_mi(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     chord = F.pow(F.sin(half_lat), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(
         F.radians(lat2)
     ) * F.pow(F.sin(half_lon), F.lit(2))
-    return 2 * EARTH_RADIUS_MI * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
+    return _chord_mi(chord)
+
+
+def _chord_mi(chord: Column) -> Column:
+    # Rounding may carry the chord past 1. ``least`` would turn a null into 1.
+    return 2 * EARTH_RADIUS_MI * F.asin(F.sqrt(F.when(chord > 1, F.lit(1.0)).otherwise(chord)))
 
 
 def box_distance_floor_mi(
@@ -32,4 +37,4 @@ def box_distance_floor_mi(
     chord = F.pow(F.sin(half_lat), F.lit(2)) + F.cos(F.radians(lat)) * flattest * F.pow(
         F.sin(half_lon), F.lit(2)
     )
-    return 2 * EARTH_RADIUS_MI * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
+    return _chord_mi(chord)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypoint.functions.numbers import checkpoint_label
 from waypoint.operators import clock, impute, intervals, reshape, runners
 from waypoint.operators.course import station_crosswalk
 from waypoint.operators.model import by_station_median, station_medians
@@ -25,11 +24,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _clock_text(minutes):
-    return F.concat(
-        F.lpad(F.floor(minutes / 60).cast("string"), 2, "0"),
-        F.lit(":"),
-        F.lpad((minutes % 60).cast("string"), 2, "0"),
+def _clock_text(minutes: str) -> str:
+    return (
+        f"concat(lpad(string(({minutes}) div 60), 2, '0'), ':',"
+        f" lpad(string(({minutes}) % 60), 2, '0'))"
     )
 
 
@@ -40,66 +38,50 @@ def raw_passages(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"))
+        .selectExpr("l_orderkey AS k", "int(l_linenumber) AS cp", "pk", "sk")
     )
-    orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").cast("long").alias("edition")
+    orders = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS k", "bigint(year(o_orderdate)) AS edition"
     )
-    key, cp, pk, sk = F.col("l_orderkey"), F.col("cp"), F.col("pk"), F.col("sk")
-    true_min = 300 + 270 * cp + (37 * key) % 60 + pk % 30
-    arrive_slip = F.when((key % 11 == 0) & (cp == 7), 720).otherwise(0)
-    stop = 2 + sk % 40
+    true_min, stop = "300 + 270 * cp + (37 * k) % 60 + pk % 30", "2 + sk % 40"
+    arrive_slip = "CASE WHEN k % 11 = 0 AND cp = 7 THEN 720 ELSE 0 END"
     depart_slip = (
-        F.when((key % 13 == 0) & (cp == 3), F.lit(720))
-        .when((key % 17 == 0) & (cp == 2), stop + 150)
-        .otherwise(0)
-    )
-    depart = F.when(pk % 5 != 0, _clock_text((1440 + true_min + stop - depart_slip) % 1440))
-    arrive = (
-        F.when(pk % 97 == 0, F.lit("DNF"))
-        .when((pk % 7 == 0) & (pk % 5 != 0), F.lit(None))
-        .otherwise(_clock_text((true_min - arrive_slip) % 1440))
+        "CASE WHEN k % 13 = 0 AND cp = 3 THEN 720"
+        f" WHEN k % 17 = 0 AND cp = 2 THEN {stop} + 150 ELSE 0 END"
     )
-    return (
-        lines.join(orders, "l_orderkey")
-        .withColumn("cp", F.col("l_linenumber").cast("int"))
-        .select(
-            "edition",
-            F.concat(key.cast("string"), F.when(key % 29 == 0, F.lit("*")).otherwise("")).alias(
-                "entity"
-            ),
-            checkpoint_label(cp).alias("checkpoint"),
-            "cp",
-            arrive.alias("arrive_text"),
-            depart.alias("depart_text"),
-            (pk % 50).cast("string").alias("recorded_rank"),
-        )
+    arrive = _clock_text(f"({true_min} - {arrive_slip}) % 1440")
+    depart = _clock_text(f"(1440 + {true_min} + {stop} - {depart_slip}) % 1440")
+    return lines.join(orders, "k").selectExpr(
+        "edition",
+        "concat(string(k), CASE WHEN k % 29 = 0 THEN '*' ELSE '' END) AS entity",
+        "concat('AS_0', string(cp)) AS checkpoint",
+        "cp",
+        "CASE WHEN pk % 97 = 0 THEN 'DNF' WHEN pk % 7 = 0 AND pk % 5 <> 0 THEN NULL"
+        f" ELSE {arrive} END AS arrive_text",
+        f"CASE WHEN pk % 5 <> 0 THEN {depart} END AS depart_text",
+        "string(pk % 50) AS recorded_rank",
     )
 
 
 def wide_sheet(spark: SparkSession, sf: str) -> DataFrame:
     """The passages as recorded: one row per entity, columns ``as01_arr_tod`` and so on."""
-    cells = []
-    for i in range(1, CHECKPOINTS + 1):
-        here = F.col("cp") == i
-        cells += [
-            F.max(F.when(here, F.col(c))).alias(f"as0{i}_{suffix}")
-            for suffix, c in reshape.WIDE_SUFFIXES.items()
-            if not (suffix == "dep_tod" and i == CHECKPOINTS)
-        ]
+    cells = [
+        F.expr(f"max({c}) FILTER (WHERE cp = {i})").alias(f"as0{i}_{suffix}")
+        for i in range(1, CHECKPOINTS + 1)
+        for suffix, c in reshape.WIDE_SUFFIXES.items()
+        if not (suffix == "dep_tod" and i == CHECKPOINTS)
+    ]
     cells.append(F.max("recorded_rank").alias("as01_arr_rank2"))
     return raw_passages(spark, sf).groupBy("edition", "entity").agg(*cells)
 
 
 def editions(spark: SparkSession, sf: str) -> DataFrame:
-    year = F.year("o_orderdate").cast("long").alias("edition")
     return (
         table(spark, sf, "orders")
-        .select(year)
+        .selectExpr("bigint(year(o_orderdate)) AS edition")
         .distinct()
-        .select(
-            "edition",
-            F.concat(F.col("edition").cast("string"), F.lit("-08-10")).alias("start_date"),
-            F.lit("05:00").alias("start_clock"),
+        .selectExpr(
+            "edition", "concat(string(edition), '-08-10') AS start_date", "'05:00' AS start_clock"
         )
     )
 
@@ -110,21 +92,20 @@ def stations(spark: SparkSession, sf: str) -> DataFrame:
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
     """Official results: orders with status ``F``."""
-    hours = 20 + F.col("o_totalprice") / 31250
-    cust = F.col("o_custkey")
+    hours = "20 + o_totalprice / 31250"
     return (
         table(spark, sf, "orders")
         .where("o_orderstatus = 'F'")
-        .select(
-            F.year("o_orderdate").cast("long").alias("edition"),
-            F.col("o_orderkey").alias("entity"),
-            F.concat(F.lit("Runner "), cust.cast("string")).alias("name"),
-            F.when(cust % 3 == 0, "F").when(cust % 3 == 1, "male").alias("gender"),
-            F.when(cust % 23 == 0, "n/a").otherwise((20 + cust % 50).cast("string")).alias("age"),
-            F.lit(None).cast("string").alias("city"),
-            (F.col("o_orderkey") % 1000 + 1).alias("official_rank"),
-            hours.alias("finish_hrs"),
-            (hours * 60).alias("finish_min"),
+        .selectExpr(
+            "bigint(year(o_orderdate)) AS edition",
+            "o_orderkey AS entity",
+            "concat('Runner ', string(o_custkey)) AS name",
+            "CASE WHEN o_custkey % 3 = 0 THEN 'F' WHEN o_custkey % 3 = 1 THEN 'male' END AS gender",
+            "CASE WHEN o_custkey % 23 = 0 THEN 'n/a' ELSE string(20 + o_custkey % 50) END AS age",
+            "CAST(NULL AS STRING) AS city",
+            "o_orderkey % 1000 + 1 AS official_rank",
+            f"{hours} AS finish_hrs",
+            f"({hours}) * 60 AS finish_min",
         )
     )
 
@@ -134,10 +115,10 @@ def corrections(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "orders")
         .where("o_orderkey % 101 = 0")
-        .select(
-            F.year("o_orderdate").cast("long").alias("edition"),
-            F.col("o_orderkey").cast("string").alias("entity"),
-            F.lit("AS_06").alias("checkpoint"),
+        .selectExpr(
+            "bigint(year(o_orderdate)) AS edition",
+            "string(o_orderkey) AS entity",
+            "'AS_06' AS checkpoint",
         )
     )
 
