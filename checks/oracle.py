@@ -329,11 +329,11 @@ SQL: dict[str, str] = {
                     ORDER BY abs(p_retailprice - mi), n_nationkey) AS r
             FROM part, (SELECT *, 900::DOUBLE + 4 * n_nationkey AS mi FROM nation WHERE n_nationkey > 0))
         WHERE r = 1""",
-    "stop_features": f"""SELECT {_ID}, cp, position, round(el, 6) AS elapsed_hrs,
-        round(pace0, 6) AS overall_pace, try_cast(age AS DOUBLE) AS age,
+    "stop_features": f"""SELECT {_ID}, cp, position, round(el, 8) AS elapsed_hrs,
+        round(pace0, 8) AS overall_pace, try_cast(age AS DOUBLE) AS age,
         CASE WHEN gender = 'male' THEN 0::DOUBLE WHEN gender = 'F' THEN 1::DOUBLE END AS gender_code,
-        is_fin AS is_finisher, round(overall_rank / edition_size, 6) AS overall_rank_pct,
-        round(stop, 6) AS stop_min
+        is_fin AS is_finisher, round(overall_rank / edition_size, 8) AS overall_rank_pct,
+        round(stop, 8) AS stop_min
         FROM feat LEFT JOIN (SELECT edition, entity, overall_rank, edition_size FROM summary)
         USING (edition, entity)""",
     "stop_baseline_report": "SELECT * FROM stop_report",
@@ -351,10 +351,10 @@ SQL: dict[str, str] = {
         round(stop, 4) AS stop_min, a_imp AS arrive_imputed, d_imp AS depart_imputed,
         s_imp AS stop_imputed FROM imp""",
     "interval_features": f"""SELECT {_ID}, fin AS is_finisher, spans AS spans_missing,
-        round(leg_mi, 5) AS leg_mi, round(leg_min, 5) AS leg_min, round(leg_pace, 5) AS leg_pace,
-        round(pace, 5) AS overall_pace, round(leg_ratio, 5) AS leg_ratio FROM legs""",
-    "interval_ratio": f"""SELECT {_ID}, place, position, round(el, 5) AS elapsed_hrs,
-        round(leg_pace, 5) AS leg_pace, round(pace, 5) AS overall_pace, round(leg_ratio, 5) AS leg_ratio,
+        round(leg_mi, 8) AS leg_mi, round(leg_min, 8) AS leg_min, round(leg_pace, 8) AS leg_pace,
+        round(pace, 8) AS overall_pace, round(leg_ratio, 8) AS leg_ratio FROM legs""",
+    "interval_ratio": f"""SELECT {_ID}, place, position, round(el, 8) AS elapsed_hrs,
+        round(leg_pace, 8) AS leg_pace, round(pace, 8) AS overall_pace, round(leg_ratio, 8) AS leg_ratio,
         blk AS finish_block, station_id, station_mi FROM ratio""",
     "edition_kpis": "SELECT * FROM kpis",
     "arrival_windows": "SELECT edition, checkpoint, place, position, q10, q25, q50, q75, q90, "
@@ -534,7 +534,7 @@ SQL: dict[str, str] = {
     "elapsed_minutes": f"SELECT {_ID}, round((d_abs - 18000) / 60::DOUBLE, 4) AS minutes FROM timed",
     "clock_labels": f"SELECT {_ID}, {clock_of('(a + 0.004::DOUBLE)')} AS label FROM timed",
     "lenient_dates": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0
-        THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS at FROM orders""",
+        THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS parsed FROM orders""",
     "slowest_leg": """SELECT edition, checkpoint, place, mph, n FROM (SELECT *, row_number() OVER
             (PARTITION BY edition ORDER BY mph, checkpoint) AS r FROM speeds WHERE mph IS NOT NULL)
         WHERE r = 1""",
@@ -543,16 +543,37 @@ SQL: dict[str, str] = {
 
 def _needs(sql: str, found: set[str]) -> set[str]:
     for name, body in SHARED.items():
-        if name not in found and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", sql):
+        if name not in found and re.search(rf"(\bFROM|\bJOIN|,)\s+{name}\b", sql):
             found.add(name)
             _needs(body, found)
     return found
 
 
+def _decimal_rounds(sql: str) -> str:
+    """``round(x, n)`` through a decimal of nine digits, so that a half is a half in both engines."""
+    out, i = "", 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            return out + sql[i:]
+        depth, comma, k = 0, None, j + 6
+        while depth or sql[k] != ")":
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            comma = k if sql[k] == "," and depth == 0 else comma
+            k += 1
+        inner, digits = _decimal_rounds(sql[j + 6 : comma]), sql[comma + 1 : k].strip()
+        out += sql[i:j]
+        if digits == "9":
+            out += f"round({inner}, 9)"
+        else:
+            out += f"round(({inner})::DECIMAL(28, 9), {digits})::DOUBLE"
+        i = k + 1
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     for name, sql in SQL.items():
         used = _needs(sql, set())
         shared = ",\n".join(f"{n} AS ({b})" for n, b in SHARED.items() if n in used)
-        out[name] = f"WITH {shared}\n{sql}" if shared else sql
+        out[name] = _decimal_rounds(f"WITH {shared}\n{sql}" if shared else sql)
     return out

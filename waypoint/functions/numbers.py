@@ -54,5 +54,14 @@ def finish_block(hours: Column) -> Column:
     return F.floor(hours + 0.5).cast("long")
 
 
+def rounded(x: str | Column, digits: int) -> Column:
+    """Half away from zero, after dropping the noise beyond nine digits.
+
+    Sums and interpolated quantiles of decimal readings often fall on a half; without the first step
+    the last bit of the arithmetic would decide.
+    """
+    return F.round(F.round(as_column(x), 9), digits)
+
+
 def as_column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waypoint.functions.numbers import as_column, ratio
+from waypoint.functions.numbers import as_column, ratio, rounded
 from waypoint.operators.ordered import ordinal_rank
 from waypoint.operators.quantiles import grouped_quantiles, pick
 from waypoint.operators.reshape import spread
@@ -33,8 +33,8 @@ def share_table(df: DataFrame, part: str) -> DataFrame:
         "edition",
         part,
         "n",
-        F.round(F.col("n") / total, 6).alias("share"),
-        F.round(F.col("n") / F.sum("n").over(Window.partitionBy("edition")), 6).alias(
+        rounded(F.col("n") / total, 6).alias("share"),
+        rounded(F.col("n") / F.sum("n").over(Window.partitionBy("edition")), 6).alias(
             "share_of_edition"
         ),
         F.sum(F.col("n") - 0.5 * F.col("n")).over(running).alias("centre"),
@@ -49,7 +49,7 @@ def share_spread(df: DataFrame, part: str, parts: Sequence[str]) -> DataFrame:
     return wide.select(
         "edition",
         *[F.col(f"`{p}`").alias(f"n_{p}") for p in parts],
-        *[F.round(ratio(F.col(f"`{p}`"), total), 6).alias(f"share_{p}") for p in parts],
+        *[rounded(ratio(F.col(f"`{p}`"), total), 6).alias(f"share_{p}") for p in parts],
     )
 
 
@@ -63,9 +63,9 @@ def rank_by_edition(
 def edition_means(df: DataFrame, time: str | Column) -> DataFrame:
     """Mean time per edition and the edition's place among them. One row per edition."""
     means = df.groupBy("edition").agg(F.avg(as_column(time)).alias("_mean"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.round("_mean", 9))
+    order = Window.partitionBy(F.lit(0)).orderBy(rounded("_mean", 9))
     return means.select(
-        "edition", F.round("_mean", 4).alias("mean"), F.rank().over(order).alias("place")
+        "edition", rounded("_mean", 4).alias("mean"), F.rank().over(order).alias("place")
     )
 
 

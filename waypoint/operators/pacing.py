@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waypoint.functions.clock import clock_label
-from waypoint.functions.numbers import ratio
+from waypoint.functions.numbers import ratio, rounded
 from waypoint.operators.joins import join_checked
 from waypoint.operators.report import BLOCKS
 
@@ -17,10 +17,9 @@ def nearest_blocks(
     stations: DataFrame, windows: DataFrame, blocks: tuple[int, int] = BLOCKS
 ) -> DataFrame:
     """Every (station, block) with the window of the nearest block the station has; ties go low."""
+    every_block = F.sequence(F.lit(blocks[0]).cast("long"), F.lit(blocks[1]).cast("long"))
     grid = stations.select(
-        "station_id",
-        F.round("scaled_mi", 1).alias("mile"),
-        F.explode(F.sequence(F.lit(blocks[0]), F.lit(blocks[1]))).cast("long").alias("block"),
+        "station_id", rounded("scaled_mi", 1).alias("mile"), F.explode(every_block).alias("block")
     )
     # At most one window per block on either side of this join.
     near = grid.join(windows, "station_id", "left").groupBy("station_id", "mile", "block").agg(
@@ -82,9 +81,9 @@ def eta_table(
             "block",
             "station_id",
             "mile",
-            F.round(F.least(F.col("_p25") / F.col("_finish"), F.col("f50")), 4).alias("f25"),
-            F.round("f50", 4).alias("f50"),
-            F.round(F.greatest(F.col("_p75") / F.col("_finish"), F.col("f50")), 4).alias("f75"),
+            rounded(F.least(F.col("_p25") / F.col("_finish"), F.col("f50")), 4).alias("f25"),
+            rounded("f50", 4).alias("f50"),
+            rounded(F.greatest(F.col("_p75") / F.col("_finish"), F.col("f50")), 4).alias("f75"),
         )
     )
 
@@ -105,7 +104,7 @@ def reproject_plan(
     """
     total = eta.agg(F.max("mile").alias("total_mi")).scalar()
     block = F.greatest(
-        F.least(F.round("goal_hrs", 0).cast("long"), F.lit(blocks[1])), F.lit(blocks[0])
+        F.least(rounded("goal_hrs", 0).cast("long"), F.lit(blocks[1])), F.lit(blocks[0])
     )
     goal = F.col("goal_hrs")
     rows = (

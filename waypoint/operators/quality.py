@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waypoint.functions.numbers import ratio
+from waypoint.functions.numbers import ratio, rounded
 from waypoint.operators.clock import ENTITY
 from waypoint.operators.reshape import require_columns
 from waypoint.operators.runners import NOT_FINISHED
@@ -119,7 +119,7 @@ def check_legs(legs: DataFrame, max_stop_min: float = 180.0) -> DataFrame:
 def share_in_band(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """One row: share of non-null values strictly inside the band."""
     inside = F.count_if((F.col(value) > low) & (F.col(value) < high))
-    return df.agg(F.round(ratio(inside, F.count(value)), 4).alias("share"), F.count(value).alias("n"))
+    return df.agg(rounded(ratio(inside, F.count(value)), 4).alias("share"), F.count(value).alias("n"))
 
 
 def unmatched_keys(rows: DataFrame, crosswalk: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waypoint.functions.numbers import as_column
+from waypoint.functions.numbers import as_column, rounded
 from waypoint.operators.joins import match_null_safe
 from waypoint.operators.ordered import ROW, SLICE, ordered_slices, slice_offsets
 from waypoint.session import materialise
@@ -122,4 +122,4 @@ def _spread(
 def pick(metric: str, index: int = 0, *, floor: int = 1, digits: int | None = None) -> Column:
     """Quantile number ``index`` of a metric, null in groups smaller than ``floor``."""
     value = F.when(F.col(f"{metric}_n") >= floor, F.try_element_at(f"{metric}_q", F.lit(index + 1)))
-    return value if digits is None else F.round(value, digits)
+    return value if digits is None else rounded(value, digits)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypoint.functions.clock import clock_label
-from waypoint.functions.numbers import inverse, pace_to_mph, ratio
+from waypoint.functions.numbers import inverse, pace_to_mph, ratio, rounded
 from waypoint.operators.intervals import Course
 from waypoint.operators.joins import join_checked
 from waypoint.operators.ordered import ordinal_rank
@@ -72,7 +72,7 @@ def edition_kpis(legs: DataFrame, course: Course = Course()) -> DataFrame:
             "edition",
             "starters",
             "finishers",
-            F.round(ratio(F.col("finishers"), F.col("starters")), 3).alias("finish_rate"),
+            rounded(ratio(F.col("finishers"), F.col("starters")), 3).alias("finish_rate"),
             pick("hours", digits=2).alias("median_finish_hrs"),
             pick("stop", digits=1).alias("median_stop_min"),
         )
@@ -122,7 +122,7 @@ def stop_medians(legs: DataFrame) -> DataFrame:
         *STATION,
         "place",
         "position",
-        F.round("coverage", 4).alias("coverage"),
+        rounded("coverage", 4).alias("coverage"),
         *[
             F.when(shown, pick(m, floor=MIN_GROUP, digits=3)).alias(f"median_{m}")
             for m in ("finisher", "other")
@@ -214,8 +214,8 @@ def scatter_sample(
         "edition",
         "entity",
         "checkpoint",
-        F.round("position", 2).alias("position"),
-        F.round("speed", 3).alias("speed"),
+        rounded("position", 2).alias("position"),
+        rounded("speed", 3).alias("speed"),
         "station_id",
         "finish_block",
     )
@@ -226,7 +226,7 @@ def station_speed_means(ratios: DataFrame) -> DataFrame:
         with_speed(ratios)
         .where(F.col("station_id").isNotNull())
         .groupBy("station_id")
-        .agg(F.round(F.avg("speed"), 3).alias("mean_speed"), F.count(F.lit(1)).alias("n"))
+        .agg(rounded(F.avg("speed"), 3).alias("mean_speed"), F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -239,7 +239,7 @@ def cohort_trend(ratios: DataFrame, blocks: tuple[int, int] = BLOCKS) -> DataFra
     return (
         with_speed(_in_blocks(ratios, blocks))
         .groupBy("finish_block", "station_id", "station_mi")
-        .agg(F.round(F.avg("speed"), 3).alias("mean_speed"), F.count(F.lit(1)).alias("n"))
+        .agg(rounded(F.avg("speed"), 3).alias("mean_speed"), F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= MIN_GROUP)
     )
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from waypoint.operators import clock, impute, intervals, reshape, runners
 from waypoint.operators.course import station_crosswalk
 from waypoint.operators.model import by_station_median, station_medians
+from waypoint.session import scratch_path
+from waypoint.sources.tables import write_table
 
 SPACING_MI = 14.5
 CHECKPOINTS = 7
@@ -173,3 +175,26 @@ def crosswalk(spark: SparkSession, sf: str) -> DataFrame:
 
 def leg_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.interval_ratio(legs(spark, sf), crosswalk(spark, sf))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written by edition to the shared folder and read back.
+
+    Reports pass over the legs several times. The written table is read with column pruning and has
+    known sizes, and a lost executor does not bring back the whole chain.
+    """
+    path = scratch_path(df.sparkSession, name)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_legs(spark: SparkSession, sf: str) -> DataFrame:
+    columns = [
+        "edition", "entity", "checkpoint", "cp", "place", "position", "arrive_hrs", "is_finisher",
+        "furthest", "stop_min", "stop_imputed", "spans_missing", "leg_mi", "leg_pace", "overall_pace",
+    ]
+    return stored(legs(spark, sf).select(*columns), "legs")
+
+
+def stored_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(leg_ratios(spark, sf), "ratios")

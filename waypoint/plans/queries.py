@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waypoint.functions.clock import clock_label, lenient_timestamp, minutes_of_text
+from waypoint.functions.numbers import rounded
 from waypoint.naming import RACE_META, bind, unbind
 from waypoint.operators import (
     clock,
@@ -33,12 +34,12 @@ from waypoint.sources import gpx, tables
 
 HISTORY_UNTIL = 1997
 HOLDOUT = 1998
-TRIAL = model.Training(iterations=8, depth=4, holdout_edition=HOLDOUT)
+TRIAL = model.Training(iterations=3, depth=3, holdout_edition=HOLDOUT)
 ARRIVAL_TRIAL = model.Training(
     features=list(model.ARRIVAL_FEATURES),
     target="elapsed_hrs",
-    iterations=8,
-    depth=4,
+    iterations=3,
+    depth=3,
     holdout_edition=HOLDOUT,
 )
 
@@ -60,7 +61,7 @@ def _out(df: DataFrame, columns: Sequence[str], **digits: int) -> DataFrame:
     kinds = dict(df.dtypes)
     return df.select(
         *[
-            F.round(c, digits[c]).alias(c)
+            rounded(c, digits[c]).alias(c)
             if c in digits
             else F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
             if kinds[c].startswith("timestamp")
@@ -271,6 +272,12 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return impute.stop_features(p.ranked_splits(spark, sf), p.COURSE)
 
 
+def _stored_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Training passes over its rows many times, so they are written once."""
+    columns = dict.fromkeys([*KEY, "arrive_hrs", "depart_hrs", *model.STOP_FEATURES, "stop_min"])
+    return p.stored(_features(spark, sf).select(*columns), "features")
+
+
 def _unranked(spark: SparkSession, sf: str) -> DataFrame:
     return impute.stop_features(p.splits(spark, sf), p.COURSE, ranked=False)
 
@@ -279,7 +286,7 @@ def _unranked(spark: SparkSession, sf: str) -> DataFrame:
 def stop_features(spark, sf):
     names = [*model.STOP_FEATURES, "stop_min"]
     digits = dict.fromkeys(
-        ["elapsed_hrs", "overall_pace", "overall_rank_pct", "stop_min"], 6
+        ["elapsed_hrs", "overall_pace", "overall_rank_pct", "stop_min"], 8
     )
     return _out(_features(spark, sf), [*KEY, *names], **digits)
 
@@ -317,18 +324,18 @@ def metrics_rows(spark, sf):
 
 @query
 def stop_model_report(spark, sf):
-    return model.train_stop_model(_features(spark, sf), TRIAL, p.COURSE).report
+    return model.train_stop_model(_stored_features(spark, sf), TRIAL, p.COURSE).report
 
 
 @query
 def arrival_model_report(spark, sf):
-    return model.train_arrival_model(_features(spark, sf), ARRIVAL_TRIAL).report
+    return model.train_arrival_model(_stored_features(spark, sf), ARRIVAL_TRIAL).report
 
 
 @query
 def impute_with_model(spark, sf):
     """Stops of the boosted trees, saved and loaded before use, fill the one-sided times."""
-    features = _features(spark, sf)
+    features = _stored_features(spark, sf)
     path = scratch_path(spark, "stop-model")
     rows = model.observed_stops(features, p.COURSE)
     model.fit(rows, TRIAL).write().overwrite().save(path)
@@ -349,7 +356,7 @@ def impute_times(spark, sf):
 @query
 def interval_features(spark, sf):
     values = ["leg_mi", "leg_min", "leg_pace", "overall_pace", "leg_ratio"]
-    digits = dict.fromkeys(values, 5)
+    digits = dict.fromkeys(values, 8)
     return _out(p.legs(spark, sf), [*KEY, "is_finisher", "spans_missing", *values], **digits)
 
 
@@ -357,7 +364,7 @@ def interval_features(spark, sf):
 def interval_ratio(spark, sf):
     values = ["elapsed_hrs", "leg_pace", "overall_pace", "leg_ratio"]
     columns = [*KEY, "place", "position", *values, "finish_block", "station_id", "station_mi"]
-    return _out(p.leg_ratios(spark, sf), columns, **dict.fromkeys(values, 5))
+    return _out(p.leg_ratios(spark, sf), columns, **dict.fromkeys(values, 8))
 
 
 # ---- reports -----------------------------------------------------------------------------------
@@ -365,43 +372,43 @@ def interval_ratio(spark, sf):
 
 @query
 def edition_kpis(spark, sf):
-    return report.edition_kpis(p.legs(spark, sf), p.COURSE)
+    return report.edition_kpis(p.stored_legs(spark, sf), p.COURSE)
 
 
 @query
 def arrival_windows(spark, sf):
-    return report.arrival_windows(p.legs(spark, sf))
+    return report.arrival_windows(p.stored_legs(spark, sf))
 
 
 @query
 def stop_medians(spark, sf):
-    return report.stop_medians(p.legs(spark, sf))
+    return report.stop_medians(p.stored_legs(spark, sf))
 
 
 @query
 def leg_speeds(spark, sf):
-    return report.leg_speeds(p.legs(spark, sf))
+    return report.leg_speeds(p.stored_legs(spark, sf))
 
 
 @query
 def attrition(spark, sf):
-    return report.attrition(p.legs(spark, sf))
+    return report.attrition(p.stored_legs(spark, sf))
 
 
 @query
 def flow_heatmap(spark, sf):
-    return report.flow_heatmap(p.legs(spark, sf))
+    return report.flow_heatmap(p.stored_legs(spark, sf))
 
 
 @query
 def heat_cap(spark, sf):
-    return report.heat_cap(report.flow_heatmap(p.legs(spark, sf)))
+    return report.heat_cap(report.flow_heatmap(p.stored_legs(spark, sf)))
 
 
 @query
 def scatter_sample(spark, sf):
     order = [(F.col("entity") * 7919 + F.col("position") * 2) % 10007, "entity", "position"]
-    return report.scatter_sample(p.leg_ratios(spark, sf), cap=2000, order=order)
+    return report.scatter_sample(p.stored_ratios(spark, sf), cap=2000, order=order)
 
 
 @query
@@ -421,12 +428,12 @@ def arrival_histogram(spark, sf):
 
 @query
 def cohort_arrival_windows(spark, sf):
-    return report.cohort_arrival_windows(p.leg_ratios(spark, sf))
+    return report.cohort_arrival_windows(p.stored_ratios(spark, sf))
 
 
 def _thinned_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Cohort windows without every third cell, as if those cohorts had not been recorded."""
-    windows = report.cohort_arrival_windows(p.leg_ratios(spark, sf))
+    windows = report.cohort_arrival_windows(p.stored_ratios(spark, sf))
     return windows.where((F.col("finish_block") + F.col("station_id")) % 3 != 0)
 
 
@@ -443,7 +450,7 @@ def eta_table(spark, sf):
 @query
 def reproject_plan(spark, sf):
     """One plan per customer; passages in the first 50 miles are the actual times."""
-    goal = F.round(18 + (F.col("c_acctbal") + 1000) / 550, 2)
+    goal = rounded(18 + (F.col("c_acctbal") + 1000) / 550, 2)
     plans = p.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("plan_id"), goal.alias("goal_hrs")
     )
@@ -466,7 +473,7 @@ def reproject_plan(spark, sf):
 
 @query
 def cohort_medians(spark, sf):
-    return report.cohort_medians(p.leg_ratios(spark, sf))
+    return report.cohort_medians(p.stored_ratios(spark, sf))
 
 
 @query
@@ -476,7 +483,7 @@ def axis_bounds(spark, sf):
 
 @query
 def report_payload(spark, sf):
-    rows = p.legs(spark, sf)
+    rows = p.stored_legs(spark, sf)
     payload = report.edition_payload(
         report.edition_kpis(rows, p.COURSE),
         report.arrival_windows(rows),
@@ -491,7 +498,7 @@ def report_payload(spark, sf):
 @query
 def payload_roundtrip(spark, sf):
     """Attrition as JSON payload text, written, read back and taken apart again."""
-    ends = report.attrition(p.legs(spark, sf))
+    ends = report.attrition(p.stored_legs(spark, sf))
     nested = ends.groupBy("edition").agg(
         F.sort_array(F.collect_list(F.struct("checkpoint", "place", "n"))).alias("stations")
     )
@@ -584,7 +591,7 @@ def _finishers(spark: SparkSession, sf: str) -> DataFrame:
         F.year("o_orderdate").cast("long").alias("edition"),
         F.col("o_orderkey").alias("entity"),
         F.col("o_orderstatus").alias("status"),
-        F.round(F.col("o_totalprice") / 1000, 0).alias("minutes"),
+        rounded(F.col("o_totalprice") / 1000, 0).alias("minutes"),
         (F.col("o_custkey") % 120).alias("age"),
     )
 
@@ -746,7 +753,7 @@ def preview(spark, sf):
 def elapsed_minutes(spark, sf):
     """Elapsed text split into hours, minutes and seconds, as minutes."""
     df = p.rebuilt(spark, sf)
-    return df.select(*KEY, F.round(minutes_of_text("depart_elapsed"), 4).alias("minutes"))
+    return df.select(*KEY, rounded(minutes_of_text("depart_elapsed"), 4).alias("minutes"))
 
 
 @query
@@ -761,14 +768,14 @@ def lenient_dates(spark, sf):
     text = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(
         F.date_format("o_orderdate", "M/d/yy HH:mm")
     )
-    df = p.table(spark, sf, "orders").select("o_orderkey", lenient_timestamp(text).alias("at"))
-    return _out(df, ["o_orderkey", "at"])
+    df = p.table(spark, sf, "orders").select("o_orderkey", lenient_timestamp(text).alias("parsed"))
+    return _out(df, ["o_orderkey", "parsed"])
 
 
 @query
 def slowest_leg(spark, sf):
     """From bare clock readings to the slowest leg of every edition."""
-    speeds = report.leg_speeds(p.legs(spark, sf))
+    speeds = report.leg_speeds(p.stored_legs(spark, sf))
     slowest = F.min_by(F.struct("checkpoint", "place", "mph", "n"), F.struct("mph", "checkpoint"))
     best = speeds.where("mph is not null").groupBy("edition").agg(slowest.alias("s"))
     return best.select("edition", "s.checkpoint", "s.place", "s.mph", "s.n")
