@@ -8,18 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_POINT = "_lat DOUBLE, _lon DOUBLE"
+_POINT = "_lat: DOUBLE, _lon: DOUBLE"
 GPX_SCHEMA = (
-    f"rte ARRAY<STRUCT<rtept: ARRAY<STRUCT<{_POINT.replace(' D', ': D')}, ele: DOUBLE>>>>, "
-    f"wpt ARRAY<STRUCT<{_POINT.replace(' D', ': D')}, name: STRING>>"
+    f"rte ARRAY<STRUCT<rtept: ARRAY<STRUCT<{_POINT}, ele: DOUBLE>>>>, "
+    f"wpt ARRAY<STRUCT<{_POINT}, name: STRING>>"
 )
 
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     """``route`` (file name) and ``text`` of every file."""
-    files = spark.read.option("wholetext", True).text(path)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return files.select(name.alias("route"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_name").alias("route"), F.col("value").alias("text"))
 
 
 def parse_gpx(files: DataFrame) -> DataFrame:
