@@ -222,6 +222,12 @@ SHARED: dict[str, str] = {
             round(mi * (103.1::DOUBLE / total), 2) AS scaled_mi
         FROM nearest n LEFT JOIN path p ON n.route = p.route AND n.seq = p.seq
         LEFT JOIN (SELECT route, max(mi) AS total FROM path GROUP BY 1) t ON n.route = t.route""",
+    "thinned": """SELECT route, seq, row_number() OVER (PARTITION BY route ORDER BY seq) - 1 AS kept_index,
+            round(lat, 3) AS lat, round(lon, 3) AS lon, marked IS NOT NULL AS is_station
+        FROM (SELECT v.*, row_number() OVER (PARTITION BY route ORDER BY seq) - 1 AS i,
+                greatest(1, ceil(count(*) OVER (PARTITION BY route) / 8))::BIGINT AS step FROM vert v)
+        LEFT JOIN (SELECT DISTINCT route, seq, true AS marked FROM nearest) USING (route, seq)
+        WHERE i % step = 0 OR marked""",
     "fins": """SELECT year(o_orderdate)::BIGINT AS edition, o_orderkey AS entity, o_orderstatus AS status,
         round(o_totalprice / 1000, 0) AS minutes, o_custkey % 120 AS age FROM orders""",
     "forder": """SELECT edition, entity, minutes, row_number() OVER (PARTITION BY edition
@@ -313,12 +319,9 @@ SQL: dict[str, str] = {
         LEFT JOIN (SELECT route, count(*) AS n_stations, count(*) FILTER (WHERE cum_mi <= prev) AS bad
             FROM (SELECT *, lag(cum_mi) OVER (PARTITION BY route ORDER BY station_id) AS prev FROM snapped)
             GROUP BY 1) s ON p.route = s.route""",
-    "route_downsample": """SELECT route, seq, row_number() OVER (PARTITION BY route ORDER BY seq) - 1 AS kept_index,
-            round(lat, 3) AS lat, round(lon, 3) AS lon, ids AS station_ids
-        FROM (SELECT v.*, row_number() OVER (PARTITION BY route ORDER BY seq) - 1 AS i,
-                greatest(1, ceil(count(*) OVER (PARTITION BY route) / 8))::BIGINT AS step FROM vert v)
-        LEFT JOIN (SELECT route, seq, string_agg(station_id, ',' ORDER BY station_id) AS ids FROM nearest
-            GROUP BY 1, 2) USING (route, seq) WHERE i % step = 0 OR ids IS NOT NULL""",
+    "route_downsample": "SELECT * FROM thinned",
+    "station_indexes": """SELECT n.route, station_id, kept_index FROM nearest n
+        JOIN thinned t ON n.route = t.route AND n.seq = t.seq""",
     "station_crosswalk": """SELECT edition, checkpoint, place, position,
             CASE WHEN delta <= 1.5 THEN station_id END AS station_id,
             CASE WHEN delta <= 1.5 THEN station_name END AS station_name,

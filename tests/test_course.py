@@ -127,6 +127,9 @@ def test_downsample(rows):
     assert [(r.route, r.seq, r.kept_index) for r in got] == [
         (1, 0, 0), (1, 3, 1), (1, 5, 2), (1, 10, 3), (1, 15, 4), (1, 20, 5), (2, 0, 0),
     ]
-    assert got[1].station_ids == [7] and got[3].station_ids == [8] and got[0].lat == 41.0
+    assert [r.is_station for r in got] == [False, True, False, True, False, False, False]
+    kept = course.route_downsample(route, stations, cap=5)
+    index = course.station_indexes(kept, stations).orderBy("station_id").collect()
+    assert [(r.station_id, r.kept_index) for r in index] == [(7, 1), (8, 3)]
     everything = course.route_downsample(route.where("route = 1"), stations, cap=1200)
     assert everything.agg(F.count("*")).first()[0] == 23

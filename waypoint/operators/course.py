@@ -228,19 +228,16 @@ def route_downsample(
 ) -> DataFrame:
     """Every k-th vertex, k such that at most ``cap`` remain, and every station's vertex.
 
-    ``kept_index`` numbers the kept vertices of a route, ``station_ids`` names the stations there.
+    ``kept_index`` numbers the kept vertices of a route from 0.
     """
     total = route.groupBy("route").agg(F.count(F.lit(1)).alias("_n"))
-    at_station = (
-        stations.groupBy("route", F.col("route_seq").alias("seq"))
-        .agg(F.sort_array(F.collect_set("station_id")).alias("station_ids"))
-    )
+    marked = stations.select("route", F.col("route_seq").alias("seq")).distinct()
     step = F.greatest(F.lit(1), F.ceil(F.col("_n") / cap)).cast("long")
     kept = (
         ordinal_rank(route, ["route"], ["seq"], "_place")
         .join(total, "route")
-        .join(at_station, ["route", "seq"], "left")
-        .where(((F.col("_place") - 1) % step == 0) | F.col("station_ids").isNotNull())
+        .join(marked.withColumn("is_station", F.lit(True)), ["route", "seq"], "left")
+        .where(((F.col("_place") - 1) % step == 0) | F.col("is_station"))
     )
     # What is left of a route is bounded by the cap and its stations.
     order = Window.partitionBy("route").orderBy("_place")
@@ -250,5 +247,11 @@ def route_downsample(
         (F.row_number().over(order) - 1).cast("long").alias("kept_index"),
         F.round("lat", decimals).alias("lat"),
         F.round("lon", decimals).alias("lon"),
-        "station_ids",
+        F.coalesce("is_station", F.lit(False)).alias("is_station"),
     )
+
+
+def station_indexes(kept: DataFrame, stations: DataFrame) -> DataFrame:
+    """Index of every station's vertex among the kept ones."""
+    at = kept.where("is_station").select("route", F.col("seq").alias("route_seq"), "kept_index")
+    return stations.join(at, ["route", "route_seq"]).select("route", "station_id", "kept_index")

@@ -148,8 +148,16 @@ def ranked_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def imputed(spark: SparkSession, sf: str) -> DataFrame:
-    """One-sided times filled from the median stop of the checkpoint."""
+    """One-sided times filled from the median stop of the checkpoint.
+
+    The features are read twice, for the medians and for the filling, so they are written once.
+    """
+    columns = [
+        "edition", "entity", "checkpoint", "cp", "place", "position", "arrive_hrs", "depart_hrs",
+        "stop_min", "is_finisher", "finish_rank", "finish_hrs", "furthest",
+    ]
     features = impute.stop_features(splits(spark, sf), COURSE, ranked=False)
+    features = stored(features.select(*columns), "features")
     medians = station_medians(features, COURSE)
     return impute.impute_times(features, by_station_median(medians), COURSE)
 
@@ -178,13 +186,13 @@ def leg_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written by edition to the shared folder and read back.
+    """``df`` written to the shared folder as it is partitioned, and read back.
 
-    Reports pass over the legs several times. The written table is read with column pruning and has
-    known sizes, and a lost executor does not bring back the whole chain.
+    For tables that are passed over several times. The written table is read with column pruning
+    and has known sizes, and a lost executor does not bring back the whole chain.
     """
     path = scratch_path(df.sparkSession, name)
-    write_table(df, path)
+    write_table(df, path, partition_by=())
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

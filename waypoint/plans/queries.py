@@ -238,12 +238,19 @@ def route_quality(spark, sf):
     return course.route_quality(course.parse_route(_vertices(spark, sf)), _snapped(spark, sf))
 
 
+def _thinned_route(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    at = course.nearest_vertex(_waypoints(spark, sf), _vertices(spark, sf))
+    return course.route_downsample(_vertices(spark, sf), at, cap=8, decimals=3), at
+
+
 @query
 def route_downsample(spark, sf):
-    at = course.nearest_vertex(_waypoints(spark, sf), _vertices(spark, sf))
-    df = course.route_downsample(_vertices(spark, sf), at, cap=8, decimals=3)
-    ids = F.array_join(F.transform("station_ids", lambda x: x.cast("string")), ",")
-    return df.withColumn("station_ids", ids)
+    return _thinned_route(spark, sf)[0]
+
+
+@query
+def station_indexes(spark, sf):
+    return course.station_indexes(*_thinned_route(spark, sf))
 
 
 @query
