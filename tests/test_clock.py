@@ -70,6 +70,18 @@ def test_midnight_is_crossed_once(rebuilt):
     assert got[286, 1].depart_at is None
 
 
+def test_elapsed_time_ignores_the_session_zone(spark, rebuilt, monkeypatch):
+    monkeypatch.setitem(globals(), "EDITIONS", [(2021, "2021-11-06", "05:00")])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # clocks change that night
+    try:
+        got = rebuilt([(1, 1, "23:00", "23:10"), (1, 2, "03:00", "03:30")])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got[1, 2].arrive_hrs == 22.0 and got[1, 2].depart_hrs == 22.5
+    assert str(got[1, 2].arrive_at) == "2021-11-07 03:00:00"
+
+
 def test_second_step_back_is_a_half_day_slip(rebuilt):
     got = rebuilt([(1, 1, "22:45", None), (1, 2, "00:15", None), (1, 3, "11:45", None), (1, 4, "01:03", None)])
     assert str(got[1, 4].arrive_at) == "2021-08-15 13:03:00"

@@ -33,10 +33,6 @@ def pad2(number: Column) -> Column:
     return F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
 
 
-def seconds_between(later: Column, earlier: Column) -> Column:
-    return F.timestamp_diff("SECOND", earlier, later)
-
-
 def elapsed_text(seconds: Column) -> Column:
     """Seconds → ``HH:MM:SS``; hours may exceed 24 and floor below zero."""
     seconds = seconds.cast("long")

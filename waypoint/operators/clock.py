@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from waypoint.functions.clock import (
     DAY_S,
     elapsed_text,
-    seconds_between,
     seconds_of_day,
     strict_timestamp,
 )
@@ -97,9 +96,10 @@ def _at(midnight: Column, seconds: Column, days: Column) -> Column:
     return F.timestamp_add("SECOND", seconds + days * DAY_S, midnight)
 
 
-def _elapsed(name: str, at: str) -> dict[str, Column]:
-    seconds = seconds_between(F.col(at), F.col("start_at"))
-    return {f"{name}_hrs": seconds / 3600, f"{name}_elapsed": elapsed_text(seconds)}
+def _elapsed(name: str, seconds: Column, days: Column) -> dict[str, Column]:
+    """Elapsed hours and text from seconds since midnight; no time zone is involved."""
+    since_start = seconds + days * DAY_S - F.col("_start_s")
+    return {f"{name}_hrs": since_start / 3600, f"{name}_elapsed": elapsed_text(since_start)}
 
 
 def rebuild_clock(df: DataFrame, rules: ClockRules = ClockRules()) -> DataFrame:
@@ -134,12 +134,15 @@ def rebuild_clock(df: DataFrame, rules: ClockRules = ClockRules()) -> DataFrame:
             {
                 "_day": F.least(F.col("_backs"), F.lit(1)),
                 "_read_s": F.when(slip, read + rules.half_day_s).otherwise(read),
-                "_midnight": F.date_trunc("day", "start_at").cast("timestamp_ntz"),
+                "_midnight": F.to_date("start_at").cast("timestamp_ntz"),
+                "_start_s": (
+                    F.hour("start_at") * 3600 + F.minute("start_at") * 60 + F.second("start_at")
+                ).cast("long"),
             }
         )
         .withColumn("_arrive_s", F.when(F.col("_arrive_s").isNotNull(), F.col("_read_s")))
         .withColumn("arrive_at", _at(F.col("_midnight"), F.col("_arrive_s"), F.col("_day")))
-        .withColumns(_elapsed("arrive", "arrive_at"))
+        .withColumns(_elapsed("arrive", F.col("_arrive_s"), F.col("_day")))
         .drop("_back", "_backs")
     )
 
@@ -166,6 +169,6 @@ def rebuild_departures(df: DataFrame, rules: ClockRules = ClockRules()) -> DataF
     days = day + F.coalesce(next_day, F.lit(False)).cast("int")
     return (
         df.withColumn("depart_at", _at(F.col("_midnight"), repaired, days))
-        .withColumns(_elapsed("depart", "depart_at"))
-        .drop("_arrive_s", "_depart_s", "_read_s", "_day", "_midnight")
+        .withColumns(_elapsed("depart", repaired, days))
+        .drop("_arrive_s", "_depart_s", "_read_s", "_day", "_midnight", "_start_s")
     )

@@ -20,7 +20,6 @@ from waypoint.operators import (
     explore,
     finishers,
     impute,
-    intervals,
     model,
     pacing,
     quality,
