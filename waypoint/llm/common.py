@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -20,7 +23,19 @@ WHITE = " \t\n\x0b\x0c\r"
 _written: list[list[str]] = []
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context: they import it wherever they run."""
+    sc = spark.sparkContext
+    if not any(name.startswith("waypoint-code") for name in sc._python_includes):
+        top = Path(__file__).resolve().parents[1]
+        with tempfile.NamedTemporaryFile(prefix="waypoint-code", suffix=".zip", delete=False) as out, zipfile.ZipFile(out, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(out.name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
