@@ -1,16 +1,18 @@
-"""Clean a corpus: quality rules, line dedup, near-dedup."""
+"""Clean a corpus: quality rules, line dedup, near-dedup, benchmark decontamination, then pieces."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypoint.llm import lines, quality, simhash
-from waypoint.llm.common import scratch_scope, stored, table
+from waypoint.llm import decontaminate, lines, pieces, quality, simhash
+from waypoint.llm.common import scratch_scope, ship_code, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    ship_code(spark)
     return quality.keep_good(docs)
 
 
@@ -22,29 +24,37 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the least id."""
+    ship_code(spark)
     return simhash.keep_one(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item occurs go."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece counts, a hash of the ids and of the decoded text of what is left."""
+    ship_code(spark)
+    return pieces.report(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
     ("simhash_neardup", simhash_neardup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("sentencepiece", sentencepiece),
 ]
 
-#: The quality rules iterate to a robust estimate, which SQL does not express.
+#: The quality rules iterate to a robust estimate and the near-dedup to components; SQL expresses neither.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents, each written before the next reads it."""
+    """Apply all stages to documents, each written before the next reads it; what a stage wrote for itself is deleted then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         with scratch_scope(spark):
-            out = stage(spark, docs, sf_dir)
-            path_holder = out
-            docs = _written(path_holder, name)
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", scratch=False)
     return docs
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    return stored(df, f"stage-{name}")

@@ -39,11 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends at files that outlive executors."""
     path = scratch_path(df.sparkSession, name)
-    for scope in _written[-1:]:
-        scope.append(path)
+    if scratch:
+        track(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
