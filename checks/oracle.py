@@ -169,7 +169,7 @@ SHARED: dict[str, str] = {
                 ORDER BY abs(finish_block - block), finish_block) AS r
         FROM (SELECT station_id, round(mi, 1) AS mile, unnest(generate_series(20, 36)) AS block
             FROM refs WHERE station_id > 0) g
-        LEFT JOIN (SELECT * FROM cohorts WHERE (finish_block + station_id) % 3 <> 0) c
+        LEFT JOIN cohorts c
             ON g.station_id = c.station_id) WHERE r = 1""",
     "gaps": "SELECT *, "
     + ", ".join(
@@ -418,7 +418,8 @@ SQL: dict[str, str] = {
                 JOIN eta e ON p.block = e.block
                 LEFT JOIN (SELECT o_custkey AS plan_id, station_id, min(a) AS act
                     FROM timed JOIN xwalk USING (edition, checkpoint) JOIN orders ON o_orderkey = entity
-                    WHERE station_id IS NOT NULL AND position <= 50 AND a IS NOT NULL GROUP BY 1, 2) k
+                    WHERE station_id IS NOT NULL AND position <= 15 * (1 + o_custkey % 7) AND a IS NOT NULL
+                    GROUP BY 1, 2) k
                 USING (plan_id, station_id))
             WINDOW w AS (PARTITION BY plan_id ORDER BY act IS NULL, mile DESC, station_id DESC
                 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))""",
@@ -512,10 +513,12 @@ SQL: dict[str, str] = {
         UNION ALL SELECT status, 0, count(*) FROM fins WHERE age < 10 GROUP BY 1""",
     "median_frames": """SELECT edition, row_number() OVER (ORDER BY edition)::INTEGER AS n_editions,
         round(m, 4) AS median FROM (SELECT edition, quantile_cont(minutes / 60, 0.5) AS m FROM fins GROUP BY 1)""",
-    "csv_typed_scan": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
+    "csv_typed_scan": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
+        strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate
         FROM orders""",
     "csv_text_scan": """SELECT o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, o_totalprice,
-        NULL::BIGINT AS o_orderpriority FROM orders""",
+        NULL::BIGINT AS o_orderpriority, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate
+        FROM orders""",
     "edition_rows_roundtrip": """SELECT DISTINCT year(o_orderdate)::BIGINT AS edition,
         year(o_orderdate) || '-08-10' AS start_date, '05:00' AS start_clock FROM orders""",
     "partitioned_parquet": "SELECT edition, entity, cp, a_text AS arrive_text FROM clean",

@@ -128,6 +128,25 @@ def test_starred_entity_is_one_with_the_plain_one(rebuilt):
     assert {k[0] for k in got} == {545}
 
 
+def test_of_two_records_of_a_checkpoint_one_counts(rebuilt):
+    got = rebuilt([("545*", 1, "06:10", None), ("545", 1, "08:00", None), ("545", 2, "07:30", None)])
+    assert str(got[545, 1].arrive_at) == "2021-08-14 08:00:00"
+    assert str(got[545, 2].arrive_at) == "2021-08-14 07:30:00"
+    alone = rebuilt([("545*", 1, "06:10", None), ("545", 2, "07:30", None)])
+    assert str(alone[545, 1].arrive_at) == "2021-08-14 06:10:00"
+
+
+def test_entities_that_are_no_numbers(rows):
+    sheet = rows([(2021, "A1", "AS_01", 1, "06:00", None), (2021, "B2*", "AS_01", 1, "07:00", None)], "edition long, entity string, checkpoint string, cp int, arrive_text string, depart_text string")
+    with pytest.raises(Exception, match="entity is not a number: A1"):
+        clock.sanitize_times(sheet.where("entity = 'A1'")).collect()
+    text = clock.sanitize_times(sheet, numeric_entities=False)
+    assert sorted(r.entity for r in text.collect()) == ["A1", "B2"]
+    results = rows([(2021, "B2*", "Bee", 1)], "edition long, entity string, name string, official_rank long")
+    named = runners.attach_results(text, results, numeric_entities=False)
+    assert {r.entity: r.name for r in named.collect()} == {"A1": None, "B2": "Bee"}
+
+
 SPLITS = "edition long, entity long, cp int, checkpoint string, position double, arrive_hrs double, depart_hrs double, official_rank long, finish_hrs double"
 
 

@@ -63,6 +63,13 @@ def test_route_quality(parsed):
     assert got.total_mi == round(haversine((41.0, -77.0), (41.2, -77.0)), 3) and got.n_vertices == 3
 
 
+def test_nearest_vertex_across_the_date_line(rows):
+    waypoints = rows([("r", 1, 0.0, -179.95)], "route string, station_id int, lat double, lon double")
+    points = [("r", 1, 0.0, 179.876), ("r", 2, 0.0, 179.999), ("r", 3, 0.0, -179.85)]
+    vertices = rows(points, "route string, seq int, lat double, lon double")
+    assert course.nearest_vertex(waypoints, vertices).first().route_seq == 2
+
+
 def test_nearest_vertex_matches_brute_force(rows):
     rng = random.Random(11)
     spread = [(1, i, 41 + rng.random() * 0.6, -77 + rng.random() * 0.6) for i in range(600)]

@@ -65,10 +65,20 @@ def test_quantiles(skewed, buffered):
         F.count("v").alias("n"),
     )
     for r in got.join(want, "g").collect():
-        assert r.v_q == pytest.approx(r.e) and r.odd_q == pytest.approx(r.o) and r.v_n == r.n
+        assert r.v_q == r.e and r.odd_q == r.o and r.v_n == r.n  # bit for bit, whichever way
         assert r.none_q is None and r.none_n == 0
 
 
+@pytest.mark.parametrize("buffered", [500_000, 0])
+def test_quantiles_of_random_doubles_agree_in_every_bit(rows, buffered):
+    rng = random.Random(11)
+    df = rows([(rng.randrange(30), rng.gauss(0, 1e3)) for _ in range(3000)], "g int, v double")
+    qs = [0.25, 1 / 3, 0.5, 0.9]
+    got = grouped_quantiles(df, ["g"], {"v": "v"}, qs, max_buffered_values=buffered)
+    want = df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(q) for q in qs])).alias("e"))
+    assert all(r.v_q == r.e for r in got.join(want, "g").collect())
+
+
 @pytest.mark.parametrize("buffered", [500_000, 0])
 def test_quantiles_of_everything_and_of_nothing(rows, buffered):
     df = rows([(1.0,), (2.0,), (4.0,), (None,)], "v double")

@@ -28,11 +28,19 @@ def box_distance_floor_mi(
     """A distance no point of the box can undercut.
 
     Both terms of the haversine are bounded on their own: the latitude and longitude gaps to the
-    box, and the smallest cosine of a latitude inside it.
+    box, and the smallest cosine of a latitude inside it. The longitude gap is the shorter way round
+    to either edge, so a box beyond 180 degrees is as near as it is.
     """
     zero = F.lit(0.0)
+
+    def around(a: Column, b: Column) -> Column:
+        gap = F.abs(a - b)
+        return F.least(gap, 360 - gap)
+
+    inside = (lon >= lon_lo) & (lon <= lon_hi)
+    lon_gap = F.when(inside, zero).otherwise(F.least(around(lon, lon_lo), around(lon, lon_hi)))
     half_lat = F.radians(F.greatest(lat_lo - lat, lat - lat_hi, zero)) / 2
-    half_lon = F.radians(F.greatest(lon_lo - lon, lon - lon_hi, zero)) / 2
+    half_lon = F.radians(lon_gap) / 2
     flattest = F.least(F.cos(F.radians(lat_lo)), F.cos(F.radians(lat_hi)))
     chord = F.pow(F.sin(half_lat), F.lit(2)) + F.cos(F.radians(lat)) * flattest * F.pow(
         F.sin(half_lon), F.lit(2)

@@ -24,9 +24,18 @@ def checkpoint_label(number: Column) -> Column:
 
 
 def bare_number(text: str | Column) -> Column:
-    """``545*`` → 545, null when not a number."""
+    """``545*`` → 545; fails on what is not a number, since entities made null would become one."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(text.cast("string"), r"\*", "").try_cast("long")
+    bare = F.trim(bare_text(text))
+    number = bare.try_cast("long")
+    refused = F.raise_error(F.concat(F.lit("entity is not a number: "), bare)).cast("long")
+    return F.when(bare.isNull() | number.isNotNull(), number).otherwise(refused)
+
+
+def bare_text(text: str | Column) -> Column:
+    """``A1*`` → ``A1``."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(text.cast("string"), r"\*", "")
 
 
 def gender_code(text: str | Column) -> Column:

@@ -17,7 +17,7 @@ from waypoint.functions.clock import (
     seconds_of_day,
     strict_timestamp,
 )
-from waypoint.functions.numbers import bare_number
+from waypoint.functions.numbers import bare_number, bare_text
 from waypoint.operators.joins import join_checked
 
 CLOCK_PATTERN = r"^\d{2}:\d{2}$"
@@ -36,19 +36,25 @@ class ClockRules:
     half_day_s: int = 12 * 3600
 
 
-def sanitize_times(df: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
+def sanitize_times(
+    df: DataFrame, corrections: DataFrame | None = None, numeric_entities: bool = True
+) -> DataFrame:
     """Null readings that are not ``HH:MM``, apply corrections, keep rows with at least one time.
 
     ``corrections`` lists (edition, entity, checkpoint) whose two readings are both wrong. A ``*``
-    in the entity is removed first, so ``545*`` and ``545`` are one entity from here on.
+    in the entity is removed first, so ``545*`` and ``545`` are one entity from here on; ``_starred``
+    remembers it. Entities become numbers, and one that is none fails the query; with
+    ``numeric_entities=False`` they stay text, such as parcel or order codes.
     """
+    own = bare_number if numeric_entities else bare_text
 
     def well_formed(c: str) -> Column:
         return F.when(F.col(c).rlike(CLOCK_PATTERN), F.col(c))
 
     out = df.withColumns(
         {
-            "entity": bare_number("entity"),
+            "_starred": F.col("entity").cast("string").contains("*"),
+            "entity": own("entity"),
             "edition": F.col("edition").cast("long"),
             "arrive_text": well_formed("arrive_text"),
             "depart_text": well_formed("depart_text"),
@@ -56,9 +62,10 @@ def sanitize_times(df: DataFrame, corrections: DataFrame | None = None) -> DataF
     )
     if corrections is not None:
         keys = [*ENTITY, "checkpoint"]
+        listed = bare_text("entity")  # a correction of what is no entity matches nothing
         wrong = corrections.select(
             F.col("edition").cast("long").alias("edition"),
-            F.col("entity").try_cast("long").alias("entity"),
+            (listed.try_cast("long") if numeric_entities else listed).alias("entity"),
             "checkpoint",
         ).distinct()
         out = join_checked(out, wrong.withColumn("_wrong", F.lit(True)), keys)
@@ -102,6 +109,14 @@ def _elapsed(name: str, seconds: Column, days: Column) -> dict[str, Column]:
     return {f"{name}_hrs": since_start / 3600, f"{name}_elapsed": elapsed_text(since_start)}
 
 
+def _one_per_checkpoint(df: DataFrame) -> DataFrame:
+    ties = [F.asc_nulls_last("arrive_text"), F.asc_nulls_last("depart_text")]
+    if "_starred" in df.columns:
+        ties.insert(0, F.asc("_starred"))
+    seen = F.lag("cp").over(Window.partitionBy(*ENTITY).orderBy("cp", *ties))
+    return df.withColumn("_seen", seen).where(F.col("_seen").isNull() | (F.col("_seen") != F.col("cp"))).drop("_seen", "_starred")
+
+
 def rebuild_clock(df: DataFrame, rules: ClockRules = ClockRules()) -> DataFrame:
     """Absolute arrival times from bare clock readings.
 
@@ -109,7 +124,11 @@ def rebuild_clock(df: DataFrame, rules: ClockRules = ClockRules()) -> DataFrame:
     than the tolerance is a passed midnight; only one can happen, so a second one marks a half-day
     slip of that row, repaired when the result stays within the time limit. Working columns start
     with ``_`` and are consumed by :func:`rebuild_departures`.
+
+    Of several records of one checkpoint the first counts: one whose entity had no ``*``, then the
+    earlier arrival reading, then the earlier departure reading, missing ones last.
     """
+    df = _one_per_checkpoint(df)
     order = Window.partitionBy(*ENTITY).orderBy("cp")
     read = F.col("_read_s")
     stepped_back = (F.lag("_read_s", 1, rules.start_s).over(order) - read) > rules.inversion_s

@@ -53,6 +53,14 @@ def share_spread(df: DataFrame, part: str, parts: Sequence[str]) -> DataFrame:
     )
 
 
+def listed(df: DataFrame, column: str, most: int = 200) -> list:
+    """The values of a column that becomes a row of columns; more than ``most`` is an error."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has over {most} values, too many for columns")
+    return sorted(found)
+
+
 def rank_by_edition(
     ranked: DataFrame, rank: str, time: str, editions: Sequence[int]
 ) -> DataFrame:

@@ -3,8 +3,9 @@
 The built-in ``percentile`` keeps every distinct value of a group in one aggregation buffer. Values
 are therefore first counted per (group, metric, value), which collapses repeats map-side, and the
 counts are materialised. If the fullest group has few enough distinct values, ``percentile`` with
-frequencies finishes the job; otherwise the counted values are sorted across the cluster and only
-the slices holding a wanted order statistic are read again. Both ways give the same result.
+frequencies finishes the job; otherwise the counted values are sorted across the cluster and joined
+with the order statistics wanted. Both ways weight the two neighbours of a quantile as
+``percentile`` does, so they agree in every bit and the bound decides about memory alone.
 """
 
 from __future__ import annotations
@@ -107,7 +108,9 @@ def _spread(
         .agg(at(low).alias("_below"), at(high).alias("_above"))
         .withColumn(
             "_q",
-            F.col("_below") + (F.col("_above") - F.col("_below")) * (F.col("_spot") - low),
+            F.when((low == high) | (F.col("_below") == F.col("_above")), F.col("_below")).otherwise(
+                (high - F.col("_spot")) * F.col("_below") + (F.col("_spot") - low) * F.col("_above")
+            ),
         )
     )
     outputs: list[Column] = []

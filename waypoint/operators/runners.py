@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waypoint.functions.clock import lenient_timestamp
-from waypoint.functions.numbers import bare_number, checkpoint_label, trailing_number
+from waypoint.functions.numbers import bare_number, bare_text, checkpoint_label, trailing_number
 from waypoint.operators.clock import ENTITY
 from waypoint.operators.joins import join_checked
 from waypoint.operators.ordered import ordinal_rank
@@ -26,8 +26,17 @@ RESULT_COLUMNS = [
 SUMMARY_COLUMNS = ["finish_rank", "furthest", "max_hrs", "overall_rank"]
 
 
-def attach_results(df: DataFrame, results: DataFrame) -> DataFrame:
-    """Official result and demographics of the entity, one result row per (edition, entity)."""
+def attach_results(
+    df: DataFrame, results: DataFrame, numeric_entities: bool = True
+) -> DataFrame:
+    """Official result and demographics of the entity, one result row per (edition, entity).
+
+    With ``numeric_entities=False`` entities are joined as text, a ``*`` aside.
+    """
+    if not numeric_entities:
+        found = [c for c in RESULT_COLUMNS if c in results.columns]
+        edition = F.col("edition").cast("long").alias("edition")
+        return df.join(results.select(edition, bare_text("entity").alias("entity"), *found), ENTITY, "left")
     found = [c for c in RESULT_COLUMNS if c in results.columns]
     numeric = dict(results.dtypes)["entity"] in ("bigint", "int")
     entity = F.col("entity").cast("long") if numeric else bare_number("entity")

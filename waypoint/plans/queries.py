@@ -437,15 +437,9 @@ def cohort_arrival_windows(spark, sf):
     return report.cohort_arrival_windows(p.stored_ratios(spark, sf))
 
 
-def _thinned_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Cohort windows without every third cell, as if those cohorts had not been recorded."""
-    windows = report.cohort_arrival_windows(p.stored_ratios(spark, sf))
-    return windows.where((F.col("finish_block") + F.col("station_id")) % 3 != 0)
-
-
 def _eta(spark: SparkSession, sf: str) -> DataFrame:
     stations = p.reference_stations(spark, sf).where("station_id > 0")
-    return pacing.eta_table(stations, _thinned_windows(spark, sf))
+    return pacing.eta_table(stations, report.cohort_arrival_windows(p.stored_ratios(spark, sf)))
 
 
 @query
@@ -455,7 +449,7 @@ def eta_table(spark, sf):
 
 @query
 def reproject_plan(spark, sf):
-    """One plan per customer; passages in the first 50 miles are the actual times."""
+    """One plan per customer; how many miles of passages are known differs between customers."""
     goal = rounded(18 + (F.col("c_acctbal") + 1000) / 550, 2)
     plans = p.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("plan_id"), goal.alias("goal_hrs")
@@ -466,9 +460,10 @@ def reproject_plan(spark, sf):
     known = p.crosswalk(spark, sf).where("station_id is not null")
     actuals = (
         p.rebuilt(spark, sf)
-        .where((F.col("position") <= 50) & F.col("arrive_hrs").isNotNull())
+        .where("arrive_hrs is not null")
         .join(known.select("edition", "checkpoint", "station_id"), ["edition", "checkpoint"])
         .join(buyers, "entity")
+        .where(F.col("position") <= 15 * (1 + F.col("plan_id") % p.CHECKPOINTS))
         .groupBy("plan_id", "station_id")
         .agg(F.min("arrive_hrs").alias("actual_hrs"))
     )
@@ -616,13 +611,14 @@ def share_table(spark, sf):
 
 @query
 def share_spread(spark, sf):
-    return finishers.share_spread(_finishers(spark, sf), "status", ["F", "O", "P"])
+    df = _finishers(spark, sf)
+    return finishers.share_spread(df, "status", finishers.listed(df, "status"))
 
 
 @query
 def rank_by_edition(spark, sf):
     df = finish_order(spark, sf)
-    years = list(range(1995, 2002))
+    years = finishers.listed(_finishers(spark, sf), "edition")
     wide = finishers.rank_by_edition(df, "finish_order", "minutes", years)
     return wide.withColumnsRenamed({str(y): f"y{y}" for y in years})
 
@@ -668,18 +664,24 @@ def median_frames(spark, sf):
 def csv_typed_scan(spark, sf):
     """Orders written as CSV and read with a declared schema."""
     path = scratch_path(spark, "orders-csv")
-    orders = p.table(spark, sf, "orders").drop("o_orderdate")
+    orders = p.table(spark, sf, "orders")
     tables.write_csv(orders, path)
-    return tables.read_csv(spark, path, orders.schema)
+    return _out(tables.read_csv(spark, path, orders.schema), orders.columns)
 
 
 @query
 def csv_text_scan(spark, sf):
     """Orders written as CSV and read as text with two typed columns; priorities do not fit."""
     path = scratch_path(spark, "orders-csv")
-    tables.write_csv(p.table(spark, sf, "orders").drop("o_orderdate"), path)
-    casts = {"o_orderkey": "long", "o_totalprice": "double", "o_orderpriority": "long"}
-    return tables.read_csv_text(spark, path, casts)
+    tables.write_csv(p.table(spark, sf, "orders"), path)
+    casts = {
+        "o_orderkey": "long",
+        "o_totalprice": "double",
+        "o_orderpriority": "long",
+        "o_orderdate": "timestamp_ntz",
+    }
+    df = tables.read_csv_text(spark, path, casts)
+    return _out(df, df.columns)
 
 
 @query
