@@ -19,7 +19,7 @@ CREDENTIAL = "(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|privat
 HARMLESS = "(?i)(sha-?1|sha-?256|md5|commit|checksum|hash|digest|uuid|guid|revision|version|build|order|invoice|isbn|id)[^\\n]{0,12}$"
 PATH = r"([\\/]|https?:|\.[a-z]{2,4}/|[?&]\w*=)\S*$"
 FEATURES = [
-    "length", "digit_share", "upper_share", "hex", "turns", "case_turns", "variety", "coverage", "path", "credential", "harmless", "assigned", "quoted",
+    "length", "digit_share", "upper_share", "hex", "turns", "case_turns", "variety", "coverage", "path", "slashes", "credential", "harmless", "assigned", "quoted",
 ]
 
 
@@ -73,6 +73,7 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
             "case_turns": cases / n,
             "variety": F.size(F.array_distinct(F.split(F.left(c, F.lit(256)), ""))) / F.least(n, F.lit(256)),
             "coverage": F.aggregate(known, F.lit(0), lambda s, w: s + F.char_length(w)) / n,
+            "slashes": F.regexp_count(c, F.lit("/")).cast("double"),
             "path": before.rlike(PATH).cast("double"),
             "credential": before.rlike(CREDENTIAL).cast("double"),
             "harmless": before.rlike(HARMLESS).cast("double"),
@@ -102,10 +103,15 @@ def made_findings(spark: SparkSession, n: int = 300, offset: int = 0) -> DataFra
         F.struct(F.substring(numbers, 1, 20).alias("c"), F.lit(0).alias("random")),
     )
     contexts = F.array(*[F.struct(F.lit(b).alias("before"), F.lit(a).alias("after"), F.lit(y).alias("y")) for b, a, y in CONTEXTS])
-    rows = spark.range(offset, offset + n).select(F.explode(values).alias("v"), contexts.alias("all")).select("v", F.explode("all").alias("x"))
-    return rows.select(
-        F.col("v.c").alias("candidate"), F.col("x.before").alias("before"), F.col("x.after").alias("after"), (F.col("v.random") * F.col("x.y")).cast("double").alias("label")
+    rows = spark.range(offset, offset + n).select("id", F.posexplode(values).alias("i", "v"), contexts.alias("all"))
+    rows = rows.select("id", "i", "v", F.posexplode("all").alias("j", "x"))
+    texts = rows.select(
+        (F.col("id") * 1000 + F.col("i") * 100 + F.col("j")).alias("id"),
+        F.concat(F.lit("and so "), F.col("x.before"), F.col("v.c"), F.col("x.after"), F.lit(" on")).alias("text"),
+        (F.col("v.random") * F.col("x.y")).cast("double").alias("label"),
     )
+    # found in their texts as all others are: a path may be part of a candidate
+    return candidates(texts, "id").join(texts.select("id", "label"), "id").select("candidate", "before", "after", "label")
 
 
 def sampled_findings(found: DataFrame, limit: int = 2000) -> DataFrame:
