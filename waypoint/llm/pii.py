@@ -359,13 +359,10 @@ def fit(labelled: list[tuple[str, list[Span]]], hidden: int = 16, steps: int = 2
 
 def labelled_sample(docs: DataFrame, limit: int = 400, max_chars: int = 20_000) -> list[tuple[str, list[Span]]]:
     """Labelled spans for training: a bounded sample of documents with digits or @, by hash of id and text, labelled by the base patterns."""
-    rows = (
-        docs.where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= max_chars))
-        .select("text", F.xxhash64("doc_id", "text").alias("h"))
-        .orderBy("h", "text")
-        .limit(limit)
-        .collect()
-    )
+    found = docs.where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= max_chars)).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    # hashes alone settle the bound, so that no slice sends ``limit`` texts
+    bound = found.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    rows = found.where(F.col("h") <= F.lit(bound)).orderBy("h", "text").limit(limit).collect()
     return [(r[0], base_spans(r[0])) for r in rows]
 
 
