@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from waypoint.llm.common import filesystem, track
 from waypoint.session import scratch_path
 
 MARK = "▁"
 #: Code points of a word whose cuts fit a long; rows of a dictionary that workers may hold (16 bytes each).
-MAX_WORD, MAX_ROWS = 62, 16_000_000
-CACHE_SIZE = 300_000
+MAX_WORD, MAX_ROWS = 61, 16_000_000
+CACHE_SIZE = 400_000
 
 
 @dataclass
@@ -112,7 +115,7 @@ def _bit(k: Column) -> Column:
 
 
 def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, cuts) for the distinct words (column word, at most 62 code points) that hold a piece of two or more.
+    """(word, cuts) for the distinct words (column word, at most 61 code points) that hold a piece of two or more.
 
     Substrings of at most the longest piece's length are exploded and equi-joined to the piece table (as
     many rows as the model has pieces, so it is broadcast). Edges are grouped by word, in the partitioning
@@ -156,10 +159,16 @@ def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def distinct_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
-    """Distinct words of all texts: a run of marks (escaped spaces) and what follows up to the next."""
-    escaped = F.concat(F.lit(MARK), F.replace(F.col(text_col), F.lit(" "), F.lit(MARK)))
-    words = docs.where(F.char_length(text_col) > 0).select(F.explode(F.regexp_extract_all(escaped, F.lit(pieces.word_pattern()), F.lit(0))).alias("word"))
-    return words.where(F.char_length("word").between(2, MAX_WORD)).distinct()
+    """Distinct words of all texts: a mark (for the space before) and what follows up to the next space or line feed.
+
+    The first word of a later line has no mark. Words with several marks are left to the workers.
+    """
+    lines = docs.select(F.posexplode(F.split(text_col, "\n")).alias("line", "words")) if pieces.breaks else docs.select(F.lit(0).alias("line"), F.col(text_col).alias("words"))
+    words = lines.select("line", F.posexplode(F.split("words", " ")).alias("at", "w"))
+    bare = (F.col("line") > 0) & (F.col("at") == 0)
+    marked = words.where("w <> ''").select(F.when(bare, F.col("w")).otherwise(F.concat(F.lit(MARK), "w")).alias("word"))
+    # distinct by the word alone: the edges of a word are grouped later in the same partitioning
+    return marked.where(F.char_length("word").between(2, MAX_WORD)).distinct()
 
 
 _tables: tuple[str, tuple[np.ndarray, np.ndarray]] | None = None
@@ -181,51 +190,117 @@ def _dictionary(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts inside a task: words by the dictionary of cuts, or by folding where there is none."""
+    """Ids of texts inside a task: words by the dictionary of cuts, or by merging where there is none."""
 
     def __init__(self, pieces: Pieces, path: str | None) -> None:
         self.pieces, self.find = pieces, re.compile(pieces.word_pattern()).findall
         self.table = _dictionary(path) if path else None
-        self.cache: dict[str, list[int]] = {}
+        self.plain: dict[str, bytes] = {}  # by word
+        self.spaced: dict[str, bytes] = {}  # by what follows a mark
+        self.line_feed = self.packed("\n", [0, 1])
 
-    def ids_of(self, word: str, cuts: list[int]) -> list[int]:
-        out = []
+    def packed(self, word: str, cuts: list[int]) -> bytes:
+        """The ids between cuts, four bytes each."""
+        out, ids = [], self.pieces.ids
         for a, b in zip(cuts, cuts[1:], strict=False):
-            k = self.pieces.ids.get(word[a:b])
+            k = ids.get(word[a:b])
             out += [self.pieces.byte_ids[x] for x in word[a:b].encode()] if k is None else [k]
-        return out
+        return struct.pack(f"<{len(out)}i", *out)
 
-    def learn(self, words: list[str]) -> None:
+    def cut(self, words: list[str]) -> Iterator[list[int]]:
+        """Cuts of words; those that the dictionary does not hold have no merges, others are merged here."""
         if self.table is None:
-            for w in words:
-                self.cache[w] = self.ids_of(w, merge_word(w, self.pieces))
+            yield from (merge_word(w, self.pieces) for w in words)
             return
         keys, cuts = self.table
         own = np.fromiter(map(xxhash.xxh64_intdigest, [w.encode() for w in words], repeat(42)), np.uint64, len(words))
         at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        known = keys[at] == own if len(keys) else np.zeros(len(words), bool)
-        for w, k, c in zip(words, known.tolist(), cuts[at].tolist() if len(keys) else repeat(0), strict=False):
-            n = len(w)
-            if n > MAX_WORD or (k and not c):
-                places = merge_word(w, self.pieces)
+        known = (keys[at] == own).tolist() if len(keys) else [False] * len(words)
+        found = cuts[at].tolist() if len(keys) else [0] * len(words)
+        for w, k, c in zip(words, known, found, strict=True):
+            if len(w) > MAX_WORD or (k and not c) or w.count(MARK) > 1 or MARK in w[1:]:
+                yield merge_word(w, self.pieces)
             elif k:
-                bits = bin(c)[:1:-1]
-                places = [j for j in range(n + 1) if bits[j] == "1"]
+                yield [j for j, x in enumerate(reversed(bin(c))) if x == "1"]
             else:
-                places = list(range(n + 1))
-            self.cache[w] = self.ids_of(w, places)
+                yield list(range(len(w) + 1))
 
-    def encode(self, text: str | None) -> Iterator[int]:
-        if not text:
-            return iter(())
+    def learn(self, cache: dict[str, bytes], mark: str, missed: set[str]) -> None:
+        words = list(missed)
+        for w, cuts in zip(words, self.cut([mark + w for w in words]), strict=True):
+            cache[w] = self.packed(mark + w, cuts)
+
+    def _slow(self, text: str) -> bytes:
+        """Any text: runs of spaces, marks in the text, spaces at line ends."""
         words = self.find(MARK + text.replace(" ", MARK))
-        missed = list(set(words).difference(self.cache))
-        if missed:
-            if len(self.cache) > CACHE_SIZE:
-                self.cache = {}
-                missed = list(set(words))
-            self.learn(missed)
-        return chain.from_iterable(map(self.cache.__getitem__, words))
+        own = {}
+        for w in set(words):
+            own[w] = self.packed(w, merge_word(w, self.pieces))
+        return b"".join(map(own.__getitem__, words))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.int32)
+        lines = text.split("\n") if self.pieces.breaks else [text]
+        split = [x.split(" ") for x in lines]
+        if MARK in text or any("" in x and len(x) > 1 for x in split) or not lines[0]:
+            return np.frombuffer(self._slow(text), np.int32)
+        spaced, plain = set(split[0]), set()
+        for x in split[1:]:
+            if x[0]:
+                plain.add(x[0])
+            spaced.update(x[1:])
+        if len(self.spaced) + len(self.plain) > CACHE_SIZE:
+            self.spaced, self.plain = {}, {}
+        if missed := spaced.difference(self.spaced):
+            self.learn(self.spaced, MARK, missed)
+        if missed := plain.difference(self.plain):
+            self.learn(self.plain, "", missed)
+        by_word, out = self.spaced.__getitem__, [b"".join(map(self.spaced.__getitem__, split[0]))]
+        for x in split[1:]:
+            out.append(self.line_feed)
+            if x[0]:
+                out.append(self.plain[x[0]])
+            out.extend(map(by_word, x[1:]))
+        return np.frombuffer(b"".join(out), np.int32)
+
+
+class Decoder:
+    """Text of ids: surfaces joined, marks as spaces, the dummy prefix taken off, invalid bytes as U+FFFD."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.sizes = np.array([len(x) for x in pieces.surfaces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(pieces.surfaces), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        places = np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(total)
+        raw = self.bytes[places].tobytes()
+        raw = raw[1:] if raw[:1] == b" " else raw
+        return raw.decode("utf-8", "replace").encode() if len(ids) else raw
+
+
+def _parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most about ``most`` bytes of a column, so that what is made of them stays small."""
+    sizes = pc.coalesce(pc.binary_length(batch.column(column)), 0).to_pylist()
+    lo, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > lo and total + n > most:
+            yield batch.slice(lo, k - lo)
+            lo, total = k, 0
+        total += n
+    yield batch.slice(lo)
+
+
+def cut_dictionary(docs: DataFrame, pieces: Pieces, text_col: str = "text", max_rows: int = MAX_ROWS) -> str | None:
+    """Folder of the cuts of all distinct words, or none if they are more than workers may hold."""
+    path = track(scratch_path(docs.sparkSession, "cuts"))
+    cuts = word_cuts(distinct_words(docs, pieces, text_col), pieces)
+    cuts.select(F.xxhash64("word").alias("key"), F.coalesce("cuts", F.lit(0)).alias("cuts")).write.parquet(path)
+    return path if docs.sparkSession.read.parquet(path).count() <= max_rows else None
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
@@ -235,54 +310,65 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", max_rows: i
     relational lattice of ``word_cuts`` and the cuts written to the shared folder, 16 bytes a word. If
     the written dictionary has at most ``max_rows`` rows, every worker reads it and cuts texts in
     place, so texts are never shuffled; beyond that workers merge words themselves, as they do
-    words of over 62 code points. Both give the same ids.
+    words of over 61 code points and texts with runs of spaces. All give the same ids.
 
     Defined cases: null and empty texts have no ids; repeated rows are each encoded; an empty table gives
     an empty table; white space other than the space is text like any other.
     """
     pieces = load_pieces(model_path)
-    path: str | None = track(scratch_path(docs.sparkSession, "cuts"))
-    cuts = word_cuts(distinct_words(docs, pieces, text_col), pieces).select(F.xxhash64("word").alias("key"), F.coalesce("cuts", F.lit(0)).alias("cuts"))
-    cuts.write.parquet(path)
-    if docs.sparkSession.read.parquet(path).count() > max_rows:
-        path = None
-
-    @F.arrow_udf(ArrayType(IntegerType()))
-    def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    path = cut_dictionary(docs, pieces, text_col, max_rows)
+    source = docs.drop("ids")
+    shape = StructType([*source.schema.fields, StructField("ids", ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces, path)
-        for texts in columns:
-            parts, ends = [], [0]
-            for t in texts:
-                own = np.fromiter(encoder.encode(t.as_py()), np.int32)
-                parts.append(own)
-                ends.append(ends[-1] + len(own))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
+        for batch in batches:
+            for part in _parts(batch, text_col):
+                own = [encoder.encode(t.as_py()) for t in part.column(text_col)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.empty(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
-    return docs.withColumn("ids", ids(text_col))
+    return source.mapInArrow(run, shape)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """Adds the text of the ids: surfaces joined, marks as spaces, the dummy prefix taken off, invalid bytes as U+FFFD."""
-    surfaces = load_pieces(model_path).surfaces
+    """Adds the text of the ids; null ids are no ids, which is the empty text."""
+    pieces = load_pieces(model_path)
 
     @F.arrow_udf("string")
-    def text(lists: pa.Array) -> pa.Array:
-        out = []
-        for x in lists:
-            raw = b"".join(map(surfaces.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b""
-            out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+    def text(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder = Decoder(pieces)
+        for lists in columns:
+            yield pa.array([decoder.decode(x.values.to_numpy(zero_copy_only=False)).decode() if x.is_valid else "" for x in lists], pa.string())
 
     return encoded.withColumn(to, text(ids_col))
 
 
+REPORT = "n_pieces bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+
+
 def report(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_pieces, a hash of the ids, the SHA-256 of the decoded text, and whether it equals the text."""
-    out = decode(encode(docs.select("doc_id", "text"), model_path), model_path)
-    return out.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
-    )
+    """doc_id, n_pieces, SHA-256 of the ids (32-bit little-endian) and of the decoded text, and whether it equals the text.
+
+    Encodes and decodes in one pass, so ids stay in the task.
+    """
+    pieces = load_pieces(model_path)
+    path = cut_dictionary(docs, pieces)
+    source = docs.select("doc_id", "text")
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(pieces, path), Decoder(pieces)
+        for batch in batches:
+            rows = []
+            for t in batch.column("text"):
+                text = t.as_py() or ""
+                ids = encoder.encode(text)
+                back = decoder.decode(ids)
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            made = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
+
+    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {REPORT}")
