@@ -26,7 +26,7 @@ from waypoint.session import scratch_path
 MARK = "▁"
 #: Code points of a word whose cuts fit a long; rows of a dictionary that workers may hold (16 bytes each).
 MAX_WORD, MAX_ROWS = 61, 16_000_000
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 
 
 @dataclass
@@ -181,11 +181,21 @@ def _dictionary(path: str) -> tuple[np.ndarray, np.ndarray]:
         _tables = None
         fs, folder = filesystem(path)
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.path.endswith(".parquet")]
-        parts = [pq.read_table(fs.open_input_file(f)) for f in files]
-        t = pa.concat_tables(parts) if parts else pa.table({"key": pa.array([], pa.int64()), "cuts": pa.array([], pa.int64())})
-        keys, cuts = t.column("key").to_numpy().view(np.uint64), t.column("cuts").to_numpy()
+        opened = [pq.ParquetFile(fs.open_input_file(f)) for f in files]
+        total, at = sum(f.metadata.num_rows for f in opened), 0
+        keys, cuts = np.empty(total, np.uint64), np.empty(total, np.int64)
+        for f in opened:  # filled in place: a worker never holds the rows twice
+            for batch in f.iter_batches(columns=["key", "cuts"]):
+                end = at + batch.num_rows
+                keys[at:end] = batch.column("key").to_numpy().view(np.uint64)
+                cuts[at:end] = batch.column("cuts").to_numpy()
+                at = end
         order = np.argsort(keys)
-        _tables = path, (keys[order], cuts[order])
+        keys = keys[order]
+        cuts = cuts[order]
+        del order
+        pa.default_memory_pool().release_unused()
+        _tables = path, (keys, cuts)
     return _tables[1]
 
 
