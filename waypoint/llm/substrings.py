@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from waypoint.llm.common import filesystem, mix, stored, track, word_hashes
+from waypoint.llm.common import filesystem, mix, track, word_hashes
 from waypoint.session import scratch_path
 
 #: Windows handled together in a task; bounds its memory.
@@ -154,7 +155,7 @@ def _sketch_bits(path: str, bits: int) -> np.ndarray:
         fs, folder = filesystem(path)
         out = np.zeros((ROWS, 1 << (bits - 3)), np.uint8)
         width = 1 << (BLOCK_BITS - 3)
-        files = [f.path for f in fs.get_file_info(pa.fs.FileSelector(folder)) if f.path.endswith(".parquet")]
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.path.endswith(".parquet")]
         for file in files:
             for batch in pq.ParquetFile(fs.open_input_file(file)).iter_batches(batch_size=16):
                 for r, b, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -178,11 +179,11 @@ def repeated_windows(docs: DataFrame, size: int = 35, bits: int = 29) -> DataFra
     The second pass meets each window estimated repeated once more. What repeats within a chunk of a
     task is known to repeat and stays there as runs of positions; other tasks learn of it from one row
     per key. So a key has one row per chunk at most, however many documents share it. These rows are
-    grouped by the whole 128-bit key.
+    shuffled once and counted by 96 bits of their keys. ``hash`` tells apart texts under one id.
     """
     path = sketch(docs, size, bits)
     kind = dict(docs.dtypes)["doc_id"]
-    shape = f"k1 bigint, k2 bigint, n int, id {kind}, hash bigint, pos int, runs array<int>"
+    shape = f"k1 bigint, k2 int, id {kind}, at bigint, runs array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, found, names = _sketch_bits(path, bits), _Windows(size), []
@@ -190,63 +191,61 @@ def repeated_windows(docs: DataFrame, size: int = 35, bits: int = 29) -> DataFra
         def out(ids: pa.DataType) -> pa.RecordBatch:
             a, b, tag, pos = found.take()
             keep = _estimated_repeated(a, table, bits)
-            a, b, tag, pos = a[keep], b[keep], tag[keep], pos[keep]
+            a, b, tag, pos = a[keep], (b[keep] >> np.uint64(32)).astype(np.uint32), tag[keep], pos[keep]
+            hashes = np.array([h for _, h in names], np.int64)
             order = np.lexsort((b, a))
             fresh = np.ones(len(a), bool)
             fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
             group = np.cumsum(fresh) - 1
-            size_of = np.bincount(group, minlength=0)
+            several = np.bincount(group, minlength=1)[group] > 1
             many = np.empty(len(a), bool)
-            many[order] = size_of[group] > 1
-            heads = order[fresh & (size_of[group] > 1)] if len(a) else order
-            once = np.flatnonzero(~many)
-            settled = np.flatnonzero(many)  # in order of text and position
+            many[order] = several
+            heads, once, settled = order[fresh & several], np.flatnonzero(~many), np.flatnonzero(many)
+            # runs of settled positions, in order of text and position
             cut = np.ones(len(settled), bool)
             cut[1:] = (tag[settled][1:] != tag[settled][:-1]) | (pos[settled][1:] != pos[settled][:-1] + 1)
             starts = np.flatnonzero(cut)
-            first, last = pos[settled[starts]], pos[settled[np.append(starts[1:], len(settled)) - 1]] if len(settled) else pos[:0]
-            owner = tag[settled[starts]]
-            by_text = np.flatnonzero(np.diff(owner, prepend=-1)) if len(owner) else np.empty(0, int)
-            runs = [
-                np.stack([first[lo:hi], last[lo:hi]], 1).ravel().tolist()
-                for lo, hi in zip(by_text, [*by_text[1:], len(owner)], strict=True)
-            ] if len(owner) else []
+            first, last, owner = pos[settled[starts]], pos[settled[np.append(starts[1:], len(settled))[: len(starts)] - 1]], tag[settled[starts]]
+            edges = np.flatnonzero(np.diff(owner, prepend=-1))
+            runs = [np.stack([first[lo:hi], last[lo:hi]], 1).ravel() for lo, hi in zip(edges, [*edges[1:], len(owner)], strict=True)] if len(edges) else []
+            owner = owner[edges]
             h, o, t = len(heads), len(once), len(runs)
-            none = lambda n: np.ones(n, bool)
-            rows = np.concatenate([heads, once])
-            tags = np.concatenate([tag[once], owner[by_text]]).astype(int)
-            who = [None] * h + [names[x][0] for x in tags]
-            texts = [None] * h + [names[x][1] for x in tags]
+            at = np.concatenate([np.zeros(h, np.int64), hashes[tag[once]] >> 32 << 32 | pos[once], hashes[owner] >> 32 << 32])
+            # rows of runs need no partner: copies of a text go to different partitions
+            spread = mix(hashes[owner].view(np.uint64) + np.arange(t, dtype=np.uint64)).view(np.int64)
+            yes, no = np.ones, np.zeros
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([a[rows].view(np.int64), np.zeros(t, np.int64)]), mask=np.concatenate([~none(h + o), none(t)])),
-                    pa.array(np.concatenate([b[rows].view(np.int64), np.zeros(t, np.int64)]), mask=np.concatenate([~none(h + o), none(t)])),
-                    pa.array([2] * h + [1] * o + [None] * t, pa.int32()),
-                    pa.array(who, ids),
-                    pa.array(texts, pa.int64()),
-                    pa.array(np.concatenate([np.zeros(h, np.int32), pos[once], np.zeros(t, np.int32)]), mask=np.concatenate([none(h), ~none(o), none(t)])),
-                    pa.array([None] * (h + o) + runs, pa.list_(pa.int32())),
+                    pa.array(np.concatenate([a[heads].view(np.int64), a[once].view(np.int64), spread])),
+                    pa.array(np.concatenate([b[heads].view(np.int32), b[once].view(np.int32), no(t, np.int32)]), mask=np.concatenate([no(h + o, bool), yes(t, bool)])),
+                    pa.array([None] * h + [names[x][0] for x in np.concatenate([tag[once], owner])], ids),
+                    pa.array(at, mask=np.concatenate([yes(h, bool), no(o + t, bool)])),
+                    pa.array([None] * (h + o) + [r.tolist() for r in runs], pa.list_(pa.int32())),
                 ],
-                ["k1", "k2", "n", "id", "hash", "pos", "runs"],
+                ["k1", "k2", "id", "at", "runs"],
             )
 
         for batch in batches:
+            ids = batch.schema.field(0).type
             for k, text in enumerate(batch.column(2).cast(pa.binary())):
                 names.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py()))
                 found.add(text.as_py(), len(names) - 1)
                 if found.count >= CHUNK:
-                    yield out(batch.schema.field(0).type)
+                    yield out(ids)
                     names = []
-            ids = batch.schema.field(0).type
         if found.count:
             yield out(ids)
 
     source = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    rows = stored(source.mapInArrow(run, shape), "windows")
-    keyed = rows.where("k1 is not null")
-    repeated = keyed.groupBy("k1", "k2").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-    hits = keyed.where("pos is not null").join(repeated, ["k1", "k2"]).select("id", "hash", "pos", F.lit(None).cast("array<int>").alias("runs"))
-    return hits.unionByName(rows.where("runs is not null").select("id", "hash", "pos", "runs"))
+    same = Window.partitionBy("k1", "k2")
+    told = F.col("at").isNull()  # repeats within a chunk
+    rows = source.mapInArrow(run, shape).withColumn("n", F.sum(F.when(told, 2).otherwise(1)).over(same))
+    return rows.where("runs is not null or (n > 1 and at is not null)").select(
+        "id",
+        F.shiftright("at", 32).alias("hash"),
+        F.when(F.col("runs").isNull(), F.col("at").bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("pos"),
+        "runs",
+    )
 
 
 KEPT = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
@@ -284,7 +283,7 @@ def without_repeats(docs: DataFrame, size: int = 35, bits: int = 29) -> DataFram
     places = repeated_windows(docs, size, bits).groupBy("id", "hash").agg(
         F.collect_list("pos").alias("pos"), F.flatten(F.collect_list("runs")).alias("runs")
     )
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_hash"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.shiftright(F.xxhash64("text"), 32).alias("_hash"))
     joined = own.join(places, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")), "left")
     out = joined.select("doc_id", cut("text", "pos", "runs").alias("c"))
     return out.select("doc_id", "c.n_words", "c.n_removed", F.col("c.kept").alias("kept_text"))
