@@ -74,3 +74,36 @@ def test_recall_of_edited_items_and_blocks(spark, rows, monkeypatch):
     assert d.keep_clean(df, bench).count() == 0
     assert d.contaminated(df, bench.limit(0)).count() == 0 and d.keep_clean(df, bench.limit(0)).count() == 40
     assert d.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_every_item_within_the_limit_is_found_at_its_best_place():
+    rng = random.Random(8)
+    for lengths, seed in (((15, 38, 59), 1), ((120, 250), 2)):
+        texts = [" ".join(words(rng, n)).encode() for n in lengths for _ in range(6)]
+        for within in (1.0, 0.5):
+            assert d.expected_recall(texts, 0.2, seed, rounds=4, within=within) == 1.0
+
+
+def test_places_and_edits_match_brute_force():
+    rng = random.Random(9)
+    few = lambda n: [f"v{rng.randrange(5)}" for _ in range(n)]
+    items = [few(n) for n in (5, 6, 9, 10, 14, 15, 21, 30) for _ in range(3)]
+    texts = [few(rng.randrange(1, 60)) for _ in range(12)] + [[], ["v1"]]
+    for own in items:  # edited copies at the start, inside and at the end of texts
+        copy = list(own)
+        for _ in range(rng.randrange(len(own) // 5 + 2)):
+            at, kind = rng.randrange(len(copy)), rng.randrange(3)
+            copy[at : at + (kind != 2)] = [] if kind == 1 else few(1)
+        texts.append(few(rng.choice([0, 25])) + copy + few(rng.choice([0, 20])))
+    want = []
+    for text in texts:
+        hits = {}
+        for k, own in enumerate(items):
+            limit = int(0.2 * len(own))
+            places = [(edits(own, text[s : s + len(own) + limit]), s) for s in range(len(text))]
+            if places and min(places)[0] <= limit:
+                hits[k] = min(places)
+        want.append(hits)
+    prepared = d.prepare([" ".join(w).encode() for w in items], 0.2, 5)
+    assert d.find([" ".join(w).encode() for w in texts], prepared) == want
+    assert sum(map(len, want)) > len(items) // 2
