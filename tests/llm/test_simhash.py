@@ -82,3 +82,20 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(k, k + 1) for k in range(0, 300)] + [(1000, k) for k in range(1001, 1400)] + [(5000, 5000)]
     got = {r.node: r.root for r in common.connected(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
     assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1400)}
+
+
+def test_one_row_per_component_of_null_and_repeated_ids(spark, rows):
+    lone = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcd"]
+    data = [(None, lone[0]), (None, lone[0]), (None, lone[1]), (None, lone[1]), (4, lone[2]), (4, lone[3]), (4, lone[3]), (None, lone[2])]
+    df = rows([(i, t, "x") for i, t in data], "doc_id bigint, text string, lang string").repartition(3)
+    assert len(set(brute_groups([brute_fingerprint(t) for t in lone], 2))) == 4
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, lone[0]), (None, lone[1]), (4, lone[2]), (4, lone[3])], key=str)
+
+
+def test_copies_of_an_id_with_other_text_in_the_same_component_go(spark, rows):
+    base = " ".join(f"word{k}" for k in range(400))
+    df = rows([(1, base), (1, base.upper()), (2, base), (None, None), (None, "")], "doc_id bigint, text string")
+    kept = [(r.doc_id, (r.text or "").lower()) for r in simhash.keep_one(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, base), (None, "")], key=str)

@@ -86,6 +86,14 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return links.where((tally >= 8 - max_bits) & (F.bit_count(differing) <= max_bits))
 
 
+def _labelled(own: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, low, root) of every fingerprint of ``own`` (id, fp): its least id and the least fingerprint it is linked to."""
+    least = own.groupBy("fp").agg(F.min("id").alias("low"))
+    roots = connected(fingerprint_links(own.select("fp").distinct(), max_bits))
+    labelled = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return stored(labelled, "labelled")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2
 ) -> DataFrame:
@@ -98,10 +106,7 @@ def near_duplicates(
     Copies are one fingerprint before anything is linked, so a group of copies of any size adds one row.
     """
     own = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = own.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = connected(fingerprint_links(own.select("fp").distinct(), max_bits))
-    labelled = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    labelled = stored(labelled, "labelled")
+    labelled = _labelled(own, max_bits)
     groups = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     named = labelled.join(groups, "root").select("fp", "component_id")
     return own.join(named, "fp").select(
@@ -110,7 +115,20 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """Rows of ``docs`` with the least id of each component, one row per id; a component of null ids keeps one row."""
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    stay = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_sh_id")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_sh_id")), "left_semi").dropDuplicates([id_col])
+    """One row of ``docs`` per component, also where ids are null or repeated: that of the least id, nulls last, then of the least text hash.
+
+    Rows are told apart by id, fingerprint and text hash; of rows alike in all three any one stays.
+    """
+    order = [F.col("id").isNull().alias("none"), "id", "text_hash", "fp"]
+    text = F.xxhash64(F.col(text_col), F.col(text_col).isNull())
+    keyed = docs.select(F.struct(id_col, text.alias("text_hash")).alias("_k"), text_col)
+    own = fingerprints(keyed, "_k", text_col, shingle).select(F.col(f"id.{id_col}").alias("id"), "fp", "id.text_hash")
+    own = stored(own, "fingerprints")
+    labelled = _labelled(own, max_bits)
+    # the least row of each fingerprint first, so that a group of copies meets its component as one row
+    firsts = own.groupBy("fp").agg(F.min(F.struct(*order)).alias("first"))
+    chosen = labelled.select("fp", "root").join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    # two components may choose alike in id and text hash only if two texts share a hash
+    stay = chosen.select(F.col("first.id").alias("_sh_id"), F.col("first.text_hash").alias("_sh_hash")).distinct()
+    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_sh_id")) & (text == F.col("_sh_hash")), "left_semi")
+    return kept.withColumn("_sh_hash", text).dropDuplicates([id_col, "_sh_hash"]).drop("_sh_hash")
