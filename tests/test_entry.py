@@ -28,3 +28,12 @@ def test_queries_against_sql(spark, name):
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({oracle_sql()[name]})").fetchall()
     got = [tuple(r) for r in df.select(*columns).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_model_queries_train_as_the_operator_does_by_default():
+    from waypoint.operators.model import Training
+    from waypoint.plans import queries as plans
+
+    for training in (plans.TRIAL, plans.ARRIVAL_TRIAL):
+        assert (training.iterations, training.depth, training.step) == (300, 6, 0.05)
+        assert (training.iterations, training.depth, training.step) == (Training().iterations, Training().depth, Training().step)

@@ -33,12 +33,10 @@ from waypoint.sources import gpx, tables
 
 HISTORY_UNTIL = 1997
 HOLDOUT = 1998
-TRIAL = model.Training(iterations=3, depth=3, holdout_edition=HOLDOUT)
+TRIAL = model.Training(holdout_edition=HOLDOUT)
 ARRIVAL_TRIAL = model.Training(
     features=list(model.ARRIVAL_FEATURES),
     target="elapsed_hrs",
-    iterations=3,
-    depth=3,
     holdout_edition=HOLDOUT,
 )
 
