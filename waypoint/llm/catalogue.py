@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waypoint.llm import decontaminate, lines, pieces, pii, quality, secrets, simhash, substrings, tokens, warc
+from waypoint.llm import decontaminate, lines, merkle, pieces, pii, quality, secrets, simhash, substrings, tokens, warc
 from waypoint.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,9 +54,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def sql() -> dict[str, str]:
-    return {"op5_warc": warc.SQL, "op6_substring_dedup": substrings.SQL, "op8_line_dedup": lines.SQL}
+    return {"op5_warc": warc.SQL, "op6_substring_dedup": substrings.SQL, "op8_line_dedup": lines.SQL, "op11_merkle_manifest": merkle.SQL}
