@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waypoint.llm import decontaminate, lines, merkle, periods, pieces, pii, quality, secrets, simhash, substrings, tokens, warc
+from waypoint.llm import classifier, decontaminate, lines, merkle, periods, pieces, pii, quality, secrets, simhash, substrings, tokens, warc
 from waypoint.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.report(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
