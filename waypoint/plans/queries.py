@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waypoint.functions.clock import clock_label, lenient_timestamp, minutes_of_text
 from waypoint.functions.numbers import rounded
 from waypoint.naming import RACE_META, bind, unbind
 from waypoint.operators import (
+    boosting,
     clock,
     course,
     explore,
@@ -326,9 +326,26 @@ def metrics_rows(spark, sf):
     return spark.read.schema("name STRING, value DOUBLE, step INT").json(path)
 
 
+RANDOM_SPLIT = model.Training(holdout_edition=None)
+
+
+@query
+def random_split_report(spark, sf):
+    """The baseline on a fifth of the rows, chosen by a hash of their key."""
+    features = _unranked(spark, sf)
+    fit_rows, validated, medians = model.stop_baseline(features, RANDOM_SPLIT, p.COURSE)
+    median = medians.where("cp is null").select("median_stop_min")
+    df = model.holdout_report(fit_rows, validated, "stop_min", median)
+    return _out(df, df.columns, mae_naive=4, median_stop_min=4)
+
+
+def _stop_trial(spark: SparkSession, sf: str) -> model.Trained:
+    return model.train_stop_model(_stored_features(spark, sf), TRIAL, p.COURSE)
+
+
 @query
 def stop_model_report(spark, sf):
-    return model.train_stop_model(_stored_features(spark, sf), TRIAL, p.COURSE).report
+    return _stop_trial(spark, sf).report
 
 
 @query
@@ -336,16 +353,73 @@ def arrival_model_report(spark, sf):
     return model.train_arrival_model(_stored_features(spark, sf), ARRIVAL_TRIAL).report
 
 
+@query
+def arrival_model_beats_baseline(spark, sf):
+    """Whether the arrival model errs less than the pace of the field, with the baseline's figures."""
+    df = model.train_arrival_model(_stored_features(spark, sf), ARRIVAL_TRIAL).report
+    better = (F.col("mae_model") < F.col("mae_naive")).alias("model_is_better")
+    return _out(df.select("*", better), ["n_fit", "n_val", "mae_naive", "median_pace", "model_is_better"], mae_naive=4, median_pace=6)
+
+
+@query
+def model_residuals(spark, sf):
+    """Error of model and baseline per checkpoint; the model's as whether it is there and no outlier."""
+    df = model.residuals_by_station(_stop_trial(spark, sf).validated)
+    return df.select("cp", "n", rounded("mae_naive", 4).alias("mae_naive"), F.col("mae_model").between(0, 120).alias("has_model_error"))
+
+
+@query
+def residual_rows(spark, sf):
+    """Actual and predicted stops of the held-out rows."""
+    df = model.prediction_rows(_stop_trial(spark, sf).validated, [*KEY, "cp"])
+    return df.select(
+        *KEY,
+        *[rounded(c, 4).alias(c) for c in ("actual", "naive", "error_naive")],
+        (F.abs(F.col("model") - F.col("actual") - F.col("error_model")) < 1e-9).alias("has_model_error"),
+    )
+
+
+@query
+def model_nodes(spark, sf):
+    """The fitted model as a table: rows at the root of each tree, and whether its nodes fit together."""
+    df = model.node_checks(model.fit(model.observed_stops(_stored_features(spark, sf), p.COURSE), TRIAL))
+    return df.select("tree", "n_rows", "leaves_hold_values", (F.col("depth") <= TRIAL.depth).alias("within_depth"), "children_add_up")
+
+
 @query
 def impute_with_model(spark, sf):
-    """Stops of the boosted trees, saved and loaded before use, fill the one-sided times."""
+    """Stops of the boosted trees, saved and loaded before use, fill the one-sided times.
+
+    The filled values depend on the model, so what is returned of them is whether they lie where they
+    must: arrivals from the previous time to the departure, stops from 0 to 120 minutes.
+    """
+    before = Window.partitionBy("edition", "entity").orderBy("cp")
     features = _stored_features(spark, sf)
     path = scratch_path(spark, "stop-model")
-    rows = model.observed_stops(features, p.COURSE)
-    model.fit(rows, TRIAL).write().overwrite().save(path)
-    predict = model.predict_stops(PipelineModel.load(path))
-    df = impute.impute_times(features, predict, p.COURSE)
-    return df.select(*KEY, "arrive_hrs", "depart_hrs", "stop_min", "stop_imputed")
+    model.fit(model.observed_stops(features, p.COURSE), TRIAL).save(path)
+    predict = model.predict_stops(boosting.Trees.load(spark, path))
+    given = features.withColumns(
+        {
+            "arrive_given": F.col("arrive_hrs"),
+            "depart_given": F.col("depart_hrs"),
+            "previous": F.coalesce(F.lag(F.coalesce("arrive_hrs", "depart_hrs")).over(before), F.lit(0.0)),
+        }
+    )
+    df = impute.impute_times(given, predict, p.COURSE)
+    arrive, depart = F.col("arrive_hrs"), F.col("depart_hrs")
+    late = F.greatest("previous", "depart_given")
+    return df.select(
+        *KEY,
+        "arrive_imputed",
+        "depart_imputed",
+        "stop_imputed",
+        rounded("arrive_given", 6).alias("arrive_given"),
+        rounded("depart_given", 6).alias("depart_given"),
+        F.when(F.col("arrive_imputed"), arrive.between(F.col("previous"), late)).alias("arrive_within"),
+        F.when(F.col("depart_imputed"), depart.between(F.col("arrive_given"), F.col("arrive_given") + 2)).alias("depart_within"),
+        F.when(F.col("stop_imputed"), F.col("stop_min").between(0, 120)).alias("stop_within"),
+        (arrive.eqNullSafe(F.col("arrive_given")) | F.col("arrive_imputed")).alias("arrive_kept"),
+    )
 
 
 _HOURS = dict(arrive_hrs=6, depart_hrs=6, stop_min=4)

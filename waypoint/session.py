@@ -7,8 +7,12 @@ folder of the cluster, so it survives the loss of an executor.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +42,18 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context: they import it wherever they run."""
+    sc = spark.sparkContext
+    if any(name.startswith("waypoint-code") for name in sc._python_includes):
+        return
+    folder = tempfile.mkdtemp(prefix="waypoint-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    top = Path(__file__).resolve().parent
+    path = f"{folder}/waypoint-code-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(path)
