@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from waypoint.operators.joins import join_checked
 from waypoint.operators.ordered import SLICE, nearest_on_axis, ordered_slices, ordinal_rank, running_sum, with_previous
-from waypoint.operators.quantiles import grouped_quantiles
+from waypoint.operators.quantiles import _bin, grouped_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -53,11 +53,11 @@ def test_running_sum_and_previous(skewed):
     assert before.join(want, "id").where("NOT (prev_v <=> p)").count() == 0
 
 
-@pytest.mark.parametrize("buffered", [500_000, 0])
-def test_quantiles(skewed, buffered):
+@pytest.mark.parametrize("inside", [50_000, 40, 0], ids=["two passes", "finer bins", "down to one value"])
+def test_quantiles(skewed, inside):
     qs = [0.0, 0.1, 0.5, 0.95, 1.0]
     metrics = {"v": "v", "odd": F.when(F.col("id") % 2 == 1, F.col("v")), "none": F.lit(None)}
-    got = grouped_quantiles(skewed, ["g"], metrics, qs, max_buffered_values=buffered)
+    got = grouped_quantiles(skewed, ["g"], metrics, qs, max_inside=inside)
     levels = F.array(*[F.lit(q) for q in qs])
     want = skewed.groupBy("g").agg(
         F.percentile("v", levels).alias("e"),
@@ -65,29 +65,48 @@ def test_quantiles(skewed, buffered):
         F.count("v").alias("n"),
     )
     for r in got.join(want, "g").collect():
-        assert r.v_q == r.e and r.odd_q == r.o and r.v_n == r.n  # bit for bit, whichever way
+        assert r.v_q == r.e and r.odd_q == r.o and r.v_n == r.n  # bit for bit, however fine the bins
         assert r.none_q is None and r.none_n == 0
 
 
-@pytest.mark.parametrize("buffered", [500_000, 0])
-def test_quantiles_of_random_doubles_agree_in_every_bit(rows, buffered):
+@pytest.mark.parametrize("inside", [50_000, 40, 0], ids=["two passes", "finer bins", "down to one value"])
+def test_quantiles_of_random_doubles_agree_in_every_bit(rows, inside):
     rng = random.Random(11)
     df = rows([(rng.randrange(30), rng.gauss(0, 1e3)) for _ in range(3000)], "g int, v double")
     qs = [0.25, 1 / 3, 0.5, 0.9]
-    got = grouped_quantiles(df, ["g"], {"v": "v"}, qs, max_buffered_values=buffered)
+    got = grouped_quantiles(df, ["g"], {"v": "v"}, qs, max_inside=inside)
     want = df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(q) for q in qs])).alias("e"))
     assert all(r.v_q == r.e for r in got.join(want, "g").collect())
 
 
-@pytest.mark.parametrize("buffered", [500_000, 0])
-def test_quantiles_of_everything_and_of_nothing(rows, buffered):
+@pytest.mark.parametrize("inside", [50_000, 40, 0], ids=["two passes", "finer bins", "down to one value"])
+def test_quantiles_of_everything_and_of_nothing(rows, inside):
     df = rows([(1.0,), (2.0,), (4.0,), (None,)], "v double")
-    r = grouped_quantiles(df, [], {"v": "v"}, [0.5], max_buffered_values=buffered).first()
+    r = grouped_quantiles(df, [], {"v": "v"}, [0.5], max_inside=inside).first()
     assert r.v_q == [2.0] and r.v_n == 3
-    r = grouped_quantiles(df.where("v > 9"), [], {"v": "v"}, [0.5], max_buffered_values=buffered).first()
+    r = grouped_quantiles(df.where("v > 9"), [], {"v": "v"}, [0.5], max_inside=inside).first()
     assert r.v_q is None and r.v_n == 0
 
 
+@pytest.mark.parametrize("inside", [50_000, 0])
+def test_quantiles_of_extreme_values(rows, inside):
+    tiny, huge = 5e-324, 1.7976931348623157e308
+    powers = [2.0**k for k in range(-60, 60)] + [2.0**k * (1 - 2**-53) for k in range(-60, 60)]
+    values = [0.0, -0.0, tiny, -tiny, huge, -huge, float("inf"), float("-inf"), *powers, *[-x for x in powers]]
+    df = rows([(k % 3 if k % 4 else None, v) for k, v in enumerate(values)], "g int, v double")
+    qs = [k / 17 for k in range(18)]
+    got = grouped_quantiles(df, ["g"], {"v": "v"}, qs, max_inside=inside).collect()
+    want = df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(q) for q in qs])).alias("e")).collect()
+    assert {r.g: [str(x + 0.0) for x in r.v_q] for r in got} == {r.g: [str(x + 0.0) for x in r.e] for r in want}
+
+
+def test_bins_rise_with_values(spark):
+    values = sorted([s * m * 2.0**k for s in (-1, 1) for k in (-1074, -1022, -3, 0, 1, 52, 1022) for m in (1, 1 + 2**-52, 1.5, 2 - 2**-52)])
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    bins = [r.b for r in df.select("k", _bin(F.col("v")).alias("b")).orderBy("k").collect()]
+    assert bins == sorted(bins)
+
+
 def test_nearest_on_axis_matches_brute_force(rows):
     rng = random.Random(5)
     keys = [(round(rng.random() * 50, 1),) for _ in range(800)] + [(None,)]

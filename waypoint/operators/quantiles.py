@@ -1,11 +1,14 @@
-"""Exact, linearly interpolated quantiles of groups of any size.
-
-The built-in ``percentile`` keeps every distinct value of a group in one aggregation buffer. Values
-are therefore first counted per (group, metric, value), which collapses repeats map-side, and the
-counts are materialised. If the fullest group has few enough distinct values, ``percentile`` with
-frequencies finishes the job; otherwise the counted values are sorted across the cluster and joined
-with the order statistics wanted. Both ways weight the two neighbours of a quantile as
-``percentile`` does, so they agree in every bit and the bound decides about memory alone.
+"""Exact, linearly interpolated quantiles of groups of any size, by bracketed selection.
+
+The first pass counts values by bins whose width is a fixed share of the value, at most some thousand
+per group and metric, and combines these counts map-side. The counts say exactly which bin holds each
+order statistic wanted and how many values lie below it, so a bin always encloses its rank. The second
+pass keeps only the values inside these bins. A bin that still holds many values is cut into finer
+ones first, by passes that keep its values alone. Neither a group nor a metric is ever sorted, buffered
+or written as a whole, and all metrics of one call share the passes.
+
+The two neighbours of a quantile are weighted as ``percentile`` does, so results agree with it in every
+bit.
 """
 
 from __future__ import annotations
@@ -17,10 +20,14 @@ from pyspark.sql import functions as F
 
 from waypoint.functions.numbers import as_column, rounded
 from waypoint.operators.joins import match_null_safe
-from waypoint.operators.ordered import ROW, SLICE, ordered_slices, slice_offsets
-from waypoint.session import materialise
+from waypoint.session import written
 
-MAX_BUFFERED_VALUES = 500_000
+#: Bins per doubling of the value in the first pass, and parts of a bin in each further one.
+PER_DOUBLING, PARTS = 256, 1024
+#: Values that a bin may hold when its values are looked at one by one.
+MAX_INSIDE = 50_000
+_LEAST, _MOST = -1074, 1023  # powers of two of a double
+_ENDS = ["_lo", "_hi", "_n", "_below", "_total"]
 
 
 def grouped_quantiles(
@@ -29,87 +36,134 @@ def grouped_quantiles(
     metrics: Mapping[str, Column | str],
     probabilities: Sequence[float] | Mapping[str, Sequence[float]],
     *,
-    max_buffered_values: int = MAX_BUFFERED_VALUES,
+    max_inside: int = MAX_INSIDE,
 ) -> DataFrame:
     """One row per group: ``<metric>_q`` (array of quantiles) and ``<metric>_n`` (non-null count).
 
     Nulls of a metric are left out. A group none of whose metrics has a value is absent; a metric
-    without values in a present group has a null array and a count of 0.
+    without values in a present group has a null array and a count of 0. ``df`` is passed over twice
+    or more, so a table that is dear to compute should be written first.
     """
     wanted = {
         m: [float(p) for p in (probabilities[m] if isinstance(probabilities, Mapping) else probabilities)]
         for m in metrics
     }
-    cells = [
-        F.struct(F.lit(i).alias("_m"), as_column(c).cast("double").alias("_v"))
-        for i, c in enumerate(metrics.values())
-    ]
-    counted = materialise(
-        df.select(*group, F.inline(F.array(*cells)))
-        .where("_v is not null")
-        .groupBy(*group, "_m", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    fullest = counted.groupBy(*group, "_m").count().agg(F.max("count")).first()[0] or 0
-    if fullest <= max_buffered_values:
-        return _buffered(counted, group, wanted)
-    return _spread(counted, group, wanted)
+    values = [as_column(c).cast("double") for c in metrics.values()]
+    rows = df.select(*group, F.array(*values).alias("_values"))
+    bins = written(_first_bins(rows, group, wanted), "brackets")
+    while _fullest(bins) > max_inside:
+        bins = written(_finer_bins(rows, group, wanted, bins), "brackets")
+    return _picked(rows, group, wanted, bins)
 
 
-def _buffered(
-    counted: DataFrame, group: Sequence[str], wanted: Mapping[str, list[float]]
-) -> DataFrame:
-    outputs: list[Column] = []
-    for i, (m, ps) in enumerate(wanted.items()):
-        mine = F.col("_m") == i
-        value = F.when(mine, F.col("_v"))
-        levels = F.array(*[F.lit(p) for p in ps])
-        n = F.coalesce(F.sum(F.when(mine, F.col("_n"))), F.lit(0)).cast("long")
-        outputs += [F.percentile(value, levels, F.col("_n")).alias(f"{m}_q"), n.alias(f"{m}_n")]
-    return counted.groupBy(*group).agg(*outputs)
+def _fullest(bins: DataFrame) -> int:
+    return bins.where("_lo < _hi").agg(F.max("_n")).first()[0] or 0
+
+
+def _bin(v: Column) -> Column:
+    """Number of the bin of a value; never falls where values rise, whatever ``log2`` rounds to."""
+    size = F.abs(v)
+    power = F.least(F.greatest(F.floor(F.log2(size)), F.lit(_LEAST)), F.lit(_MOST))
+    part = F.floor((size / F.pow(F.lit(2.0), power) - 1) * PER_DOUBLING)
+    number = (power - _LEAST + 1) * PER_DOUBLING + part
+    infinite = size == F.lit(float("inf"))
+    far = F.lit((_MOST - _LEAST + 3) * PER_DOUBLING).cast("long")
+    number = F.when(F.isnan(v), far + 1).when(infinite, far).when(size == 0, 0).otherwise(number)
+    return F.when(v < 0, -number).otherwise(number)
+
+
+def _ranks(wanted: Mapping[str, list[float]]) -> Column:
+    """Ranks from 0 that the quantiles of metric ``_m`` lie between, of ``_total`` values."""
+    spots = F.transform(_levels(wanted), lambda p: p * (F.col("_total") - 1))
+    return F.concat(F.transform(spots, lambda s: F.floor(s)), F.transform(spots, lambda s: F.ceil(s)))
+
+
+def _levels(wanted: Mapping[str, list[float]]) -> Column:
+    listed = F.array(*[F.array(*[F.lit(p) for p in ps]) for ps in wanted.values()])
+    return F.element_at(listed, F.col("_m") + 1)
+
+
+def _holding(bins: DataFrame, wanted: Mapping[str, list[float]]) -> DataFrame:
+    inside = F.exists(_ranks(wanted), lambda r: _holds(r, F.col("_below"), F.col("_n")))
+    return bins.where(inside)
 
 
 def _holds(rank: Column, start: Column, size: Column) -> Column:
     return (rank >= start) & (rank < start + size)
 
 
-def _spread(
-    counted: DataFrame, group: Sequence[str], wanted: Mapping[str, list[float]]
+def _counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+
+
+def _first_bins(rows: DataFrame, group: Sequence[str], wanted: Mapping[str, list[float]]) -> DataFrame:
+    cells = rows.select(*group, F.posexplode("_values").alias("_m", "_v")).where("_v is not null")
+    counted = cells.groupBy(*group, "_m", _bin(F.col("_v")).alias("_bin")).agg(*_counts())
+    own = Window.partitionBy(*group, "_m")
+    below = own.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumns(
+        {"_below": F.coalesce(F.sum("_n").over(below), F.lit(0)), "_total": F.sum("_n").over(own)}
+    )
+    return _holding(placed, wanted).select(*group, "_m", *_ENDS)
+
+
+def _values_inside(rows: DataFrame, group: Sequence[str], bins: DataFrame) -> DataFrame:
+    """Values that lie in one of the bins, with the ends of that bin."""
+    per_group = bins.groupBy(*group).agg(F.collect_list(F.struct("_m", *_ENDS)).alias("_bins"))
+
+    def value(b: Column) -> Column:
+        return F.element_at("_values", b["_m"] + 1)
+
+    hit = F.filter("_bins", lambda b: (value(b) >= b["_lo"]) & (value(b) <= b["_hi"]))
+    found = F.transform(hit, lambda b: F.struct(value(b).alias("_v"), *[b[c].alias(c) for c in ("_m", *_ENDS)]))
+    return match_null_safe(rows, per_group, group).select(*group, F.inline(found))
+
+
+def _finer_bins(
+    rows: DataFrame, group: Sequence[str], wanted: Mapping[str, list[float]], bins: DataFrame
 ) -> DataFrame:
-    keys = [*group, "_m"]
-    levels = F.element_at(
-        F.array(*[F.array(*[F.lit(p) for p in ps]) for ps in wanted.values()]), F.col("_m") + 1
+    done = bins.where("_lo = _hi")
+    open_bins = bins.where("_lo < _hi")
+    part = F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * PARTS)
+    cells = _values_inside(rows, group, open_bins).withColumnsRenamed(
+        {"_lo": "_from", "_hi": "_to", "_n": "_all", "_below": "_base"}
     )
-    low, high = F.floor("_spot"), F.ceil("_spot")
-    slices = ordered_slices(counted, keys, ["_v"])
-    hits = (
-        slice_offsets(slices, keys, F.sum("_n"))
-        .select("*", F.posexplode(levels).alias("_qi", "_p"))
-        .withColumn("_spot", F.col("_p") * (F.col("_in_group") - 1))
-        .where(
-            _holds(low, F.col("_before"), F.col("_in_slice"))
-            | _holds(high, F.col("_before"), F.col("_in_slice"))
-        )
-        .groupBy(*keys, SLICE, "_before", "_in_group")
-        .agg(F.collect_list(F.struct("_qi", "_spot")).alias("_spots"))  # ≤ one per probability
+    counted = cells.groupBy(*group, "_m", "_from", "_base", "_total", part.alias("_part")).agg(*_counts())
+    below = (
+        Window.partitionBy(*group, "_m", "_from")
+        .orderBy("_part")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    in_slice = Window.partitionBy(*keys, SLICE).orderBy(ROW)
+    placed = counted.withColumn("_below", F.col("_base") + F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    return _holding(placed, wanted).select(*group, "_m", *_ENDS).unionByName(done)
+
+
+def _picked(
+    rows: DataFrame, group: Sequence[str], wanted: Mapping[str, list[float]], bins: DataFrame
+) -> DataFrame:
+    keys = [*group, "_m"]
+    inside = _values_inside(rows, group, bins.where("_lo < _hi"))
+    single = bins.where("_lo = _hi").select(*keys, F.col("_lo").alias("_v"), "_lo", "_below", "_total", "_n")
+    counted = inside.groupBy(*keys, "_v", "_lo", "_below", "_total").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys, "_lo").orderBy("_v")
     start, size = F.col("_start"), F.col("_n")
+    low, high = F.floor("_spot"), F.ceil("_spot")
 
     def at(rank: Column) -> Column:
         return F.max(F.when(_holds(rank, start, size), F.col("_v")))
 
     stats = (
-        match_null_safe(slices, hits, [*keys, SLICE])
-        .withColumn("_start", F.sum("_n").over(in_slice) + F.col("_before") - F.col("_n"))
-        .select(*keys, "_v", "_n", "_start", "_in_group", F.inline("_spots"))
+        counted.unionByName(single)
+        .withColumn("_start", F.sum("_n").over(upto) + F.col("_below") - F.col("_n"))
+        .select(*keys, "_v", "_n", "_start", "_total", F.posexplode(_levels(wanted)).alias("_qi", "_p"))
+        .withColumn("_spot", F.col("_p") * (F.col("_total") - 1))
         .where(_holds(low, start, size) | _holds(high, start, size))
-        .groupBy(*keys, "_qi", "_spot", "_in_group")
-        .agg(at(low).alias("_below"), at(high).alias("_above"))
+        .groupBy(*keys, "_qi", "_spot", "_total")
+        .agg(at(low).alias("_under"), at(high).alias("_over"))
         .withColumn(
             "_q",
-            F.when((low == high) | (F.col("_below") == F.col("_above")), F.col("_below")).otherwise(
-                (high - F.col("_spot")) * F.col("_below") + (F.col("_spot") - low) * F.col("_above")
+            F.when((low == high) | (F.col("_under") == F.col("_over")), F.col("_under")).otherwise(
+                (high - F.col("_spot")) * F.col("_under") + (F.col("_spot") - low) * F.col("_over")
             ),
         )
     )
@@ -117,7 +171,7 @@ def _spread(
     for i, (m, ps) in enumerate(wanted.items()):
         mine = F.col("_m") == i
         qs = [F.max(F.when(mine & (F.col("_qi") == k), F.col("_q"))) for k in range(len(ps))]
-        n = F.coalesce(F.max(F.when(mine, F.col("_in_group"))), F.lit(0)).cast("long")
+        n = F.coalesce(F.max(F.when(mine, F.col("_total"))), F.lit(0)).cast("long")
         outputs += [F.when(n > 0, F.array(*qs)).alias(f"{m}_q"), n.alias(f"{m}_n")]
     return stats.groupBy(*group).agg(*outputs)
 

@@ -283,7 +283,8 @@ def _stored_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _unranked(spark: SparkSession, sf: str) -> DataFrame:
-    return impute.stop_features(p.splits(spark, sf), p.COURSE, ranked=False)
+    features = impute.stop_features(p.splits(spark, sf), p.COURSE, ranked=False)
+    return p.stored(features.select(*KEY, "cp", "position", "elapsed_hrs", "stop_min"), "features")
 
 
 @query
@@ -551,7 +552,7 @@ def cohort_medians(spark, sf):
 
 @query
 def axis_bounds(spark, sf):
-    return report.axis_bounds(p.leg_ratios(spark, sf))
+    return report.axis_bounds(p.stored_ratios(spark, sf))
 
 
 @query
