@@ -121,9 +121,16 @@ def test_nearest_on_axis_matches_brute_force(rows):
     assert len(got) == len(set(keys)) - 1
 
 
-def test_checked_join_beyond_its_bound(rows):
-    left = rows([(1,), (2,), (3,)], "k int")
-    right = rows([(1, "a"), (2, "b")], "k int, v string")
-    for bound in (1, 10):
-        plan = join_checked(left, right, ["k"], max_rows=bound)
-        assert sorted((r.k, r.v or "") for r in plan.collect()) == [(1, "a"), (2, "b"), (3, "")]
+def test_checked_join_is_broadcast_by_its_bytes(spark, rows):
+    left = rows([(k % 4,) for k in range(100)], "k int")
+    right = rows([(1, "a"), (2, "b")], "k int, v string").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit, found in (("10m", True), ("-1", False)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            joined = join_checked(left, right, ["k"])
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == found
+            assert sorted((r.k, r.v or "") for r in joined.distinct().collect()) == [(0, ""), (1, "a"), (2, "b"), (3, "")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 100_000
+from waypoint.session import written
 
 
 def match_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -19,20 +19,13 @@ def match_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(renamed, condition, "inner").drop(*[f"_r_{k}" for k in keys])
 
 
-def join_checked(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Join with a side expected to be small; broadcast it only if it turns out to be.
+def join_checked(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join with a side expected to be small; Spark broadcasts it if its size in bytes allows.
 
     Keys such as the edition or the checkpoint take few values, so shuffling the large side by them
     would leave most tasks idle, and Spark cannot know the size of a derived table beforehand. The
-    small side is counted up to the bound: within it, it is broadcast; beyond it the join is left to
-    adaptive execution (sort-merge with skewed partitions split).
+    small side is computed once and written, which gives it a known size: up to
+    ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast, beyond that the join is a sort-merge one
+    whose skewed partitions adaptive execution splits. Nothing is counted.
     """
-    if right.limit(max_rows + 1).count() <= max_rows:
-        right = F.broadcast(right)
-    return left.join(right, list(keys), how)
+    return left.join(written(right, "side"), list(keys), how)
