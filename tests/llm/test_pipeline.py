@@ -2,6 +2,8 @@ from pathlib import Path
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
+
 from waypoint.llm import decontaminate, lines, pieces, quality, simhash
 from waypoint.session import shared_folder
 
@@ -20,7 +22,7 @@ def test_stages_compose_and_clean_up(spark):
     dropped = lines.drop_shared_lines(good).select("doc_id", "text")
     one = {r.doc_id for r in simhash.near_duplicates(dropped).where("doc_id = component_id").collect()}
     hit = {r.doc_id for r in decontaminate.contaminated(dropped, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    want = pieces.report(dropped, public_tokenizers.path("piece_bpe_32k.model")).where(dropped.doc_id.isin(sorted(one - hit)))
+    want = pieces.report(dropped, public_tokenizers.path("piece_bpe_32k.model")).where(F.col("doc_id").isin(sorted(one - hit)))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and 0 < out.count() < docs.count()
 
 
