@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waypoint.llm.common import WHITE
+from waypoint.llm.common import WHITE, stored
 
+#: A key is hot if it holds more than one of so many lines; there are at most as many hot keys.
+HOT_SHARE = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at its ends, A-Z lower-cased; other letters stay as they are."""
-    return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
+    bare = F.btrim(line, F.lit(WHITE))
+    plain = F.octet_length(bare) == F.char_length(bare)  # nothing but ASCII: lower() changes A-Z alone, and faster
+    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def _without(text: Column, drops: Column) -> Column:
@@ -45,29 +49,34 @@ def drop_shared_lines(
     ``n_lines`` or ``n_dropped`` the new ones replace the old, and names beginning with ``_ld_`` are
     reserved.
 
-    Only ids, positions and 16-byte hashes are exploded and counted; a key held by a third of all rows is
-    counted by (key, id) first, and its join back is one that adaptive execution splits.
+    Lines are split and hashed once; ids, positions and 16-byte hashes are written, and counted and joined
+    from there. A key held by a third of all rows is counted by (key, id) first. Keys with more than a
+    ``HOT_SHARE``-th of the lines, so at most that many, meet their lines by a broadcast, the others by a
+    shuffle in which no key has more.
     """
     t, i = F.col(text_col), F.col(id_col)
     base = docs.select(i.alias("_ld_id"), F.xxhash64(t).alias("_ld_hash"), t.alias("_ld_text")).where("_ld_text is not null")
     lines = base.select("_ld_id", "_ld_hash", F.posexplode(F.split("_ld_text", "\n", -1)).alias("_ld_pos", "_ld_line"))
-    keyed = (
-        lines.withColumn("_ld_line", line_key(F.col("_ld_line")))
-        .where(F.char_length("_ld_line") >= min_chars)
-        .select("_ld_id", "_ld_hash", "_ld_pos", F.unhex(F.md5("_ld_line")).alias("_ld_key"))
-    )
+    long_enough = F.char_length(F.btrim("_ld_line", F.lit(WHITE))) >= min_chars
+    key = F.unhex(F.md5(line_key(F.col("_ld_line")))).alias("_ld_key")
+    keyed = stored(lines.where(long_enough).select("_ld_id", "_ld_hash", "_ld_pos", key), "lines")
     least = F.lit(-(2**63)) if dict(docs.dtypes)[id_col] == "bigint" else F.lit("")
     known = F.coalesce("_ld_id", least)
     shared = (
-        keyed.select("_ld_key", known.alias("_ld_known"))
-        .distinct()
+        keyed.groupBy("_ld_key", known.alias("_ld_known"))
+        .agg(F.count("*").alias("_ld_lines"))
         .groupBy("_ld_key")
-        .agg(F.count("*").alias("_ld_n"), F.max("_ld_known").alias("_ld_last"))
+        .agg(F.count("*").alias("_ld_n"), F.max("_ld_known").alias("_ld_last"), F.sum("_ld_lines").alias("_ld_lines"))
         .where(F.col("_ld_n") >= min_docs)
         .drop("_ld_n")
     )
+    shared = stored(shared, "shared-lines")
+    hot = F.col("_ld_lines") > keyed.count() // HOT_SHARE
+    met = keyed.join(F.broadcast(shared.where(hot).select("_ld_key", F.col("_ld_last").alias("_ld_hot"))), "_ld_key", "left")
+    common = met.where("_ld_hot is not null").withColumnRenamed("_ld_hot", "_ld_last")
+    rest = met.where("_ld_hot is null").drop("_ld_hot").join(shared.where(~hot).drop("_ld_lines"), "_ld_key")
     drops = (
-        keyed.join(shared, "_ld_key")
+        common.unionByName(rest)
         .where(known != F.col("_ld_last"))
         .groupBy("_ld_id", "_ld_hash")
         .agg(F.sort_array(F.collect_set("_ld_pos")).alias("_ld_drops"))
