@@ -237,6 +237,12 @@ SHARED: dict[str, str] = {
     "flags": """SELECT *, coalesce(a, dep) / position > 0.4 AS pace_flag, dep > 33 AS exceeds_cutoff,
         a_text IS NULL AS arrive_interpolated FROM timed""",
     "hist": "SELECT * FROM timed WHERE edition <= 1997",
+    "ranked_history": """SELECT *, row_number() OVER (PARTITION BY edition ORDER BY _mi DESC NULLS LAST, max_hrs NULLS LAST, entity)
+            AS overall_rank, count(*) OVER (PARTITION BY edition) AS edition_size
+        FROM (SELECT edition, entity, coalesce(max(official_rank)::VARCHAR, 'DNF') AS finish_rank, max(position) AS _mi,
+            CASE WHEN max(official_rank) IS NOT NULL THEN 'FINISH' ELSE 'AS_0' || max(cp) END AS furthest,
+            CASE WHEN max(official_rank) IS NOT NULL THEN max(finish_hrs) ELSE max(a) END AS max_hrs
+            FROM hist LEFT JOIN results USING (edition, entity) GROUP BY 1, 2)""",
     "fitted": "SELECT * FROM seen WHERE edition <> 1998",
     "fmed": "SELECT cp, quantile_cont(stop, 0.5) AS own FROM fitted GROUP BY cp",
     "rfit": """SELECT * FROM seen WHERE ('0x' || substr(md5(edition || '|' || entity || '|' || cp || '|42'), 1, 15))::BIGINT
@@ -291,14 +297,12 @@ SQL: dict[str, str] = {
         overall_rank, edition_size FROM summary""",
     "station_rank": f"""SELECT {_ID}, row_number() OVER (PARTITION BY edition, checkpoint
         ORDER BY a_abs NULLS LAST, entity) AS station_rank FROM timed""",
-    "clean_long_history": f"""SELECT {_ID}, cp, name, edition || '-08-10 05:00' AS start_text,
-        CASE WHEN cp <> 5 THEN {at("a_abs")} END AS arrive_at, round(a, 6) AS arrive_hrs,
-        coalesce(official_rank::VARCHAR, 'DNF') AS finish_rank,
-        CASE WHEN official_rank IS NOT NULL THEN 'FINISH'
-             ELSE 'AS_0' || max(cp) OVER (PARTITION BY edition, entity) END AS furthest,
-        round(CASE WHEN official_rank IS NOT NULL THEN finish_hrs
-             ELSE max(a) OVER (PARTITION BY edition, entity) END, 6) AS max_hrs
-        FROM hist LEFT JOIN results USING (edition, entity)""",
+    "clean_long_history": f"""SELECT * EXCLUDE (_mi, full_hrs, full_a), round(full_a, 6) AS arrive_hrs, round(full_hrs, 6) AS max_hrs,
+            row_number() OVER (PARTITION BY edition, checkpoint ORDER BY full_a NULLS FIRST, entity) AS station_rank
+        FROM (SELECT {_ID}, cp, name, edition || '-08-10 05:00' AS start_text,
+            CASE WHEN cp <> 5 THEN {at("a_abs")} END AS arrive_at, a AS full_a, r.finish_rank, r.furthest,
+            r.max_hrs AS full_hrs, r._mi, r.overall_rank, r.edition_size
+            FROM hist JOIN ranked_history r USING (edition, entity) LEFT JOIN results USING (edition, entity))""",
     "history_station_rank": f"""SELECT {_ID}, row_number() OVER (PARTITION BY edition, checkpoint
         ORDER BY a NULLS FIRST, entity) AS station_rank FROM hist""",
     "combine_editions": f"""SELECT {_ID}, try_cast(age AS DOUBLE) AS age, round(a, 6) AS arrive_hrs,
@@ -421,14 +425,15 @@ SQL: dict[str, str] = {
         WHERE station_id IS NOT NULL AND a IS NOT NULL GROUP BY 1, 2""",
     "cohort_arrival_windows": "SELECT * FROM cohorts",
     "eta_table": "SELECT * FROM eta",
-    "reproject_plan": """SELECT plan_id, goal_hrs, block, station_id, mile, round(pred, 4) AS predicted_hrs,
-            round(f25 * goal_hrs, 4) AS typical_from_hrs, round(f75 * goal_hrs, 4) AS typical_to_hrs,
-            round(act, 4) AS actual_hrs,
-            round(coalesce(act, CASE WHEN anchor_mi > 0 THEN aa + (pred - ap) * k ELSE pred END), 4) AS revised_hrs,
-            round(CASE WHEN anchor_mi > 0 THEN aa + (goal_hrs - ap) * k ELSE goal_hrs END, 4)
-                AS projected_finish_hrs,
-            round(((CASE WHEN anchor_mi > 0 THEN aa + (goal_hrs - ap) * k ELSE goal_hrs END) - goal_hrs) * 60, 4)
-                AS minutes_to_goal
+    "reproject_plan": f"""SELECT plan_id, goal_hrs, block, station_id, mile, round(pred, 4) AS predicted_hrs,
+            {clock_of("pred")} AS predicted_clock, round(low, 4) AS typical_from_hrs, round(high, 4) AS typical_to_hrs,
+            {clock_of("low")} AS typical_from_clock, {clock_of("high")} AS typical_to_clock,
+            round(act, 4) AS actual_hrs, round(revised, 4) AS revised_hrs, {clock_of("revised")} AS revised_clock,
+            round(finish, 4) AS projected_finish_hrs, {clock_of("finish")} AS projected_finish_clock,
+            round((finish - goal_hrs) * 60, 4) AS minutes_to_goal
+        FROM (SELECT *, f25 * goal_hrs AS low, f75 * goal_hrs AS high,
+            coalesce(act, CASE WHEN anchor_mi > 0 THEN aa + (pred - ap) * k ELSE pred END) AS revised,
+            CASE WHEN anchor_mi > 0 THEN aa + (goal_hrs - ap) * k ELSE goal_hrs END AS finish
         FROM (SELECT *, aa / greatest(0.1::DOUBLE, ap) AS k FROM (SELECT *,
             first_value(CASE WHEN act IS NOT NULL THEN act END) OVER w AS aa,
             first_value(CASE WHEN act IS NOT NULL THEN pred END) OVER w AS ap,
@@ -444,7 +449,7 @@ SQL: dict[str, str] = {
                     GROUP BY 1, 2) k
                 USING (plan_id, station_id))
             WINDOW w AS (PARTITION BY plan_id ORDER BY act IS NULL, mile DESC, station_id DESC
-                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))""",
+                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))))""",
     "cohort_medians": """SELECT cohort, station_id, station_mi, round(median(speed), 3) AS median_speed,
             count(*) AS n
         FROM (SELECT *, CASE WHEN finish_hrs < 26 THEN 'under 26 h' WHEN finish_hrs < 30 THEN '26-30 h'
@@ -560,7 +565,8 @@ SQL: dict[str, str] = {
                 FROM part WHERE p_size > 45))""",
     "preview": "SELECT o_orderkey, o_custkey FROM orders ORDER BY 1 LIMIT 50",
     "elapsed_minutes": f"SELECT {_ID}, round((d_abs - 18000) / 60::DOUBLE, 4) AS minutes FROM timed",
-    "clock_labels": f"SELECT {_ID}, {clock_of('(a + 0.004::DOUBLE)')} AS label FROM timed",
+    "clock_labels": f"""SELECT {_ID}, {clock_of('a')} AS label, {clock_of('(a + 1 / 120::DOUBLE)')} AS label_half_on
+        FROM timed""",
     "lenient_dates": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0
         THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS parsed FROM orders""",
     "slowest_leg": """SELECT edition, checkpoint, place, mph, n FROM (SELECT *, row_number() OVER
@@ -598,6 +604,53 @@ def _decimal_rounds(sql: str) -> str:
         i = k + 1
 
 
+# Sections of the payload: (section, query, edition, id, numeric fields).
+SECTIONS = [
+    ("years", "SELECT DISTINCT edition AS year, edition FROM legs", None, "year", "edition"),
+    ("stations", "SELECT station_id, mi AS scaled_mi FROM refs WHERE station_id > 0", None, "station_id", "scaled_mi"),
+    ("kpis", "edition_kpis", "edition", "edition", "starters finishers finish_rate median_finish_hrs median_stop_min"),
+    ("arrivals", "arrival_windows", "edition", "checkpoint", "position q10 q25 q50 q75 q90 n"),
+    ("stops", "stop_medians", "edition", "checkpoint", "position coverage median_finisher median_other n_finisher n_other"),
+    ("legs", "leg_speeds", "edition", "checkpoint", "position leg_mi mph pace n edition_mph"),
+    ("attrition", "attrition", "edition", "checkpoint", "position n"),
+    ("heat", "flow_heatmap", "edition", "checkpoint hour", "n"),
+    ("heat_cap", "heat_cap", "edition", "edition", "cap n_cells"),
+    ("points", "scatter_sample", "edition", "entity checkpoint", "position speed station_id finish_block"),
+    ("means", "station_speed_means", None, "station_id", "mean_speed n"),
+    ("trend", "cohort_trend", None, "station_id finish_block", "station_mi mean_speed n"),
+    ("bins", "arrival_histogram", None, "station_id bin", "n"),
+    ("cohort_windows", "cohort_arrival_windows", None, "station_id finish_block", "p25 p50 p75 n"),
+    ("cohorts", "cohort_medians", None, "cohort station_id", "station_mi median_speed n"),
+    ("axis", "SELECT 'speed' AS axis, a.* FROM ({axis_bounds}) a", None, "axis", "low high"),
+    ("planner", "eta_table", None, "block station_id", "mile f25 f50 f75"),
+]
+COURSE_SECTIONS = [
+    ("points", "route_downsample", "route", "seq", "kept_index lat lon"),
+    ("stations", """SELECT i.route, i.station_id, kept_index, scaled_mi FROM ({station_indexes}) i
+        JOIN snapped s ON i.route = s.route AND i.station_id = s.station_id""", "route", "station_id", "kept_index scaled_mi"),
+    ("total", "SELECT route, 'mi' AS unit, max(round(mi, 3)) AS total_mi FROM path GROUP BY 1", "route", "unit", "total_mi"),
+]
+
+
+def fields_of(sections: list[tuple], edition_as: str) -> str:
+    """Numeric fields of all sections as rows, nulls left out."""
+    parts = []
+    for section, source, edition, label, fields in sections:
+        sql = SQL.get(source) or re.sub(r"\{(\w+)\}", lambda m: SQL[m.group(1)], source)
+        own = ", ".join(f"{c}::VARCHAR" for c in label.split())
+        names = ", ".join(f"'{c}'" for c in fields.split())
+        values = ", ".join(f"{c}::DOUBLE" for c in fields.split())
+        parts.append(
+            f"SELECT {edition or 'NULL'}::BIGINT AS {edition_as}, '{section}' AS section, concat_ws('|', {own}) AS id,"
+            f" unnest([{names}]) AS field, unnest([{values}]) AS number FROM ({sql})"
+        )
+    return "SELECT * FROM (" + "\nUNION ALL ".join(parts) + ") WHERE number IS NOT NULL"
+
+
+SQL["report_payload"] = fields_of(SECTIONS, "edition")
+SQL["course_payload"] = fields_of(COURSE_SECTIONS, "route")
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     for name, sql in SQL.items():

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from waypoint.functions.numbers import as_column
 from waypoint.operators.joins import match_null_safe
-from waypoint.session import materialise
+from waypoint.session import written
 
 ROW = "_row"
 SLICE = "_slice"
@@ -27,10 +27,10 @@ _ROW_BITS = 33  # layout of monotonically_increasing_id: partition above, row nu
 def ordered_slices(
     df: DataFrame, group: Sequence[str], order: Sequence[str | Column]
 ) -> DataFrame:
-    """``df`` sorted by group and order and materialised, with a row id and a slice id."""
+    """``df`` sorted by group and order and written, with a row id and a slice id."""
     keys = [F.col(g) for g in group] + [as_column(o) for o in order]
     placed = df.orderBy(*keys).withColumn(ROW, F.monotonically_increasing_id())
-    return materialise(placed).withColumn(SLICE, F.shiftright(ROW, _ROW_BITS))
+    return written(placed, "ordered").withColumn(SLICE, F.shiftright(ROW, _ROW_BITS))
 
 
 def slice_offsets(

@@ -128,6 +128,12 @@ def reproject_plan(
         ).otherwise(hours)
 
     finish = projected(goal)
+    low, high = F.col("f25") * goal, F.col("f75") * goal
+    revised = F.coalesce("actual_hrs", projected(F.col("predicted_hrs")))
+
+    def clock(hours: Column, name: str) -> Column:
+        return clock_label(hours, start_hour).alias(name)
+
     return anchored.select(
         "plan_id",
         "goal_hrs",
@@ -135,11 +141,15 @@ def reproject_plan(
         "station_id",
         "mile",
         "predicted_hrs",
-        clock_label(F.col("predicted_hrs"), start_hour).alias("predicted_clock"),
-        (F.col("f25") * goal).alias("typical_from_hrs"),
-        (F.col("f75") * goal).alias("typical_to_hrs"),
+        clock(F.col("predicted_hrs"), "predicted_clock"),
+        low.alias("typical_from_hrs"),
+        high.alias("typical_to_hrs"),
+        clock(low, "typical_from_clock"),
+        clock(high, "typical_to_clock"),
         "actual_hrs",
-        F.coalesce("actual_hrs", projected(F.col("predicted_hrs"))).alias("revised_hrs"),
+        revised.alias("revised_hrs"),
+        clock(revised, "revised_clock"),
         finish.alias("projected_finish_hrs"),
+        clock(finish, "projected_finish_clock"),
         ((finish - goal) * 60).alias("minutes_to_goal"),
     )

@@ -13,7 +13,7 @@ bit.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,12 +50,48 @@ def grouped_quantiles(
     }
     values = [as_column(c).cast("double") for c in metrics.values()]
     rows = df.select(*group, F.array(*values).alias("_values"))
-    bins = written(_first_bins(rows, group, wanted), "brackets")
-    while _fullest(bins) > max_inside:
-        bins = written(_finer_bins(rows, group, wanted, bins), "brackets")
+    bins = _brackets(rows, group, lambda: _ranks(wanted), max_inside)
     return _picked(rows, group, wanted, bins)
 
 
+def smallest(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str | Column],
+    share: float,
+    *,
+    max_inside: int = MAX_INSIDE,
+) -> DataFrame:
+    """The first ``share`` of each group's rows by ``order``, rounded up, as ranks would give them.
+
+    The cut-off is the value of the first order column at the last rank wanted, found by bracketed
+    selection; rows below it are kept by one filter. Only rows that hold the cut-off value itself are
+    ordered by the other columns, so the first one should be a number that few rows share, such as a
+    hash. No row is sorted or written otherwise. Rows without a first value go.
+    """
+    first = as_column(order[0]).cast("double")
+    rows = df.select(*group, F.array(first).alias("_values"))
+    last = F.ceil(F.col("_total") * F.lit(float(share)))
+    bins = _brackets(rows, group, lambda: F.array(last - 1), max_inside)
+    found = _counted(rows, group, bins).where(_holds(last - 1, F.col("_start"), F.col("_n")))
+    cut = found.select(*group, F.col("_v").alias("_cut"), (last - F.col("_start")).alias("_ties"))
+    near = match_null_safe(df.withColumn("_first", first), written(cut, "cut-off"), group)
+    below = near.where("_first < _cut").select(*df.columns)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*[as_column(c) for c in order[1:]] or ["_first"]))
+    ties = near.where("_first = _cut").withColumn("_place", place).where("_place <= _ties")
+    return below.unionByName(ties.select(*df.columns))
+
+
+def _brackets(
+    rows: DataFrame, group: Sequence[str], ranks: Callable[[], Column], max_inside: int
+) -> DataFrame:
+    """Bins that hold the ranks wanted, none with more than ``max_inside`` values unless they are equal."""
+    bins = written(_first_bins(rows, group, ranks), "brackets")
+    while _fullest(bins) > max_inside:
+        bins = written(_finer_bins(rows, group, ranks, bins), "brackets")
+    return bins
+
+
 def _fullest(bins: DataFrame) -> int:
     return bins.where("_lo < _hi").agg(F.max("_n")).first()[0] or 0
 
@@ -83,8 +119,8 @@ def _levels(wanted: Mapping[str, list[float]]) -> Column:
     return F.element_at(listed, F.col("_m") + 1)
 
 
-def _holding(bins: DataFrame, wanted: Mapping[str, list[float]]) -> DataFrame:
-    inside = F.exists(_ranks(wanted), lambda r: _holds(r, F.col("_below"), F.col("_n")))
+def _holding(bins: DataFrame, ranks: Callable[[], Column]) -> DataFrame:
+    inside = F.exists(ranks(), lambda r: _holds(r, F.col("_below"), F.col("_n")))
     return bins.where(inside)
 
 
@@ -96,7 +132,7 @@ def _counts() -> list[Column]:
     return [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
 
 
-def _first_bins(rows: DataFrame, group: Sequence[str], wanted: Mapping[str, list[float]]) -> DataFrame:
+def _first_bins(rows: DataFrame, group: Sequence[str], ranks: Callable[[], Column]) -> DataFrame:
     cells = rows.select(*group, F.posexplode("_values").alias("_m", "_v")).where("_v is not null")
     counted = cells.groupBy(*group, "_m", _bin(F.col("_v")).alias("_bin")).agg(*_counts())
     own = Window.partitionBy(*group, "_m")
@@ -104,7 +140,7 @@ def _first_bins(rows: DataFrame, group: Sequence[str], wanted: Mapping[str, list
     placed = counted.withColumns(
         {"_below": F.coalesce(F.sum("_n").over(below), F.lit(0)), "_total": F.sum("_n").over(own)}
     )
-    return _holding(placed, wanted).select(*group, "_m", *_ENDS)
+    return _holding(placed, ranks).select(*group, "_m", *_ENDS)
 
 
 def _values_inside(rows: DataFrame, group: Sequence[str], bins: DataFrame) -> DataFrame:
@@ -120,7 +156,7 @@ def _values_inside(rows: DataFrame, group: Sequence[str], bins: DataFrame) -> Da
 
 
 def _finer_bins(
-    rows: DataFrame, group: Sequence[str], wanted: Mapping[str, list[float]], bins: DataFrame
+    rows: DataFrame, group: Sequence[str], ranks: Callable[[], Column], bins: DataFrame
 ) -> DataFrame:
     done = bins.where("_lo = _hi")
     open_bins = bins.where("_lo < _hi")
@@ -135,17 +171,24 @@ def _finer_bins(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = counted.withColumn("_below", F.col("_base") + F.coalesce(F.sum("_n").over(below), F.lit(0)))
-    return _holding(placed, wanted).select(*group, "_m", *_ENDS).unionByName(done)
+    return _holding(placed, ranks).select(*group, "_m", *_ENDS).unionByName(done)
 
 
-def _picked(
-    rows: DataFrame, group: Sequence[str], wanted: Mapping[str, list[float]], bins: DataFrame
-) -> DataFrame:
+def _counted(rows: DataFrame, group: Sequence[str], bins: DataFrame) -> DataFrame:
+    """Values in the bins with their count ``_n`` and ``_start``, the number of smaller ones in the group."""
     keys = [*group, "_m"]
     inside = _values_inside(rows, group, bins.where("_lo < _hi"))
     single = bins.where("_lo = _hi").select(*keys, F.col("_lo").alias("_v"), "_lo", "_below", "_total", "_n")
     counted = inside.groupBy(*keys, "_v", "_lo", "_below", "_total").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*keys, "_lo").orderBy("_v")
+    start = F.sum("_n").over(upto) + F.col("_below") - F.col("_n")
+    return counted.unionByName(single).withColumn("_start", start)
+
+
+def _picked(
+    rows: DataFrame, group: Sequence[str], wanted: Mapping[str, list[float]], bins: DataFrame
+) -> DataFrame:
+    keys = [*group, "_m"]
     start, size = F.col("_start"), F.col("_n")
     low, high = F.floor("_spot"), F.ceil("_spot")
 
@@ -153,8 +196,7 @@ def _picked(
         return F.max(F.when(_holds(rank, start, size), F.col("_v")))
 
     stats = (
-        counted.unionByName(single)
-        .withColumn("_start", F.sum("_n").over(upto) + F.col("_below") - F.col("_n"))
+        _counted(rows, group, bins)
         .select(*keys, "_v", "_n", "_start", "_total", F.posexplode(_levels(wanted)).alias("_qi", "_p"))
         .withColumn("_spot", F.col("_p") * (F.col("_total") - 1))
         .where(_holds(low, start, size) | _holds(high, start, size))

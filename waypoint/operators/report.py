@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypoint.functions.clock import clock_label
-from waypoint.functions.numbers import inverse, pace_to_mph, ratio, rounded
+from waypoint.functions.numbers import inverse, pace_to_mph, ratio, portable_hash, rounded
 from waypoint.operators.intervals import Course
-from waypoint.operators.joins import join_checked
-from waypoint.operators.ordered import ordinal_rank
-from waypoint.operators.quantiles import grouped_quantiles, pick
+from waypoint.operators.joins import join_checked, match_null_safe
+from waypoint.session import written
+from waypoint.operators.quantiles import grouped_quantiles, pick, smallest
 from waypoint.operators.reshape import null_column
 
 # Fixed values of the report.
@@ -202,15 +202,13 @@ def scatter_sample(
 ) -> DataFrame:
     """Points thinned to about ``cap``, the same share of every finish block (rounded up).
 
-    The default order is a hash of the key, so the choice does not depend on partitioning. Blocks
-    are ranked across the cluster.
+    The default order is a hash of the key, so the choice does not depend on partitioning. Each block
+    gets a cut-off in that order, see :func:`waypoint.operators.quantiles.smallest`.
     """
     points = with_speed(ratios).where(F.col("station_id").isNotNull() & F.col("speed").isNotNull())
-    order = order or [F.xxhash64("edition", "entity", "checkpoint"), "edition", "entity", "checkpoint"]
-    ranked = ordinal_rank(points, ["finish_block"], order, "_rank", size="_in_block")
-    total = points.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = F.least(F.lit(1.0), ratio(F.lit(cap), total))
-    return ranked.where(F.col("_rank") <= F.ceil(F.col("_in_block") * share)).select(
+    order = order or [portable_hash("edition", "entity", "checkpoint") % 2**52, "edition", "entity", "checkpoint"]
+    share = min(1.0, cap / max(points.count(), 1))
+    return smallest(points, ["finish_block"], order, share).select(
         "edition",
         "entity",
         "checkpoint",
@@ -299,41 +297,59 @@ def axis_bounds(ratios: DataFrame, low: float = 0.01, high: float = 0.99) -> Dat
     )
 
 
-def _station_array(table: DataFrame, columns: Mapping[str, str | Column]) -> Column:
-    return F.sort_array(
-        F.collect_list(
-            F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
-        )
-    )
+def section(
+    table: DataFrame,
+    name: str,
+    label: Sequence[str],
+    order: str | None = None,
+    edition: str | None = "edition",
+) -> DataFrame:
+    """Rows of a report table tagged for the payload: edition, section, order, and the row as JSON.
 
+    ``label`` names the columns that tell the rows of the section apart; joined, they are the field
+    ``id`` of each row. Rows come in ``order``, then by ``id``. ``edition=None`` is for tables that
+    hold for all editions.
+    """
+    own = F.concat_ws("|", *[F.col(c).cast("string") for c in label]).alias("id")
+    body = F.to_json(F.struct(own, *[c for c in table.columns if c not in (edition, *label)]))
+    return table.select(
+        (F.col(edition) if edition else F.lit(None)).cast("long").alias("edition"),
+        F.lit(name).alias("section"),
+        (F.col(order) if order else F.lit(0)).cast("double").alias("_at"),
+        own,
+        body.alias("_body"),
+    )
 
-def edition_payload(
-    kpis: DataFrame,
-    windows: DataFrame,
-    stops: DataFrame,
-    speeds: DataFrame,
-    ends: DataFrame,
-    heat: DataFrame,
-) -> DataFrame:
-    """One row per edition with its tables nested; an array holds one entry per checkpoint."""
 
-    def nested(table: DataFrame, name: str) -> DataFrame:
-        own = [c for c in table.columns if c != "edition"]
-        return table.groupBy("edition").agg(_station_array(table, {c: c for c in own}).alias(name))
+def payload_lines(sections: Sequence[DataFrame], part_rows: int = 500) -> DataFrame:
+    """The payload as lines of JSON: edition, section, part and the rows of that part.
 
-    hours = heat.groupBy(*STATION).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("hour", "n"))), lambda x: x["n"]).alias("n")
-    )
-    out = kpis.select("edition", F.struct(*[c for c in kpis.columns if c != "edition"]).alias("kpis"))
-    for table, name in (
-        (windows, "arrivals"),
-        (stops, "stops"),
-        (speeds, "legs"),
-        (ends, "attrition"),
-        (hours, "heat"),
-    ):
-        out = out.join(nested(table, name), "edition", "left")
-    return out
+    All sections meet in one exchange by edition, section and part instead of a join per section. A
+    section is cut into as many parts as its number of rows asks for; parts are dealt by a hash of the
+    ids, so none outgrows a task, and each is in order.
+    """
+    rows = sections[0]
+    for other in sections[1:]:
+        rows = rows.unionByName(other)
+    keys = ["edition", "section"]
+    rows = written(rows, "payload-rows")
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))
+    dealt = match_null_safe(rows, sizes, keys).withColumn("part", portable_hash("id") % F.col("parts"))
+    ordered = F.sort_array(F.collect_list(F.struct("_at", "id", "_body")))
+    bodies = F.transform(ordered, lambda r: r["_body"])
+    head = F.to_json(F.struct(*keys, "part"))
+    lines = dealt.groupBy(*keys, "part").agg(bodies.alias("bodies"))
+    text = F.concat(F.left(head, F.length(head) - 1), F.lit(',"rows":['), F.array_join("bodies", ","), F.lit("]}"))
+    return lines.select(*keys, "part", F.replace(text, F.lit("</"), F.lit("<\\/")).alias("json"))
+
+
+def read_payload(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Payload lines taken apart: edition, section, id, field and its value as text; nulls are absent."""
+    schema = "edition BIGINT, section STRING, part BIGINT, rows ARRAY<MAP<STRING, STRING>>"
+    parsed = lines.select(F.from_json(F.replace(column, F.lit("<\\/"), F.lit("</")), schema).alias("j"))
+    rows = parsed.select("j.edition", "j.section", F.explode("j.rows").alias("row"))
+    fields = rows.select("edition", "section", F.col("row")["id"].alias("id"), F.explode("row").alias("field", "value"))
+    return fields.where("field <> 'id'")
 
 
 def payload_json(payload: DataFrame, keys: Sequence[str] = ("edition",)) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waypoint.functions.clock import lenient_timestamp
-from waypoint.functions.numbers import bare_number, bare_text, checkpoint_label, trailing_number
+from waypoint.functions.numbers import as_column, bare_number, bare_text, checkpoint_label, trailing_number
 from waypoint.operators.clock import ENTITY
-from waypoint.operators.joins import join_checked
+from waypoint.operators.joins import join_checked, match_null_safe
 from waypoint.operators.ordered import ordinal_rank
 from waypoint.operators.reshape import null_column
 
@@ -108,19 +108,27 @@ def attach_overall_rank(df: DataFrame, summary: DataFrame) -> DataFrame:
     return df.join(summary.select(*ENTITY, "overall_rank", "edition_size"), ENTITY, "left")
 
 
+def station_ranks(df: DataFrame, by: str | Column = "arrive_at", nulls_first: bool = False) -> DataFrame:
+    """Edition, entity, checkpoint and the order of arrival there; null arrivals come last by default.
+
+    Only these columns and the arrival enter the sort across the cluster.
+    """
+    narrow = df.select(*ENTITY, "checkpoint", as_column(by).alias("_at"))
+    at = F.col("_at").asc_nulls_first() if nulls_first else F.col("_at").asc_nulls_last()
+    ranked = ordinal_rank(narrow, ["edition", "checkpoint"], [at, F.col("entity")], "station_rank")
+    return ranked.select(*ENTITY, "checkpoint", "station_rank")
+
+
 def station_rank(df: DataFrame, by: str | Column = "arrive_at", nulls_first: bool = False) -> DataFrame:
-    """Order of arrival at each checkpoint of each edition; null arrivals come last by default."""
-    at = F.col(by) if isinstance(by, str) else by
-    ordered = at.asc_nulls_first() if nulls_first else at.asc_nulls_last()
-    return ordinal_rank(df, ["edition", "checkpoint"], [ordered, F.col("entity")], "station_rank")
+    """The rows with their order of arrival; (edition, entity, checkpoint) is their key."""
+    return match_null_safe(df, station_ranks(df, by, nulls_first), [*ENTITY, "checkpoint"])
 
 
 def clean_long_history(raw: DataFrame, stations: DataFrame, results: DataFrame) -> DataFrame:
     """History recorded in long form with elapsed times, brought to the common columns.
 
     Names and demographics come from the results, the file's own are dropped; ``M/d/yy HH:mm`` text
-    becomes ISO text, malformed text null. Ranks: see :func:`runner_summary`, and
-    :func:`station_rank` with ``by="arrive_hrs", nulls_first=True``.
+    becomes ISO text, malformed text null. For ranks see :func:`with_history_ranks`.
     """
     flags = stations.where(F.col("edition").isNotNull()).select(
         F.col("edition").cast("long").alias("edition"), "checkpoint", "is_finish"
@@ -144,3 +152,13 @@ def clean_long_history(raw: DataFrame, stations: DataFrame, results: DataFrame)
     )
     joined = attach_results(join_checked(typed, flags, ["edition", "checkpoint"]), results)
     return with_summary(joined, use_departures=False).drop("is_finish")
+
+
+def with_history_ranks(history: DataFrame) -> DataFrame:
+    """Cleaned history with ``overall_rank``, ``edition_size`` and ``station_rank``.
+
+    Arrivals are ordered by elapsed time, missing ones first. The rows are read three times, so write
+    them first if they are dear to compute.
+    """
+    ranked = attach_overall_rank(history, runner_summary(history))
+    return match_null_safe(ranked, station_ranks(history, "arrive_hrs", True), [*ENTITY, "checkpoint"])

@@ -127,7 +127,7 @@ def runner_summary(spark, sf):
 
 @query
 def station_rank(spark, sf):
-    return runners.station_rank(p.rebuilt(spark, sf)).select(*KEY, "station_rank")
+    return runners.station_ranks(p.rebuilt(spark, sf))
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,15 +158,15 @@ def clean_long_history(spark, sf):
         p.stations(spark, sf),
         p.results(spark, sf),
     )
-    columns = [*KEY, "cp", "name", "start_text", "arrive_at", "arrive_hrs", "finish_rank", "furthest"]
-    return _out(df, [*columns, "max_hrs"], arrive_hrs=6, max_hrs=6)
+    columns = [*KEY, "cp", "name", "start_text", "arrive_at", "arrive_hrs", "finish_rank", "furthest", "max_hrs"]
+    df = runners.with_history_ranks(p.stored(df.select(*columns, "max_position"), "history"))
+    return _out(df, [*columns, "overall_rank", "edition_size", "station_rank"], arrive_hrs=6, max_hrs=6)
 
 
 @query
 def history_station_rank(spark, sf):
     """Arrival order of the early editions, by elapsed time with missing arrivals first."""
-    df = runners.station_rank(_history(spark, sf), by="arrive_hrs", nulls_first=True)
-    return df.select(*KEY, "station_rank")
+    return runners.station_ranks(_history(spark, sf), by="arrive_hrs", nulls_first=True)
 
 
 @query
@@ -542,7 +542,7 @@ def reproject_plan(spark, sf):
     )
     df = pacing.reproject_plan(plans, _eta(spark, sf), actuals)
     real = [c for c, t in df.dtypes if t == "double" and c not in ("goal_hrs", "mile")]
-    return _out(df, [c for c in df.columns if c != "predicted_clock"], **dict.fromkeys(real, 4))
+    return _out(df, df.columns, **dict.fromkeys(real, 4))
 
 
 @query
@@ -555,18 +555,74 @@ def axis_bounds(spark, sf):
     return report.axis_bounds(p.stored_ratios(spark, sf))
 
 
+def _eta_of(spark: SparkSession, sf: str, ratios: DataFrame) -> DataFrame:
+    stations = p.reference_stations(spark, sf).where("station_id > 0")
+    return pacing.eta_table(stations, report.cohort_arrival_windows(ratios))
+
+
+def _payload_fields(lines: DataFrame) -> DataFrame:
+    """Lines written as text, read back and taken apart; numbers are compared as such, text is left out."""
+    path = scratch_path(lines.sparkSession, "payload")
+    tables.write_payload(lines, path)
+    fields = report.read_payload(lines.sparkSession.read.text(path))
+    number = F.col("value").try_cast("double")
+    return fields.select("edition", "section", "id", "field", number.alias("number")).where("number is not null")
+
+
 @query
 def report_payload(spark, sf):
-    rows = p.stored_legs(spark, sf)
-    payload = report.edition_payload(
-        report.edition_kpis(rows, p.COURSE),
-        report.arrival_windows(rows),
-        report.stop_medians(rows),
-        report.leg_speeds(rows),
-        report.attrition(rows),
-        report.flow_heatmap(rows),
+    """All sections of the report in JSON lines, written, read back and taken apart."""
+    rows, ratios = p.stored_legs(spark, sf), p.stored_ratios(spark, sf)
+    heat = p.stored(report.flow_heatmap(rows), "heat")
+    section = report.section
+    years = rows.select("edition").distinct().withColumn("year", F.col("edition"))
+    stations = p.reference_stations(spark, sf).where("station_id > 0")
+    order = [(F.col("entity") * 7919 + F.col("position") * 2) % 10007, "entity", "position"]
+    lines = report.payload_lines(
+        [
+            section(years, "years", ["year"], "edition", None),
+            section(stations.drop("name"), "stations", ["station_id"], "station_id", None),
+            section(report.edition_kpis(rows, p.COURSE), "kpis", ["edition"]),
+            section(report.arrival_windows(rows).drop("place"), "arrivals", ["checkpoint"], "position"),
+            section(report.stop_medians(rows).drop("place"), "stops", ["checkpoint"]),
+            section(report.leg_speeds(rows).drop("place"), "legs", ["checkpoint"], "position"),
+            section(report.attrition(rows).drop("place"), "attrition", ["checkpoint"]),
+            section(heat, "heat", ["checkpoint", "hour"], "hour"),
+            section(report.heat_cap(heat), "heat_cap", ["edition"]),
+            section(
+                report.scatter_sample(ratios, cap=2000, order=order).select(
+                    "edition", "entity", "checkpoint", "position", "speed", "station_id", "finish_block"
+                ),
+                "points", ["entity", "checkpoint"], "position",
+            ),
+            section(report.station_speed_means(ratios), "means", ["station_id"], "station_id", None),
+            section(report.cohort_trend(ratios), "trend", ["station_id", "finish_block"], "station_id", None),
+            section(report.arrival_histogram(p.rebuilt(spark, sf), p.crosswalk(spark, sf)), "bins", ["station_id", "bin"], "station_id", None),
+            section(report.cohort_arrival_windows(ratios), "cohort_windows", ["station_id", "finish_block"], "station_id", None),
+            section(report.cohort_medians(ratios), "cohorts", ["cohort", "station_id"], "station_id", None),
+            section(report.axis_bounds(ratios).withColumn("axis", F.lit("speed")), "axis", ["axis"], None, None),
+            section(_eta_of(spark, sf, ratios), "planner", ["block", "station_id"], "block", None),
+        ]
+    )
+    return _payload_fields(lines)
+
+
+@query
+def course_payload(spark, sf):
+    """Thinned vertices, stations with their vertex and scaled miles, and total miles of every route."""
+    kept, at = _thinned_route(spark, sf)
+    kept = p.stored(kept, "kept")
+    places = course.snap_waypoints(_waypoints(spark, sf), _vertices(spark, sf))
+    stations = course.station_indexes(kept, at).join(places.select("route", "station_id", "scaled_mi"), ["route", "station_id"])
+    total = course.parse_route(_vertices(spark, sf)).groupBy("route").agg(F.max("cum_mi").alias("total_mi"))
+    lines = report.payload_lines(
+        [
+            report.section(kept.drop("is_station"), "points", ["seq"], "kept_index", "route"),
+            report.section(stations, "stations", ["station_id"], "kept_index", "route"),
+            report.section(total.withColumn("unit", F.lit("mi")), "total", ["unit"], None, "route"),
+        ]
     )
-    return report.payload_json(payload)
+    return _payload_fields(lines).withColumnRenamed("edition", "route")
 
 
 @query
@@ -840,7 +896,8 @@ def elapsed_minutes(spark, sf):
 @query
 def clock_labels(spark, sf):
     df = p.rebuilt(spark, sf)
-    return df.select(*KEY, clock_label(F.col("arrive_hrs") + F.lit(0.004)).alias("label"))
+    half_on = F.col("arrive_hrs") + F.lit(1.0) / 120
+    return df.select(*KEY, clock_label(F.col("arrive_hrs")).alias("label"), clock_label(half_on).alias("label_half_on"))
 
 
 @query
