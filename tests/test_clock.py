@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from waypoint.functions import clock as fc
 from waypoint.functions.numbers import bare_number, gender_code, trailing_number
 from waypoint.naming import RACE_WIDE, bind
-from waypoint.operators import clock, reshape, runners
+from waypoint.operators import clock, ordered, reshape, runners
 
 EDITIONS = [(2021, "2021-08-14", "05:00")]
 
@@ -204,3 +204,30 @@ def test_expressions(rows):
     assert got[0].ts == "2016-08-13 05:07:00" and got[1].ts is None
     assert (got[0].n, got[1].n) == (7, None)
     assert (got[0].neg, got[0].long, got[0].g, got[0].bib) == ("-1:59:00", "100:00:00", 1.0, 54)
+
+
+def test_ranks_write_keys_and_order_columns_only(rows, monkeypatch):
+    seen = []
+    own = ordered.written
+    monkeypatch.setattr(ordered, "written", lambda df, name: seen.append(df.columns) or own(df, name))
+    df = rows([(1, k, "AS_01", 5.0 - k, "wide", "wider") for k in range(5)], "edition long, entity long, checkpoint string, arrive_hrs double, a string, b string")
+    ranked = runners.station_rank(df, "arrive_hrs")
+    assert seen == [["edition", "entity", "checkpoint", "_at", ordered.ROW]]
+    assert ranked.columns == [*df.columns, "station_rank"]
+    assert {r.entity: r.station_rank for r in ranked.collect()} == {k: 5 - k for k in range(5)}
+
+
+def test_history_ranks(rows):
+    df = rows(
+        [
+            (1996, 1, 1, "AS_01", 6.0, 3.0, None, 5, 30.0),
+            (1996, 1, 2, "AS_02", 12.0, 7.0, None, 5, 30.0),
+            (1996, 2, 1, "AS_01", 6.0, None, None, None, None),
+            (1996, 2, 2, "AS_02", 12.0, 6.5, None, None, None),
+        ],
+        SPLITS,
+    )
+    got = runners.with_history_ranks(runners.with_summary(df, use_departures=False)).collect()
+    assert {(r.entity, r.cp): (r.overall_rank, r.edition_size, r.station_rank) for r in got} == {
+        (1, 1): (2, 2, 2), (1, 2): (2, 2, 2), (2, 1): (1, 2, 1), (2, 2): (1, 2, 1),
+    }

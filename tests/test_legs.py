@@ -118,15 +118,20 @@ def test_kpis_attrition_heat_and_payload(legs):
     assert heat.count() == 4 * 36
     hours = {r.hour: r.n for r in heat.where("checkpoint = 'AS_02'").collect()}
     assert hours[35] == 1 and sum(hours.values()) == 4  # 36.0 is left out
-    payload = report.edition_payload(
-        report.edition_kpis(legs), report.arrival_windows(legs), report.stop_medians(legs),
-        report.leg_speeds(legs), report.attrition(legs), heat,
-    )
-    text = report.payload_json(payload.withColumn("note", F.lit("</script>"))).first().json
-    assert "</" not in text
-    body = json.loads(text.replace("<\\/", "</"))
-    assert len(body["heat"][0]["n"]) == 36 and body["kpis"]["starters"] == 210
-    assert [s["mph"] for s in body["legs"] if "mph" in s] == [5.0, 5.0, 5.0]
+    lines = report.payload_lines(
+        [
+            report.section(report.edition_kpis(legs), "kpis", ["edition"]),
+            report.section(report.arrival_windows(legs), "arrivals", ["checkpoint"], "position"),
+            report.section(heat, "heat", ["checkpoint", "hour"], "hour"),
+            report.section(report.leg_speeds(legs), "legs", ["checkpoint"], "position"),
+        ]
+    ).collect()
+    found = {r.section: json.loads(r.json) for r in lines}
+    assert found["kpis"]["rows"][0]["starters"] == 210 and found["kpis"]["edition"] == lines[0].edition
+    assert [r["id"] for r in found["arrivals"]["rows"]] == ["AS_01", "AS_02", "AS_03", "AS_04"]
+    assert len([r for r in found["heat"]["rows"] if r["id"].startswith("AS_01|")]) == 36
+    assert sum(r["n"] for r in found["heat"]["rows"] if r["id"].startswith("AS_02|")) == 4
+    assert [r["mph"] for r in found["legs"]["rows"] if "mph" in r] == [5.0, 5.0, 5.0]
 
 
 RATIO = "edition long, entity long, checkpoint string, position double, leg_ratio double, finish_hrs double, finish_block long, station_id long, station_mi double, elapsed_hrs double"
@@ -244,3 +249,24 @@ def test_finisher_bands_and_shares(rows):
     assert got[1, "M"].share == 0.5 and got[1, "F"].share_of_edition == 0.333333 and got[2, "M"].centre == 2.0
     wide = {r.edition: r for r in finishers.share_spread(runs, "sex", ["F", "M"]).collect()}
     assert wide[1].share_F == 0.333333 and wide[2].n_F is None
+
+
+def test_payload_sections_in_parts(rows):
+    points = rows([(2021, k, f"AS_0{k % 3}", 1.5 * k if k % 7 else None, "a </b> \"q\"") for k in range(950)] + [(None, 5000, "AS_01", 2.0, "x")], "edition long, entity long, checkpoint string, speed double, note string")
+    means = rows([(3, 0.9), (1, 0.8)], "station_id long, mean double")
+    lines = report.payload_lines(
+        [report.section(points, "points", ["entity", "checkpoint"], "speed"), report.section(means, "means", ["station_id"], "station_id", None)],
+        part_rows=100,
+    )
+    parts = lines.collect()
+    sizes = {s: [len(json.loads(r.json.replace("<\\/", "</"))["rows"]) for r in parts if r.section == s and r.edition == e] for s, e in (("points", 2021), ("means", None))}
+    assert sum(sizes["points"]) == 950 and len(sizes["points"]) == 10 and max(sizes["points"]) < 200 and sizes["means"] == [2]
+    assert all("</" not in r.json for r in parts)
+    for r in parts:
+        own = [x.get("speed", -1) for x in json.loads(r.json)["rows"]] if r.section == "points" else []
+        assert own == sorted(own)
+    back = report.read_payload(lines, "json").collect()
+    speeds = {(r.edition, r.id): float(r.value) for r in back if r.field == "speed"}
+    assert speeds == {(e, f"{k}|{c}"): v for e, k, c, v, _ in points.collect() if v is not None}
+    assert {r.value for r in back if r.field == "note" and r.edition} == {"a </b> \"q\""}
+    assert {(r.id, r.value) for r in back if r.section == "means"} == {("1", "0.8"), ("3", "0.9")}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from waypoint.operators.joins import join_checked
 from waypoint.operators.ordered import SLICE, nearest_on_axis, ordered_slices, ordinal_rank, running_sum, with_previous
-from waypoint.operators.quantiles import _bin, grouped_quantiles
+from waypoint.operators.quantiles import _bin, grouped_quantiles, smallest
 
 
 @pytest.fixture(scope="module")
@@ -107,6 +107,25 @@ def test_bins_rise_with_values(spark):
     assert bins == sorted(bins)
 
 
+@pytest.mark.parametrize("inside", [50_000, 0])
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.35, 1.0])
+def test_smallest_share_equals_ranks(skewed, inside, share):
+    order = [F.col("v"), F.col("id")]
+    known = skewed.where("v is not null")
+    got = smallest(skewed, ["g"], order, share, max_inside=inside)
+    w = Window.partitionBy("g").orderBy(*order)
+    ranked = known.select("*", F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy("g")).alias("n"))
+    want = ranked.where(F.col("r") <= F.ceil(F.col("n") * share)).select("g", "id", "v")
+    assert got.columns == skewed.columns
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_smallest_share_sorts_nothing_but_ties(skewed):
+    out = smallest(skewed.where("v <> 7"), ["g"], ["v", "id"], 0.1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" not in plan and plan.count("Window [") == 1
+
+
 def test_nearest_on_axis_matches_brute_force(rows):
     rng = random.Random(5)
     keys = [(round(rng.random() * 50, 1),) for _ in range(800)] + [(None,)]
