@@ -140,3 +140,34 @@ def test_downsample(rows):
     assert [(r.station_id, r.kept_index) for r in index] == [(7, 1), (8, 3)]
     everything = course.route_downsample(route.where("route = 1"), stations, cap=1200)
     assert everything.agg(F.count("*")).first()[0] == 23
+
+
+def test_nearest_vertex_on_a_route_around_the_world(rows, monkeypatch):
+    rng = random.Random(12)
+    places = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(1500)]
+    places += [(rng.uniform(-3, 3), side * (180 - rng.random() / 4)) for side in (-1, 1) for _ in range(300)]
+    places += [(pole * (90 - rng.random() / 3), rng.uniform(-180, 180)) for pole in (-1, 1) for _ in range(200)]
+    vertices = [(1, k, lat, lon) for k, (lat, lon) in enumerate(places)]
+    asked = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(25)]
+    asked += [(0.4, 180.0), (0.4, -180.0), (-1.0, 179.999), (1.0, -179.999), (90.0, 0.0), (-90.0, 77.0), (89.9, -140.0), (0.0, 0.0)]
+    pairs = []
+    own = course._below
+    monkeypatch.setattr(course, "_below", lambda t, p, level: (met := own(t, p, level), pairs.append(met))[0])
+    got = course.nearest_vertex(
+        rows([(1, k, lat, lon) for k, (lat, lon) in enumerate(asked)], "route long, station_id long, lat double, lon double"),
+        rows(vertices, "route long, seq long, lat double, lon double"),
+    )
+    found = {r.station_id: (r.route_seq, r.off_route_mi) for r in got.collect()}
+    for k, here in enumerate(asked):
+        mi, seq = min((round(haversine(here, (lat, lon)), 9), seq) for _, seq, lat, lon in vertices)
+        assert found[k][0] == seq and abs(found[k][1] - mi) < 1e-6
+    # each level joins by route and cell, and meets far fewer pairs than all with all
+    met = sum(p.count() for p in pairs)
+    assert len(pairs) == 4 and met < 0.45 * len(asked) * len(vertices)
+    assert all(p.groupBy("_wlat", "_wlon", "_at").count().where("count > 1024").count() == 0 for p in pairs)
+
+
+def test_cells_nest(rows):
+    df = rows([(-90.0, -180.0), (90.0, 180.0), (0.0, 0.0), (41.5, -76.9), (41.5, 283.1)], "lat double, lon double")
+    codes = [r.c for r in df.select(course.cell_code(F.col("lat"), F.col("lon")).alias("c")).collect()]
+    assert codes[0] == 0 and codes[3] == codes[4] and all(0 <= c < 2**40 for c in codes)

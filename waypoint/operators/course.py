@@ -22,8 +22,8 @@ OFFICIAL_MI = 103.1  # fixed value: official length the measured route is scaled
 LENGTH_BOUNDS_MI = (95.0, 110.0)  # fixed values: plausible measured length
 MAX_MATCH_MI = 4.0  # fixed value
 
-# Sides of the nested grid cells in degrees; each divides the one before by 32.
-_GRID = (0.125, 0.125 / 32, 0.125 / 1024)
+# The pyramid of cells: the world is one cell, each cell has 32 x 32 below it.
+_LEVELS, _DIGIT = 4, 5
 _TIE_DIGITS = 9
 
 
@@ -65,51 +65,64 @@ def display_name(raw: str | Column, fixups: dict[str, str] | None = None) -> Col
     return F.when(tail.isNotNull() & (tail != ""), tail).otherwise(text)
 
 
+def cell_code(lat: Column, lon: Column) -> Column:
+    """Z-order code of the finest cell of a point: ten bits per level, so a shift gives the cell above."""
+    fine = 2 ** (_LEVELS * _DIGIT)
+    row = F.least(F.greatest(F.floor((lat + 90) / 180 * fine), F.lit(0)), F.lit(fine - 1))
+    column = F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * fine), F.lit(fine - 1))
+    code = F.lit(0).cast("long")
+    for level in range(_LEVELS):
+        down = _DIGIT * (_LEVELS - 1 - level)
+        digits = [F.shiftright(x, down).bitwiseAND(F.lit(2**_DIGIT - 1)) for x in (row, column)]
+        code = (code * 2**_DIGIT + digits[0]) * 2**_DIGIT + digits[1]
+    return code
+
+
+def _below(targets: DataFrame, points: DataFrame, level: int) -> DataFrame:
+    """Targets with each occupied cell of ``level`` below the cell they are at, its reach and floor."""
+    cell = F.shiftright("_code", 2 * _DIGIT * (_LEVELS - level))
+    boxes = points.groupBy("route", cell.alias("_cell")).agg(
+        F.min("lat").alias("_lat_lo"),
+        F.max("lat").alias("_lat_hi"),
+        F.min("lon").alias("_lon_lo"),
+        F.max("lon").alias("_lon_hi"),
+        F.min_by(F.struct("lat", "lon"), "seq").alias("_one"),
+    )
+    above = boxes.withColumn("_at", F.shiftright("_cell", 2 * _DIGIT))
+    here = (F.col("_wlat"), F.col("_wlon"))
+    reach = haversine_mi(*here, F.col("_one.lat"), F.col("_one.lon"))
+    floor = box_distance_floor_mi(
+        *here, *[F.col(f"_{a}_{b}") for a in ("lat", "lon") for b in ("lo", "hi")]
+    )
+    return targets.join(above, ["route", "_at"]).withColumns({"_reach": reach, "_floor": floor})
+
+
 def nearest_vertex(waypoints: DataFrame, vertices: DataFrame) -> DataFrame:
     """For every waypoint the nearest vertex of its route; on equal distance the lowest ``seq``.
 
-    Branch and bound over nested grid cells. On each level a waypoint meets the occupied cells below
-    the cells it kept (at most 32 x 32 below each), takes the distance to one vertex of each as an
-    upper bound, and keeps only cells whose box may hold something nearer. Only vertices of the
-    surviving finest cells are compared one by one, after dropping repeated coordinates.
+    Branch and bound down a pyramid of cells, from one for the world to some 40 yards. On each level a
+    waypoint meets the occupied cells below the cells it kept, at most 1,024 below each; every join is
+    by route and cell. The distance to one vertex of each cell is an upper bound, and only cells whose
+    box may hold something nearer are kept. Only vertices of the surviving finest cells are compared
+    one by one, after dropping repeated coordinates.
     """
     points = vertices.groupBy("route", "lat", "lon").agg(F.min("seq").alias("seq"))
-    names: list[str] = []
-    for level, side in enumerate(_GRID):
-        for axis in ("lat", "lon"):
-            names.append(f"_{axis}{level}")
-            points = points.withColumn(names[-1], F.floor(F.col(axis) / F.lit(side)))
-    targets = waypoints.select(
-        "route", F.col("lat").alias("_wlat"), F.col("lon").alias("_wlon")
-    ).distinct()
+    points = points.withColumn("_code", cell_code(F.col("lat"), F.col("lon")))
+    targets = (
+        waypoints.select("route", F.col("lat").alias("_wlat"), F.col("lon").alias("_wlon"))
+        .distinct()
+        .withColumn("_at", F.lit(0).cast("long"))
+    )
     here = (F.col("_wlat"), F.col("_wlon"))
-    keys = ["route"]
-    for level in range(len(_GRID)):
-        cell = names[2 * level : 2 * level + 2]
-        known = [c for c in keys if c != "route"]
-        boxes = points.groupBy("route", *known, *cell).agg(
-            F.min("lat").alias("_lat_lo"),
-            F.max("lat").alias("_lat_hi"),
-            F.min("lon").alias("_lon_lo"),
-            F.max("lon").alias("_lon_hi"),
-            F.min_by(F.struct("lat", "lon"), "seq").alias("_one"),
-        )
-        reach = haversine_mi(*here, F.col("_one.lat"), F.col("_one.lon"))
-        floor = box_distance_floor_mi(
-            *here, *[F.col(f"_{a}_{b}") for a in ("lat", "lon") for b in ("lo", "hi")]
-        )
-        met = targets.join(boxes, keys).withColumns({"_reach": reach, "_floor": floor})
-        bound = Window.partitionBy("route", "_wlat", "_wlon")
-        slack = 2 * 10.0**-_TIE_DIGITS
-        targets = (
-            met.withColumn("_bound", F.min("_reach").over(bound))
-            .where(F.col("_floor") <= F.col("_bound") + slack)
-            .select("route", *known, *cell, "_wlat", "_wlon")
-        )
-        keys = ["route", *known, *cell]
+    bound = Window.partitionBy("route", "_wlat", "_wlon")
+    slack = 2 * 10.0**-_TIE_DIGITS
+    for level in range(1, _LEVELS + 1):
+        met = _below(targets, points, level).withColumn("_bound", F.min("_reach").over(bound))
+        near = met.where(F.col("_floor") <= F.col("_bound") + slack)
+        targets = near.select("route", "_wlat", "_wlon", F.col("_cell").alias("_at"))
     distance = F.round(haversine_mi(*here, F.col("lat"), F.col("lon")), _TIE_DIGITS)
     best = (
-        targets.join(points, keys)
+        targets.join(points.withColumnRenamed("_code", "_at"), ["route", "_at"])
         .groupBy("route", "_wlat", "_wlon")
         .agg(F.min(F.struct(distance.alias("mi"), "seq")).alias("_best"))
         .select(
