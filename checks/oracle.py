@@ -496,6 +496,27 @@ SQL: dict[str, str] = {
             count(*) FILTER (WHERE stop > 180), count(*) FILTER (WHERE s_imp AND stop < 0),
             count(*) FILTER (WHERE leg_min <= 0 OR leg_mi <= 0),
             count(*) FILTER (WHERE leg_pace < 6 OR leg_pace > 60)]) AS violations FROM legs""",
+    "check_ratios": """SELECT check_name, round(v, 4) AS value, v BETWEEN low AND high AS in_range FROM (
+        SELECT 'median_ratio_of_entities' AS check_name, quantile_cont(m, 0.5) AS v, 0.8 AS low, 1.05 AS high
+            FROM (SELECT quantile_cont(leg_ratio, 0.5) AS m FROM legs GROUP BY edition, entity)
+        UNION ALL SELECT 'median_ratio', quantile_cont(leg_ratio, 0.5), 0.75, 1.05 FROM ratio
+        UNION ALL SELECT 'median_pace', quantile_cont(pace, 0.5), 10, 24 FROM ratio
+        UNION ALL SELECT 'share_in_band', round(count(*) FILTER (WHERE leg_ratio > 0.3 AND leg_ratio < 3) / count(*), 4),
+            0.99, 1 FROM ratio)""",
+    "check_crosswalk": """SELECT 'key_not_listed' AS check_name, count(*) FILTER (WHERE x.checkpoint IS NULL) AS violations
+            FROM (SELECT DISTINCT edition, checkpoint FROM clean) k LEFT JOIN xwalk x
+                ON k.edition = x.edition AND k.checkpoint = x.checkpoint
+        UNION ALL SELECT 'key_without_station', count(*) FROM xwalk
+            WHERE station_id IS NULL AND (edition, checkpoint) IN (SELECT (edition, checkpoint) FROM clean)
+        UNION ALL SELECT 'match_too_far', count(*) FROM xwalk
+            WHERE round(abs(14.5::DOUBLE * right(checkpoint, 1)::INT - station_mi), 2) > 1.6
+        UNION ALL SELECT 'place_at_two_stations', count(*) FROM
+            (SELECT checkpoint FROM xwalk GROUP BY 1 HAVING count(DISTINCT station_id) > 1)""",
+    "check_eta": """SELECT unnest(['block_not_ending_at_one', 'step_back', 'bounds_crossed']) AS check_name,
+        unnest([count(*) FILTER (WHERE after IS NULL AND abs(f50 - 1) > 1e-3), count(*) FILTER (WHERE f50 < before),
+            count(*) FILTER (WHERE f25 > f50 OR f50 > f75)]) AS violations
+        FROM (SELECT *, lag(f50) OVER w AS before, lead(f50) OVER w AS after FROM eta
+            WINDOW w AS (PARTITION BY block ORDER BY mile, station_id))""",
     "ratio_share_in_band": """SELECT round(count(*) FILTER (WHERE leg_ratio > 0.3 AND leg_ratio < 3)
         / count(*), 4) AS share, count(*) AS n FROM ratio""",
     "unmatched_keys": """SELECT DISTINCT edition, checkpoint FROM clean WHERE (edition, checkpoint) NOT IN

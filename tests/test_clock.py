@@ -231,3 +231,16 @@ def test_history_ranks(rows):
     assert {(r.entity, r.cp): (r.overall_rank, r.edition_size, r.station_rank) for r in got} == {
         (1, 1): (2, 2, 2), (1, 2): (2, 2, 2), (2, 1): (1, 2, 1), (2, 2): (1, 2, 1),
     }
+
+
+def test_a_repeated_result_fails_with_its_key(rows):
+    df = rows([(2021, 1, "AS_01"), (2021, 2, "AS_01")], "edition long, entity long, checkpoint string")
+    shape = "edition long, entity string, official_rank long, finish_hrs double"
+    once = rows([(2021, "1*", 4, 20.0), (None, "7", 1, 1.0), (None, "7", 1, 1.0)], shape)
+    got = runners.attach_results(df, once).collect()
+    assert {r.entity: r.official_rank for r in got} == {1: 4, 2: None}
+    twice = once.unionByName(rows([(2021, "1", 5, 21.0)], shape))
+    with pytest.raises(Exception, match="repeated result: 2021 1"):
+        runners.attach_results(df, twice).collect()
+    with pytest.raises(Exception, match="repeated result: 2021 1"):
+        runners.with_summary(runners.attach_results(df.selectExpr("*", "1 AS cp", "1.0D AS position", "1.0D AS arrive_hrs", "2.0D AS depart_hrs"), twice)).collect()

@@ -270,3 +270,16 @@ def test_payload_sections_in_parts(rows):
     assert speeds == {(e, f"{k}|{c}"): v for e, k, c, v, _ in points.collect() if v is not None}
     assert {r.value for r in back if r.field == "note" and r.edition} == {"a </b> \"q\""}
     assert {(r.id, r.value) for r in back if r.section == "means"} == {("1", "0.8"), ("3", "0.9")}
+
+
+def test_checks_of_crosswalk_arrivals_and_ratios(rows):
+    walk = rows([(1, "AS_01", "Ford", 5.0, 1, 0.2), (2, "AS_02", "Ford", 9.0, 2, 0.3), (1, "AS_02", "Hill", 9.0, None, None)], "edition long, checkpoint string, place string, position double, station_id long, delta_mi double")
+    seen = rows([(1, "AS_01"), (1, "AS_02"), (3, "AS_01")], "edition long, checkpoint string")
+    got = {r.check_name: r.violations for r in quality.check_crosswalk(seen, walk, 0.25).collect()}
+    assert got == {"key_not_listed": 1, "key_without_station": 1, "match_too_far": 1, "place_at_two_stations": 1}
+    eta = rows([(20, 1, 5.0, 0.2, 0.3, 0.4), (20, 2, 9.0, 0.3, 0.2, 0.1), (21, 1, 5.0, 0.9, 1.0, 1.1)], "block long, station_id long, mile double, f25 double, f50 double, f75 double")
+    got = {r.check_name: r.violations for r in quality.check_eta(eta).collect()}
+    assert got == {"block_not_ending_at_one": 1, "step_back": 1, "bounds_crossed": 1}
+    legs = rows([(1, 1, r, 15.0) for r in (0.9, 0.95, 4.0)] + [(1, 2, 0.5, 15.0)], "edition long, entity long, leg_ratio double, overall_pace double")
+    got = {r.check_name: (r.value, r.in_range) for r in quality.check_ratios(legs, legs).collect()}
+    assert got == {"median_ratio_of_entities": (0.725, False), "median_ratio": (0.925, True), "median_pace": (15.0, True), "share_in_band": (0.75, False)}

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waypoint.operators.quantiles import grouped_quantiles, pick
 from waypoint.functions.numbers import ratio, rounded
 from waypoint.operators.clock import ENTITY
 from waypoint.operators.reshape import require_columns
@@ -136,3 +137,61 @@ def rows_with_time(df: DataFrame, time: str = "depart_hrs") -> DataFrame:
 def worst(df: DataFrame, by: str, keep: Sequence[str], rows: int = 5) -> DataFrame:
     """The largest values, for a report; ties by the kept columns."""
     return df.orderBy(F.col(by).desc_nulls_last(), *keep).select(*keep, by).limit(rows)
+
+
+def check_ratios(legs: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Figures that a slip of units or definitions would move far off, and whether they are in range.
+
+    The median over entities of the median pace ratio of each, the medians of ratio and overall pace
+    over all legs of finishers, and the share of ratios between 0.3 and 3.
+    """
+    per_entity = legs.groupBy(*ENTITY).agg(F.median("leg_ratio").alias("m"))  # as many values as checkpoints
+    middle = grouped_quantiles(per_entity, [], {"m": "m"}, [0.5])
+    whole = grouped_quantiles(ratios, [], {"ratio": "leg_ratio", "pace": "overall_pace"}, [0.5])
+    inside = share_in_band(ratios, "leg_ratio", 0.3, 3.0)
+    parts = [
+        _figure(middle, "median_ratio_of_entities", pick("m"), 0.8, 1.05),
+        _figure(whole, "median_ratio", pick("ratio"), 0.75, 1.05),
+        _figure(whole, "median_pace", pick("pace"), 10.0, 24.0),
+        _figure(inside, "share_in_band", F.col("share"), 0.99, 1.0),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _figure(table: DataFrame, name: str, value: Column, low: float, high: float) -> DataFrame:
+    return table.select(
+        F.lit(name).alias("check_name"), rounded(value, 4).alias("value"), value.between(low, high).alias("in_range")
+    )
+
+
+def check_crosswalk(rows: DataFrame, crosswalk: DataFrame, max_mi: float) -> DataFrame:
+    """Violations of a crosswalk: keys it does not list or place, matches too far off, names at two stations."""
+    keys = rows.select("edition", "checkpoint").distinct()
+    listed = crosswalk.select("edition", "checkpoint", "station_id", F.lit(True).alias("_listed"))
+    found = keys.join(listed, ["edition", "checkpoint"], "left").agg(
+        F.count_if(F.col("_listed").isNull()).alias("key_not_listed"),
+        F.count_if(F.col("_listed") & F.col("station_id").isNull()).alias("key_without_station"),
+    )
+    far = crosswalk.agg(F.count_if(F.col("delta_mi") > max_mi).alias("match_too_far"))
+    moved = crosswalk.groupBy("place").agg(F.count_distinct("station_id").alias("_n"))
+    moved = moved.agg(F.count_if(F.col("_n") > 1).alias("place_at_two_stations"))
+    return (
+        _long(found, ["key_not_listed", "key_without_station"])
+        .unionByName(_long(far, ["match_too_far"]))
+        .unionByName(_long(moved, ["place_at_two_stations"]))
+    )
+
+
+def check_eta(eta: DataFrame) -> DataFrame:
+    """Violations of an arrival table: blocks that do not end at 1, steps back, bounds that cross."""
+    order = Window.partitionBy("block").orderBy("mile", "station_id")  # the stations of the course
+    steps = eta.withColumns({"_before": F.lag("f50").over(order), "_next": F.lead("f50").over(order)})
+    rules: Mapping[str, Column] = {
+        "block_not_ending_at_one": F.col("_next").isNull() & (F.abs(F.col("f50") - 1) > 1e-3),
+        "step_back": F.col("f50") < F.col("_before"),
+        "bounds_crossed": (F.col("f25") > F.col("f50")) | (F.col("f50") > F.col("f75")),
+    }
+    return _long(steps.agg(*[F.count_if(c).alias(n) for n, c in rules.items()]), list(rules))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,14 @@ def attach_results(
 ) -> DataFrame:
     """Official result and demographics of the entity, one result row per (edition, entity).
 
-    With ``numeric_entities=False`` entities are joined as text, a ``*`` aside.
+    A result key that occurs twice fails the query that reads its result, naming the key; rows are never
+    multiplied. Results without a key match nothing. With ``numeric_entities=False`` entities are joined as text, a ``*`` aside.
     """
     if not numeric_entities:
         found = [c for c in RESULT_COLUMNS if c in results.columns]
         edition = F.col("edition").cast("long").alias("edition")
-        return df.join(results.select(edition, bare_text("entity").alias("entity"), *found), ENTITY, "left")
+        keyed = results.select(edition, bare_text("entity").alias("entity"), *found)
+        return df.join(_one_per_key(keyed, found), ENTITY, "left")
     found = [c for c in RESULT_COLUMNS if c in results.columns]
     numeric = dict(results.dtypes)["entity"] in ("bigint", "int")
     entity = F.col("entity").cast("long") if numeric else bare_number("entity")
@@ -47,11 +51,24 @@ def attach_results(
     )
     if dict(df.dtypes)["entity"] != "bigint":  # a recast would lose the partitioning by entity
         df = df.withColumn("entity", bare_number("entity"))
-    return df.join(keyed, ENTITY, "left")
+    return df.join(_one_per_key(keyed, found), ENTITY, "left")
+
+
+def _one_per_key(results: DataFrame, values: Sequence[str]) -> DataFrame:
+    """The results by key; the values of a key that occurs more than once raise an error."""
+    known = results.where(F.col("edition").isNotNull() & F.col("entity").isNotNull())
+    counted = known.groupBy(*ENTITY).agg(
+        F.count(F.lit(1)).alias("_times"), *[F.first(c).alias(c) for c in values]
+    )
+    key = F.concat_ws(" ", *[F.col(c).cast("string") for c in ENTITY])
+    repeated = F.raise_error(F.concat(F.lit("repeated result: "), key))
+    return counted.select(
+        *ENTITY, *[F.when(F.col("_times") > 1, repeated).otherwise(F.col(c)).alias(c) for c in values]
+    )
 
 
 def repeated_results(results: DataFrame) -> DataFrame:
-    """Keys that occur more than once; must be empty, or :func:`attach_results` multiplies rows."""
+    """Keys that occur more than once; must be empty, or :func:`attach_results` fails."""
     return results.groupBy("edition", "entity").count().where("count > 1")
 
 

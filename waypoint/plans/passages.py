@@ -196,10 +196,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_legs(spark: SparkSession, sf: str) -> DataFrame:
+def stored_legs(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     columns = [
         "edition", "entity", "checkpoint", "cp", "place", "position", "arrive_hrs", "is_finisher",
         "furthest", "stop_min", "stop_imputed", "spans_missing", "leg_mi", "leg_pace", "overall_pace",
+        *more,
     ]
     return stored(legs(spark, sf).select(*columns), "legs")
 

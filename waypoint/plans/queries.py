@@ -690,6 +690,21 @@ def check_legs(spark, sf):
     return quality.check_legs(p.legs(spark, sf))
 
 
+@query
+def check_ratios(spark, sf):
+    return quality.check_ratios(p.stored_legs(spark, sf, "leg_ratio"), p.stored_ratios(spark, sf))
+
+
+@query
+def check_crosswalk(spark, sf):
+    return quality.check_crosswalk(p.clean(spark, sf), p.crosswalk(spark, sf), p.CROSSWALK_MAX_MI)
+
+
+@query
+def check_eta(spark, sf):
+    return quality.check_eta(_eta(spark, sf))
+
+
 @query
 def ratio_share_in_band(spark, sf):
     return quality.share_in_band(p.leg_ratios(spark, sf), "leg_ratio", 0.3, 3.0)
