@@ -119,7 +119,7 @@ def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
 
     Substrings of at most the longest piece's length are exploded and equi-joined to the piece table (as
     many rows as the model has pieces, so it is broadcast). Edges are grouped by word, in the partitioning
-    that made the words distinct, and folded in merge order by a higher-order aggregate: an edge between
+    that made the words distinct, as one number each, and folded in merge order by a higher-order aggregate: an edge between
     two present cuts with exactly one cut between removes that one. Bit k of ``cuts`` is a cut before
     code point k. Where an edge has become possible after its turn, so that one fold may not do,
     ``cuts`` is null; such words are rare, and workers merge them one pair at a time.
@@ -130,19 +130,22 @@ def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
     starts = words.where(n >= 2).select("word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
     spans = starts.select("word", "n", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(pieces.longest), F.col("n") - F.col("s")))).alias("l"))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("l")))
-    end = F.col("s") + F.col("l")
-    edges = spans.join(table, "piece").select(
-        "word",
-        "n",
-        F.struct(
-            "rank",
-            "s",
-            _bit(F.col("s")).bitwiseOR(_bit(end)).alias("ends"),
-            (_bit(end) - _bit(F.col("s") + 1)).alias("inner"),
-            "late",
-        ).alias("e"),
-    )
-    grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("e")).alias("edges"))
+    # an edge as one number, in merge order, then from the left: rank, start, length, whether it can be late
+    packed = ((F.col("rank").cast("long") * 64 + F.col("s")) * 64 + F.col("l")) * 2 + F.col("late").cast("int")
+    edges = spans.join(table, "piece").select("word", "n", packed.alias("e"))
+    grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("e")).alias("packed"))
+
+    def unpacked(e: Column) -> Column:
+        s = F.shiftright(e, 7).bitwiseAND(F.lit(63)).cast("int")
+        end = s + F.shiftright(e, 1).bitwiseAND(F.lit(63)).cast("int")
+        return F.struct(
+            F.shiftright(e, 13).alias("rank"),
+            _bit(s).bitwiseOR(_bit(end)).alias("ends"),
+            (_bit(end) - _bit(s + 1)).alias("inner"),
+            (e % 2 == 1).alias("late"),
+        )
+
+    grouped = grouped.select("word", "n", F.transform("packed", unpacked).alias("edges"))
 
     def possible(cuts: Column, e: Column) -> Column:
         return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
