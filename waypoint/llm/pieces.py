@@ -26,7 +26,7 @@ from waypoint.session import scratch_path
 MARK = "▁"
 #: Code points of a word whose cuts fit a long; rows of a dictionary that workers may hold (16 bytes each).
 MAX_WORD, MAX_ROWS = 61, 16_000_000
-CACHE_SIZE = 200_000
+CACHE_SIZE = 100_000
 
 
 @dataclass
@@ -208,40 +208,55 @@ class Encoder:
     def __init__(self, pieces: Pieces, path: str | None) -> None:
         self.pieces, self.find = pieces, re.compile(pieces.word_pattern()).findall
         self.table = _dictionary(path) if path else None
+        self.four = [struct.pack("<i", k) for k in range(len(pieces.surfaces))]
+        self.known = {p: self.four[k] for p, k in pieces.ids.items()}
         self.plain: dict[str, bytes] = {}  # by word
         self.spaced: dict[str, bytes] = {}  # by what follows a mark
         self.line_feed = self.packed("\n", [0, 1])
 
+    def fallback(self, part: str) -> bytes:
+        """The ids of what is no piece: its bytes."""
+        return b"".join(self.four[self.pieces.byte_ids[x]] for x in part.encode())
+
     def packed(self, word: str, cuts: list[int]) -> bytes:
         """The ids between cuts, four bytes each."""
-        out, ids = [], self.pieces.ids
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            k = ids.get(word[a:b])
-            out += [self.pieces.byte_ids[x] for x in word[a:b].encode()] if k is None else [k]
-        return struct.pack(f"<{len(out)}i", *out)
-
-    def cut(self, words: list[str]) -> Iterator[list[int]]:
-        """Cuts of words; those that the dictionary does not hold have no merges, others are merged here."""
+        parts = [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return b"".join([self.known.get(p) or self.fallback(p) for p in parts])
+
+    def of_bits(self, word: str, bits: int) -> bytes:
+        """The ids between the cuts that are the bits of a number."""
+        out, a, known = [], 0, self.known.get
+        bits &= -2  # the cut before the first code point
+        while bits:
+            low = bits & -bits
+            b = low.bit_length() - 1
+            out.append(known(word[a:b]) or self.fallback(word[a:b]))
+            bits ^= low
+            a = b
+        return b"".join(out)
+
+    def ids_of(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words without inner marks; those that the dictionary does not hold have no merges, others are merged here."""
         if self.table is None:
-            yield from (merge_word(w, self.pieces) for w in words)
+            yield from (self.packed(w, merge_word(w, self.pieces)) for w in words)
             return
         keys, cuts = self.table
         own = np.fromiter(map(xxhash.xxh64_intdigest, [w.encode() for w in words], repeat(42)), np.uint64, len(words))
         at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        known = (keys[at] == own).tolist() if len(keys) else [False] * len(words)
+        held = (keys[at] == own).tolist() if len(keys) else [False] * len(words)
         found = cuts[at].tolist() if len(keys) else [0] * len(words)
-        for w, k, c in zip(words, known, found, strict=True):
-            if len(w) > MAX_WORD or (k and not c) or w.count(MARK) > 1 or MARK in w[1:]:
-                yield merge_word(w, self.pieces)
-            elif k:
-                yield [j for j, x in enumerate(reversed(bin(c))) if x == "1"]
+        single, fallback = self.known.get, self.fallback
+        for w, k, c in zip(words, held, found, strict=True):
+            if k and c:
+                yield self.of_bits(w, c)
+            elif k or len(w) > MAX_WORD:
+                yield self.packed(w, merge_word(w, self.pieces))
             else:
-                yield list(range(len(w) + 1))
+                yield b"".join([single(x) or fallback(x) for x in w])
 
     def learn(self, cache: dict[str, bytes], mark: str, missed: set[str]) -> None:
         words = list(missed)
-        for w, cuts in zip(words, self.cut([mark + w for w in words]), strict=True):
-            cache[w] = self.packed(mark + w, cuts)
+        cache.update(zip(words, self.ids_of([mark + w for w in words]), strict=True))
 
     def _slow(self, text: str) -> bytes:
         """Any text: runs of spaces, marks in the text, spaces at line ends."""
