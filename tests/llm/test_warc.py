@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import zstandard
+from pyspark.sql import functions as F
 
 from waypoint.llm import warc
 
@@ -58,3 +59,15 @@ def test_bundles_are_seekable_and_records_are_fetched_alone(spark, rows, tmp_pat
     got = {r.page_id: r for r in warc.fetch_records(index, wanted, folder).collect()}
     assert set(got) == {3, 8} and got[8].payload.decode() == "y" * 3_000_000 and got[3].refers_to == 5
     assert got[3].url == "http://b/%0D%0AX: y"
+
+
+def test_archives_are_read_back_by_many_tasks(spark, rows, tmp_path):
+    data = [(k, "u", f"page {k} " * 300) for k in range(120)]
+    df = rows(data, "page_id bigint, url string, html string").coalesce(1)
+    index = warc.write_bundles(warc.mark_revisits(df), str(tmp_path), frame_bytes=4000)
+    for stretch in (1, 7, 1000):
+        back = warc.read_bundles(index, str(tmp_path), payloads=True, stretch=stretch)
+        got = back.select("page_id", "payload", F.spark_partition_id().alias("task")).collect()
+        assert sorted((r.page_id, r.payload.decode()) for r in got) == [(i, t) for i, _, t in data]
+        bundles = index.select("bundle").distinct().count()
+        assert len({r.task for r in got}) <= bundles if stretch == 1000 else len({r.task for r in got}) == 4

@@ -21,6 +21,8 @@ from waypoint.session import scratch_path
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+#: Frames that one row of the read-back stands for.
+STRETCH = 8
 INDEX = "page_id bigint, record_id string, record_type string, bundle string, frame int, offset bigint, length bigint"
 RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
@@ -203,22 +205,29 @@ def write_bundles(
     return stored(marked.mapInArrow(run, INDEX), "warc-index")
 
 
-def read_bundles(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """Every record of the bundles that the index names, frame by frame, with digests verified."""
+def read_bundles(index: DataFrame, folder: str, payloads: bool = False, stretch: int = STRETCH) -> DataFrame:
+    """Every record of the bundles that the index names, frame by frame, with digests verified.
+
+    Stretches of ``stretch`` frames are dealt to a fixed number of partitions (the session's shuffle
+    partitions), which adaptive execution leaves as they are: a few short rows stand for all the work.
+    Each stretch opens its bundle once and reads the seek table and its own frames.
+    """
     shape = RECORDS if payloads else RECORDS.rpartition(", ")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, part in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
                 reader = BundleReader(folder, name)
-                for k in range(len(reader.frames)):
+                for k in range(part * stretch, min((part + 1) * stretch, len(reader.frames))):
                     data, at, rows = reader.frame(k), 0, []
                     while at < len(data):
                         record, at = parse_record(data, at)
                         rows.append(record)
                     yield _batch(rows, shape)
 
-    return index.select("bundle").distinct().mapInArrow(run, shape)
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretches = index.select("bundle", F.expr(f"frame div {stretch}").alias("part")).distinct()
+    return stretches.repartition(parts, "bundle", "part").mapInArrow(run, shape)
 
 
 def fetch_records(index: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
