@@ -98,28 +98,43 @@ def chi2_quantile(q: float, p: int) -> float:
 
 
 _SUMS = [(i, j) for i in range(P) for j in range(i, P)]
-_FIT = ", ".join(["cohort string", *[f"m{k} double" for k in range(P)], *[f"q{i}{j} double" for i, j in _SUMS]])
+_ESTIMATE = [*[f"m{k}" for k in range(P)], *[f"q{i}{j}" for i, j in _SUMS]]
+_FIT = ", ".join(["cohort string", "n bigint", *[f"{c} double" for c in _ESTIMATE]])
+
+
+def _matrix(t: dict[str, list], r: int) -> np.ndarray:
+    out = np.empty((P, P))
+    for i, j in _SUMS:
+        out[i, j] = out[j, i] = t[f"q{i}{j}"][r]
+    return out
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scatter of each row, with FLOORS, replaced by its inverse."""
+    for batch in batches:
+        t = batch.to_pydict()
+        inverse = [np.linalg.inv(_matrix(t, r) + np.diag(np.square(FLOORS))) for r in range(batch.num_rows)]
+        t |= {f"q{i}{j}": [float(x[i, j]) for x in inverse] for i, j in _SUMS}
+        yield pa.RecordBatch.from_pydict(t, schema=batch.schema)
 
 
 def _solved(factor: float):
-    """From counts and exact sums of a subset: centre and inverse scatter of each cohort."""
+    """From counts and exact sums of a subset: centre and scatter of each cohort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = batch.to_pydict()
-            rows: dict[str, list] = {name: [] for name in [*[f"m{k}" for k in range(P)], *[f"q{i}{j}" for i, j in _SUMS]]}
+            rows: dict[str, list] = {name: [] for name in _ESTIMATE}
             for r in range(batch.num_rows):
                 n = t["n"][r]
-                mean = [t[f"s{k}"][r] / n for k in range(P)]
-                scatter = np.empty((P, P))
-                for i, j in _SUMS:  # whole numbers until the last division
-                    scatter[i, j] = scatter[j, i] = (n * t[f"s{i}{j}"][r] - t[f"s{i}"][r] * t[f"s{j}"][r]) / (n * n)
-                inverse = np.linalg.inv(factor * scatter / SCALE**2 + np.diag(np.square(FLOORS)))
                 for k in range(P):
-                    rows[f"m{k}"].append(mean[k] / SCALE)
-                for i, j in _SUMS:
-                    rows[f"q{i}{j}"].append(float(inverse[i, j]))
-            yield pa.RecordBatch.from_pydict({"cohort": batch.column("cohort"), **{k: pa.array(v, pa.float64()) for k, v in rows.items()}})
+                    rows[f"m{k}"].append(t[f"s{k}"][r] / n / SCALE)
+                for i, j in _SUMS:  # whole numbers until the last division
+                    scatter = (n * t[f"s{i}{j}"][r] - t[f"s{i}"][r] * t[f"s{j}"][r]) / (n * n)
+                    rows[f"q{i}{j}"].append(factor * scatter / SCALE**2)
+            yield pa.RecordBatch.from_pydict(
+                {"cohort": batch.column("cohort"), "n": pa.array(t["n"], pa.int64()), **{k: pa.array(v, pa.float64()) for k, v in rows.items()}}
+            )
 
     return run
 
@@ -139,7 +154,7 @@ def _fit(totals: DataFrame, factor: float) -> DataFrame:
 
 
 def fit_cohorts(vectors: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
-    """Minimum-covariance-determinant centre and inverse scatter per cohort (columns cohort, z0..).
+    """Minimum-covariance-determinant estimate per cohort (columns cohort, z0..): rows it rests on, centre, scatter.
 
     From a start at medians and median deviations, each concentration step takes, per cohort, the
     ``share`` of rows nearest by the present estimate (whole cells of the distance scale, so ties stay
@@ -147,7 +162,8 @@ def fit_cohorts(vectors: DataFrame, share: float = 0.75, steps: int = 5) -> Data
     pass with map-side sums per (cohort, cell of distance), at most some thousand rows per cohort and
     task, so a cohort may hold any share of the rows. All sums are of whole numbers and exact: the
     estimate does not depend on partitioning or retries. A last step takes all rows within the 97.5 %
-    ellipsoid. ``FLOORS`` is added to the scatter, since a statistic may be constant in a cohort.
+    ellipsoid. Distances take the scatter with ``FLOORS`` squared on its diagonal: a statistic may be
+    constant in a cohort, and spread below the floors is no sign of junk in any.
     """
     q = chi2_quantile(share, P)
     trimmed = share / chi2_cdf(q, P + 2)
@@ -165,16 +181,23 @@ def fit_cohorts(vectors: DataFrame, share: float = 0.75, steps: int = 5) -> Data
     fit = stored(start, "mcd")
     cell = F.floor(F.log2(_distance() + 1e-6) * CELLS).cast("int")
     for _ in range(steps):
-        by_cell = _totals(vectors.join(fit, "cohort").withColumn("cell", cell), "cohort", "cell")
+        by_cell = _totals(vectors.join(fit.select("cohort", *_ESTIMATE), "cohort").withColumn("cell", cell), "cohort", "cell")
         below = Window.partitionBy("cohort").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         nearest = by_cell.withColumns(
             {"before": F.coalesce(F.sum("n").over(below), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("cohort"))}
         ).where(F.col("before") < F.ceil(F.col("all") * share))
         sums = [c for c in by_cell.columns if c not in ("cohort", "cell")]
-        fit = stored(_fit(nearest.groupBy("cohort").agg(*[F.sum(c).alias(c) for c in sums]), trimmed), "mcd")
-    inside = vectors.join(fit, "cohort").where(_distance() <= q_last)
-    last = stored(_fit(_totals(inside, "cohort"), 0.975 / chi2_cdf(q_last, P + 2)), "mcd")
-    return last
+        found = _fit(nearest.groupBy("cohort").agg(*[F.sum(c).alias(c) for c in sums]), trimmed)
+        fit = stored(found.mapInArrow(_inverted, _FIT), "mcd")
+    inside = vectors.join(fit.select("cohort", *_ESTIMATE), "cohort").where(_distance() <= q_last)
+    return stored(_fit(_totals(inside, "cohort"), 0.975 / chi2_cdf(q_last, P + 2)), "mcd")
+
+
+def _shrunk(own: DataFrame, wide: DataFrame, key: str, strength: int) -> DataFrame:
+    """Estimates drawn towards those of the wider cohort named by ``key``, with ``strength`` rows' weight."""
+    w = F.col("n") / (F.col("n") + strength)
+    towards = wide.select(F.col("cohort").alias(key), *[F.col(c).alias(f"_{c}") for c in _ESTIMATE])
+    return own.join(towards, key).withColumns({c: w * F.col(c) + (1 - w) * F.col(f"_{c}") for c in _ESTIMATE}).drop(*[f"_{c}" for c in _ESTIMATE])
 
 
 def _cell_of(lang: str, source: str) -> Column:
@@ -183,27 +206,27 @@ def _cell_of(lang: str, source: str) -> Column:
 
 
 def fit_quality(
-    stats: DataFrame, lang: str = "lang", source: str = "source", min_cohort: int = 100, share: float = 0.75, steps: int = 5
+    stats: DataFrame, lang: str = "lang", source: str = "source", strength: int = 5 * P, share: float = 0.75, steps: int = 5
 ) -> DataFrame:
     """Estimates for every (language, source) among the rows that pass the base limits.
 
-    Pairs of fewer than ``min_cohort`` rows are estimated together by language, and if these too are
-    fewer, together over all; null language or source is a value of its own.
+    Each pair, each language and the whole table have an estimate of their own, whatever their size. A
+    scatter of five statistics needs rows, some five each: the estimate of a pair that rests on n rows
+    counts n / (n + ``strength``), the rest of the weight is its language's, which is drawn towards the
+    whole likewise. So there is no size at which the method changes; with 1000 rows the pair itself
+    decides by 0.976, and a lone row is judged by its language. Null language or source is a value of its own.
     """
-    lang_of = F.coalesce(F.col(lang).cast("string"), F.lit("\x00"))
-    rows = stats.where(~base_failed()).select(_cell_of(lang, source).alias("pair"), lang_of.alias("l"), *_vector())
-    pairs = stored(rows.groupBy("pair", "l").agg(F.count("*").alias("n")), "pairs")
-    small = pairs.where(F.col("n") < min_cohort)
-    pools = small.groupBy("l").agg(F.sum("n").alias("pool"))
-    named = pairs.join(pools, "l", "left").withColumn(
-        "cohort",
-        F.when(F.col("n") >= min_cohort, F.concat(F.lit("p:"), "pair"))
-        .when(F.col("pool") >= min_cohort, F.concat(F.lit("l:"), "l"))
-        .otherwise(F.lit("all")),
-    )
-    named = stored(named.select("pair", "cohort"), "cohorts")
-    vectors = stored(rows.join(named, "pair").drop("pair", "l"), "vectors")
-    return stored(named.join(fit_cohorts(vectors, share, steps), "cohort").drop("cohort").withColumnRenamed("pair", "_q_pair"), "fits")
+    lang_of = F.concat(F.lit("l:"), F.coalesce(F.col(lang).cast("string"), F.lit("\x00")))
+    pair_of = F.concat(F.lit("p:"), _cell_of(lang, source))
+    rows = stored(stats.where(~base_failed()).select(pair_of.alias("pair"), lang_of.alias("l"), *_vector()), "vectors")
+    names = stored(rows.select("pair", "l").distinct(), "pairs")
+    levels = rows.select(F.explode(F.array(F.lit("all"), "l", "pair")).alias("cohort"), *[f"z{k}" for k in range(P)])
+    fits = fit_cohorts(levels, share, steps)
+    languages = names.select(F.col("l").alias("cohort"), F.lit("all").alias("wide")).distinct().join(fits, "cohort")
+    languages = _shrunk(languages, fits, "wide", strength)
+    pairs = _shrunk(names.withColumnRenamed("pair", "cohort").join(fits, "cohort"), languages, "l", strength)
+    pairs = pairs.select("cohort", "n", *_ESTIMATE).mapInArrow(_inverted, _FIT)
+    return stored(pairs.select(F.expr("substring(cohort, 3)").alias("_q_pair"), *_ESTIMATE), "fits")
 
 
 def judged(stats: DataFrame, fits: DataFrame, lang: str = "lang", source: str = "source", tail: float = 1e-6) -> DataFrame:
@@ -224,7 +247,7 @@ def quality_report(docs: DataFrame, tail: float = 1e-6, share: float = 0.75, ste
     Base limits: fewer than 50 words, or over half of the words in repeated three-word windows. Rows
     that pass are rejected if the squared Mahalanobis distance of (log words, log word length, log
     symbol share, root of repeated lines, root of repeated words) from the robust centre of their
-    language and source exceeds the chi-squared quantile of ``1 - tail``.
+    language and source (``fit_quality``) exceeds the chi-squared quantile of ``1 - tail``.
 
     Defined cases: null text has no words and fails; null language or source is a value of its own;
     repeated rows count each; an empty table gives an empty table; other columns are not read.
