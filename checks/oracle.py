@@ -569,6 +569,16 @@ SQL: dict[str, str] = {
         FROM orders""",
     "edition_rows_roundtrip": """SELECT DISTINCT year(o_orderdate)::BIGINT AS edition,
         year(o_orderdate) || '-08-10' AS start_date, '05:00' AS start_clock FROM orders""",
+    "sparse_results_scan": """SELECT year(o_orderdate)::BIGINT AS edition, o_orderkey AS entity,
+        'Runner ' || o_custkey AS name,
+        CASE WHEN o_custkey % 3 = 0 THEN 'F' WHEN o_custkey % 3 = 1 THEN 'male' END AS gender,
+        CASE WHEN o_custkey % 23 <> 0 THEN (20 + o_custkey % 50)::BIGINT END AS age, NULL::VARCHAR AS city,
+        (o_orderkey % 1000 + 1)::BIGINT AS official_rank,
+        CASE WHEN o_orderkey % 4999 = 0 THEN '29:59:59' END AS finish_text,
+        round(20 + o_totalprice / 31250, 6) AS finish_hrs, round((20 + o_totalprice / 31250) * 60, 4) AS finish_min
+        FROM orders WHERE o_orderstatus = 'F'""",
+    "blank_edition_records": """SELECT DISTINCT 'Race, ' || year(o_orderdate) AS race_name, year(o_orderdate)::BIGINT AS edition,
+        101.5::DOUBLE AS race_distance, year(o_orderdate) || '-08-10' AS start_date, '05:00' AS start_clock FROM orders""",
     "partitioned_parquet": "SELECT edition, entity, cp, a_text AS arrive_text FROM clean",
     "gpx_route_points": """SELECT (p_partkey // 500)::VARCHAR AS route,
         row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) - 1 AS seq,
@@ -668,6 +678,12 @@ def fields_of(sections: list[tuple], edition_as: str) -> str:
     return "SELECT * FROM (" + "\nUNION ALL ".join(parts) + ") WHERE number IS NOT NULL"
 
 
+RUN_SECTIONS = ["edition_kpis", "arrival_windows", "stop_medians", "leg_speeds", "attrition", "flow_heatmap"]
+
+SQL["bucketed_legs"] = SQL["interval_features"]
+SQL["report_run"] = "\nUNION ALL ".join(
+    f"SELECT '{s}' AS section, edition, count(*) AS n FROM ({SQL[s]}) GROUP BY edition" for s in RUN_SECTIONS
+)
 SQL["report_payload"] = fields_of(SECTIONS, "edition")
 SQL["course_payload"] = fields_of(COURSE_SECTIONS, "route")
 

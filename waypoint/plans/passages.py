@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from waypoint.operators import clock, impute, intervals, reshape, runners
 from waypoint.operators.course import station_crosswalk
+from waypoint.operators.clock import ENTITY
 from waypoint.operators.model import by_station_median, station_medians
 from waypoint.session import scratch_path
+from waypoint.sources.buckets import Buckets
 from waypoint.sources.tables import write_table
 
 SPACING_MI = 14.5
@@ -147,21 +149,42 @@ def ranked_splits(spark: SparkSession, sf: str) -> DataFrame:
     return runners.attach_overall_rank(rows, runners.runner_summary(rows))
 
 
-def imputed(spark: SparkSession, sf: str) -> DataFrame:
-    """One-sided times filled from the median stop of the checkpoint.
-
-    The features are read twice, for the medians and for the filling, so they are written once.
-    """
+def _features(rows: DataFrame) -> DataFrame:
     columns = [
         "edition", "entity", "checkpoint", "cp", "place", "position", "arrive_hrs", "depart_hrs",
         "stop_min", "is_finisher", "finish_rank", "finish_hrs", "furthest",
     ]
-    features = impute.stop_features(splits(spark, sf), COURSE, ranked=False)
-    features = stored(features.select(*columns), "features")
+    return impute.stop_features(rows, COURSE, ranked=False).select(*columns)
+
+
+def _filled(features: DataFrame) -> DataFrame:
     medians = station_medians(features, COURSE)
     return impute.impute_times(features, by_station_median(medians), COURSE)
 
 
+def imputed(spark: SparkSession, sf: str) -> DataFrame:
+    """One-sided times filled from the median stop of the checkpoint.
+
+    The features are read twice, for the medians and for the filling, so they are written once.
+    """
+    return _filled(stored(_features(splits(spark, sf)), "features"))
+
+
+def bucketed_splits(spark: SparkSession, sf: str, store: Buckets) -> DataFrame:
+    """``splits`` from cleaned passages and results in buckets of the entity: one exchange each, none after."""
+    rows = store.keep(clean(spark, sf), ENTITY, ["cp"])
+    found = store.keep(results(spark, sf), ENTITY)
+    placed_rows = clock.attach_edition_station(rows, editions(spark, sf), stations(spark, sf))
+    timed = clock.rebuild_departures(clock.rebuild_clock(placed_rows))
+    return runners.with_summary(runners.attach_results(timed, found))
+
+
+def bucketed_legs(spark: SparkSession, sf: str, store: Buckets) -> DataFrame:
+    """``legs`` with the features in buckets too: their windows read them as they lie."""
+    features = store.keep(_features(bucketed_splits(spark, sf, store)), ENTITY, ["cp"])
+    return intervals.interval_features(_filled(features), COURSE)
+
+
 def legs(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.interval_features(imputed(spark, sf), COURSE)
 
@@ -196,13 +219,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+LEG_COLUMNS = [
+    "edition", "entity", "checkpoint", "cp", "place", "position", "arrive_hrs", "is_finisher",
+    "furthest", "stop_min", "stop_imputed", "spans_missing", "leg_mi", "leg_pace", "overall_pace",
+]
+
+
 def stored_legs(spark: SparkSession, sf: str, *more: str) -> DataFrame:
-    columns = [
-        "edition", "entity", "checkpoint", "cp", "place", "position", "arrive_hrs", "is_finisher",
-        "furthest", "stop_min", "stop_imputed", "spans_missing", "leg_mi", "leg_pace", "overall_pace",
-        *more,
-    ]
-    return stored(legs(spark, sf).select(*columns), "legs")
+    return stored(legs(spark, sf).select(*LEG_COLUMNS, *more), "legs")
 
 
 def stored_ratios(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from waypoint.functions.clock import clock_label, lenient_timestamp, minutes_of_text
 from waypoint.functions.numbers import rounded
-from waypoint.naming import RACE_META, bind, unbind
+from waypoint import schemas
+from waypoint.naming import RACE_META, RACE_RESULTS, bind, unbind
 from waypoint.operators import (
     boosting,
     clock,
@@ -28,8 +29,10 @@ from waypoint.operators import (
     runners,
 )
 from waypoint.plans import passages as p
-from waypoint.session import scratch_path
+from waypoint.plans import runs
+from waypoint.session import scratch_path, scratch_scope
 from waypoint.sources import gpx, tables
+from waypoint.sources.buckets import Buckets
 
 HISTORY_UNTIL = 1997
 HOLDOUT = 1998
@@ -439,6 +442,18 @@ def interval_features(spark, sf):
     return _out(p.legs(spark, sf), [*KEY, "is_finisher", "spans_missing", *values], **digits)
 
 
+@query
+def bucketed_legs(spark, sf):
+    """The same legs through tables in buckets, which are gone when the result is handed back."""
+    values = ["leg_mi", "leg_min", "leg_pace", "overall_pace", "leg_ratio"]
+    path = scratch_path(spark, "bucketed-legs")
+    with scratch_scope(spark), Buckets(spark) as store:
+        df = p.bucketed_legs(spark, sf, store).select(*KEY, "is_finisher", "spans_missing", *values)
+        df.write.parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
+    return _out(df, df.columns, **dict.fromkeys(values, 8))
+
+
 @query
 def interval_ratio(spark, sf):
     values = ["elapsed_hrs", "leg_pace", "overall_pace", "leg_ratio"]
@@ -479,6 +494,18 @@ def flow_heatmap(spark, sf):
     return report.flow_heatmap(p.stored_legs(spark, sf))
 
 
+@query
+def report_run(spark, sf):
+    """A whole run: how many rows each written report table holds for each edition."""
+    path = scratch_path(spark, "report-run")
+    out = None
+    for name in runs.write_reports(spark, sf, path):
+        rows = spark.read.parquet(f"{path}/{name}").groupBy("edition").agg(F.count("*").alias("n"))
+        rows = rows.select(F.lit(name).alias("section"), "edition", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def heat_cap(spark, sf):
     return report.heat_cap(report.flow_heatmap(p.stored_legs(spark, sf)))
@@ -838,6 +865,30 @@ def edition_rows_roundtrip(spark, sf):
     ).select("edition", "start_date", "start_clock")
 
 
+@query
+def sparse_results_scan(spark, sf):
+    """Results as recorded, columns all or nearly all empty: their types come from the schema, not from the rows."""
+    path = scratch_path(spark, "results-csv")
+    late = F.when(F.col("entity") % 4999 == 0, F.lit("29:59:59"))
+    sheet = p.results(spark, sf).withColumns({"finish_text": late, "age": F.col("age").try_cast("long")})
+    tables.write_csv(unbind(sheet, RACE_RESULTS).select(*schemas.RESULTS.names), path)
+    df = bind(tables.read_csv(spark, path, schemas.RESULTS), RACE_RESULTS)
+    return _out(df, df.columns, finish_hrs=6, finish_min=4)
+
+
+@query
+def blank_edition_records(spark, sf):
+    """Edition starts followed by records of nulls, as some exports end; the blank ones are dropped."""
+    path = scratch_path(spark, "editions-csv")
+    sheet = unbind(p.editions(spark, sf), RACE_META).withColumns(
+        {"race_name": F.concat(F.lit("Race, "), F.col("race_year").cast("string")), "race_distance": F.lit(p.COURSE.length_mi)}
+    ).select(*schemas.EDITIONS.names)
+    blank = sheet.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.EDITIONS])
+    tables.write_csv(sheet.unionByName(blank), path)
+    read = bind(tables.read_csv(spark, path, schemas.EDITIONS), RACE_META)
+    return tables.drop_blank_records(read, "edition")
+
+
 @query
 def partitioned_parquet(spark, sf):
     """Passages written by edition and read back; one folder per edition."""
