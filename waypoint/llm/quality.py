@@ -219,10 +219,10 @@ def fit_quality(
     lang_of = F.concat(F.lit("l:"), F.coalesce(F.col(lang).cast("string"), F.lit("\x00")))
     pair_of = F.concat(F.lit("p:"), _cell_of(lang, source))
     rows = stored(stats.where(~base_failed()).select(pair_of.alias("pair"), lang_of.alias("l"), *_vector()), "vectors")
-    names = stored(rows.select("pair", "l").distinct(), "pairs")
+    names = stored(rows.select("pair", "l").distinct().withColumn("wide", F.lit("all")), "pairs")
     levels = rows.select(F.explode(F.array(F.lit("all"), "l", "pair")).alias("cohort"), *[f"z{k}" for k in range(P)])
     fits = fit_cohorts(levels, share, steps)
-    languages = names.select(F.col("l").alias("cohort"), F.lit("all").alias("wide")).distinct().join(fits, "cohort")
+    languages = names.select(F.col("l").alias("cohort"), "wide").distinct().join(fits, "cohort")
     languages = _shrunk(languages, fits, "wide", strength)
     pairs = _shrunk(names.withColumnRenamed("pair", "cohort").join(fits, "cohort"), languages, "l", strength)
     pairs = pairs.select("cohort", "n", *_ESTIMATE).mapInArrow(_inverted, _FIT)
