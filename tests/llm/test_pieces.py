@@ -21,7 +21,7 @@ def texts():
     return TEXTS + made
 
 
-@pytest.mark.parametrize("max_rows", [p.MAX_ROWS, 0])
+@pytest.mark.parametrize("max_rows", [p.MAX_ROWS, 200, 0])
 def test_ids_are_the_librarys_and_decode_back(spark, rows, texts, max_rows):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     df = rows([(k, t, "clash") for k, t in enumerate(texts)], "doc_id bigint, text string, ids string").repartition(3)
@@ -49,6 +49,27 @@ def test_lattice_cuts_equal_merging(spark, rows):
     rng = random.Random(9)
     words = {"".join(rng.choice("theinorat▁sé") for _ in range(rng.randint(2, 30))) for _ in range(400)}
     words |= {"▁" + "international" * 4, "x" * 61}
-    for r in p.word_cuts(rows([(w,) for w in words], "word string"), own).collect():
+    for r in p.word_cuts(rows([(w, 1) for w in words], "word string, uses bigint"), own).collect():
         if r.cuts is not None:
             assert [k for k in range(len(r.word) + 1) if r.cuts >> k & 1] == p.merge_word(r.word, own), r.word
+
+
+def test_words_are_those_of_the_pattern(spark, rows, texts):
+    import re
+    from collections import Counter
+
+    own = p.load_pieces(MODEL)
+    odd = ["  two  spaces\n  indented line ", "\n\n x", "one\n two\nthree  four", "▁▁a ▁b\n▁c"]
+    df = rows([(t,) for t in texts + odd], "text string")
+    want = Counter(w for t in texts + odd if t for w in re.findall(own.word_pattern(), "▁" + t.replace(" ", "▁")) if 2 <= len(w) <= 61)
+    assert {r.word: r.uses for r in p.distinct_words(df, own).collect()} == dict(want)
+
+
+def test_dictionary_keeps_what_is_used_most(spark, rows):
+    own = p.load_pieces(MODEL)
+    df = rows([("often often often often seldom",), ("often twice twice",)], "text string")
+    assert p.cut_dictionary(df, own).least == 1
+    few = p.cut_dictionary(df, own, max_rows=2)
+    held = p.Encoder(own, few).table.find(["▁often", "▁twice", "▁seldom"])
+    assert [x is not None for x in held] == [True, True, False]
+    assert p.cut_dictionary(df, own, max_rows=0) is None

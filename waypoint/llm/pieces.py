@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -24,7 +23,7 @@ from waypoint.llm.common import filesystem, track
 from waypoint.session import scratch_path
 
 MARK = "▁"
-#: Code points of a word whose cuts fit a long; rows of a dictionary that workers may hold (16 bytes each).
+#: Code points of a word whose cuts fit a long; rows of a dictionary that workers may hold (some 20 bytes each).
 MAX_WORD, MAX_ROWS = 61, 16_000_000
 CACHE_SIZE = 100_000
 
@@ -41,6 +40,11 @@ class Pieces:
     #: A line feed is in no piece, so it can part words.
     breaks: bool
 
+    @property
+    def kind(self) -> np.dtype:
+        """What holds an id inside tasks."""
+        return np.dtype("<u2" if len(self.surfaces) <= 1 << 16 else "<i4")
+
     def word_pattern(self) -> str:
         return f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if self.breaks else f"{MARK}*[^{MARK}]+|{MARK}+"
 
@@ -115,7 +119,7 @@ def _bit(k: Column) -> Column:
 
 
 def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, cuts) for the distinct words (column word, at most 61 code points) that hold a piece of two or more.
+    """(word, uses, cuts) for the distinct words (columns word, at most 61 code points, and uses) that hold a piece of two or more.
 
     Substrings of at most the longest piece's length are exploded and equi-joined to the piece table (as
     many rows as the model has pieces, so it is broadcast). Edges are grouped by word, in the partitioning
@@ -127,13 +131,13 @@ def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
     spark, late = words.sparkSession, late_parts(pieces)
     table = F.broadcast(spark.createDataFrame([(p, r, p in late) for p, r in sorted(pieces.ranks.items())], "piece string, rank int, late boolean"))
     n = F.char_length("word")
-    starts = words.where(n >= 2).select("word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
-    spans = starts.select("word", "n", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(pieces.longest), F.col("n") - F.col("s")))).alias("l"))
+    starts = words.where(n >= 2).select("word", "uses", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
+    spans = starts.select("word", "uses", "n", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(pieces.longest), F.col("n") - F.col("s")))).alias("l"))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("l")))
     # an edge as one number, in merge order, then from the left: rank, start, length, whether it can be late
     packed = ((F.col("rank").cast("long") * 64 + F.col("s")) * 64 + F.col("l")) * 2 + F.col("late").cast("int")
-    edges = spans.join(table, "piece").select("word", "n", packed.alias("e"))
-    grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("e")).alias("packed"))
+    edges = spans.join(table, "piece").select("word", "uses", "n", packed.alias("e"))
+    grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.first("uses").alias("uses"), F.sort_array(F.collect_list("e")).alias("packed"))
 
     def unpacked(e: Column) -> Column:
         s = F.shiftright(e, 7).bitwiseAND(F.lit(63)).cast("int")
@@ -145,7 +149,7 @@ def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
             (e % 2 == 1).alias("late"),
         )
 
-    grouped = grouped.select("word", "n", F.transform("packed", unpacked).alias("edges"))
+    grouped = grouped.select("word", "uses", "n", F.transform("packed", unpacked).alias("edges"))
 
     def possible(cuts: Column, e: Column) -> Column:
         return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
@@ -157,140 +161,165 @@ def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
 
     start = F.struct((_bit(F.col("n") + 1) - 1).alias("cuts"), F.lit(False).alias("missed"))
     grouped = grouped.withColumn("late", F.filter("edges", lambda x: x["late"]))
-    folded = grouped.select("word", F.aggregate("edges", start, fold).alias("state"))
-    return folded.select("word", F.when(~F.col("state.missed"), F.col("state.cuts")).alias("cuts"))
+    folded = grouped.select("word", "uses", F.aggregate("edges", start, fold).alias("state"))
+    return folded.select("word", "uses", F.when(~F.col("state.missed"), F.col("state.cuts")).alias("cuts"))
 
 
 def distinct_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
-    """Distinct words of all texts: a mark (for the space before) and what follows up to the next space or line feed.
+    """(word, uses): distinct words of all texts, at most 61 code points, and how often they occur.
 
-    The first word of a later line has no mark. Words with several marks are left to the workers.
+    A word is what ``Pieces.word_pattern`` finds: marks (for the spaces before) and what follows up to the next
+    space or line feed. Lines with single spaces between words are split there, only others meet the pattern.
+    The first line begins with a mark, later ones do not.
     """
     lines = docs.select(F.posexplode(F.split(text_col, "\n")).alias("line", "words")) if pieces.breaks else docs.select(F.lit(0).alias("line"), F.col(text_col).alias("words"))
-    words = lines.select("line", F.posexplode(F.split("words", " ")).alias("at", "w"))
-    bare = (F.col("line") > 0) & (F.col("at") == 0)
-    marked = words.where("w <> ''").select(F.when(bare, F.col("w")).otherwise(F.concat(F.lit(MARK), "w")).alias("word"))
-    # distinct by the word alone: the edges of a word are grouped later in the same partitioning
-    return marked.where(F.char_length("word").between(2, MAX_WORD)).distinct()
+    text = F.col("words")
+    odd = text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.contains(MARK)
+    marked = F.concat(F.when(F.col("line") == 0, F.lit(MARK)).otherwise(F.lit("")), F.translate(text, " ", MARK))
+    found = F.regexp_extract_all(marked, F.lit(pieces.word_pattern()), F.lit(0))
+    words = lines.select("line", odd.alias("odd"), F.posexplode(F.when(odd, found).otherwise(F.split(text, " "))).alias("at", "w"))
+    whole = F.col("odd") | ((F.col("line") > 0) & (F.col("at") == 0))
+    all_words = words.where("w <> ''").select(F.when(whole, F.col("w")).otherwise(F.concat(F.lit(MARK), "w")).alias("word"))
+    # counted by the word alone: the edges of a word are grouped later in the same partitioning
+    return all_words.where(F.char_length("word").between(2, MAX_WORD)).groupBy("word").agg(F.count("*").alias("uses"))
+
+
+@dataclass
+class Dictionary:
+    """Ids of words by the hash of the word: ``size`` bytes of ``ids`` from ``start`` on."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    ids: bytes
+
+    def find(self, words: list[str]) -> list[bytes | None]:
+        if not len(self.keys):
+            return [None] * len(words)
+        own = np.fromiter(map(xxhash.xxh64_intdigest, [w.encode() for w in words], repeat(42)), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        start = self.start[at]
+        ends = np.where(self.keys[at] == own, start + self.size[at], -1).tolist()
+        ids = self.ids
+        return [ids[a:b] if b >= 0 else None for a, b in zip(start.tolist(), ends, strict=True)]
+
+
+@dataclass
+class Cuts:
+    """A written dictionary, and how many binary digits the uses of a word have at least that workers read; 1 is all."""
+
+    path: str
+    least: int
 
 
-_tables: tuple[str, tuple[np.ndarray, np.ndarray]] | None = None
+_tables: tuple[tuple[str, int], Dictionary] | None = None
 
 
-def _dictionary(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted word hashes and cuts, kept by the worker while it serves the same dictionary."""
+def _dictionary(path: str, least: int) -> Dictionary:
+    """Words whose uses have at least ``least`` binary digits, kept by the worker while it serves the same dictionary."""
     global _tables
-    if _tables is None or _tables[0] != path:
+    if _tables is None or _tables[0] != (path, least):
         _tables = None
         fs, folder = filesystem(path)
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.path.endswith(".parquet")]
-        opened = [pq.ParquetFile(fs.open_input_file(f)) for f in files]
-        total, at = sum(f.metadata.num_rows for f in opened), 0
-        keys, cuts = np.empty(total, np.uint64), np.empty(total, np.int64)
-        for f in opened:  # filled in place: a worker never holds the rows twice
-            for batch in f.iter_batches(columns=["key", "cuts"]):
-                end = at + batch.num_rows
-                keys[at:end] = batch.column("key").to_numpy().view(np.uint64)
-                cuts[at:end] = batch.column("cuts").to_numpy()
-                at = end
-        order = np.argsort(keys)
-        keys = keys[order]
-        cuts = cuts[order]
-        del order
+        keys, sizes, ids = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], []
+        for f in files:
+            for batch in pq.ParquetFile(fs.open_input_file(f)).iter_batches(columns=["key", "digits", "ids"]):
+                if least > 1:
+                    batch = batch.filter(pc.greater_equal(batch.column("digits"), least))
+                keys.append(batch.column("key").to_numpy().view(np.uint64))
+                sizes.append(pc.binary_length(batch.column("ids")).to_numpy().astype(np.uint16))
+                ids.append(b"".join(batch.column("ids").to_pylist()))
+        key, size = np.concatenate(keys), np.concatenate(sizes)
+        del keys, sizes
+        start = np.cumsum(size, dtype=np.int64) - size
+        order = np.argsort(key)
+        _tables = (path, least), Dictionary(key[order], start[order], size[order], b"".join(ids))
+        del key, size, start, order, ids
         pa.default_memory_pool().release_unused()
-        _tables = path, (keys, cuts)
     return _tables[1]
 
 
 class Encoder:
-    """Ids of texts inside a task: words by the dictionary of cuts, or by merging where there is none."""
+    """Ids of texts inside a task: words by the dictionary, or by merging where there is none."""
 
-    def __init__(self, pieces: Pieces, path: str | None) -> None:
+    def __init__(self, pieces: Pieces, cuts: Cuts | None = None) -> None:
         self.pieces, self.find = pieces, re.compile(pieces.word_pattern()).findall
-        self.table = _dictionary(path) if path else None
-        self.four = [struct.pack("<i", k) for k in range(len(pieces.surfaces))]
-        self.known = {p: self.four[k] for p, k in pieces.ids.items()}
+        self.table = _dictionary(cuts.path, cuts.least) if cuts else None
+        self.complete = cuts is not None and cuts.least == 1
+        self.kind = pieces.kind
+        self.one = [k.to_bytes(self.kind.itemsize, "little") for k in range(len(pieces.surfaces))]
+        self.known = {p: self.one[k] for p, k in pieces.ids.items()}
         self.plain: dict[str, bytes] = {}  # by word
         self.spaced: dict[str, bytes] = {}  # by what follows a mark
         self.line_feed = self.packed("\n", [0, 1])
 
     def fallback(self, part: str) -> bytes:
         """The ids of what is no piece: its bytes."""
-        return b"".join(self.four[self.pieces.byte_ids[x]] for x in part.encode())
+        return b"".join([self.one[self.pieces.byte_ids[x]] for x in part.encode()])
 
     def packed(self, word: str, cuts: list[int]) -> bytes:
-        """The ids between cuts, four bytes each."""
-        parts = [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return b"".join([self.known.get(p) or self.fallback(p) for p in parts])
+        """The ids between cuts."""
+        known, fallback = self.known.get, self.fallback
+        return b"".join([known(p) or fallback(p) for p in [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]])
+
+    def merged(self, word: str) -> bytes:
+        return self.packed(word, merge_word(word, self.pieces))
 
     def of_bits(self, word: str, bits: int) -> bytes:
         """The ids between the cuts that are the bits of a number."""
-        out, a, known = [], 0, self.known.get
-        bits &= -2  # the cut before the first code point
-        while bits:
-            low = bits & -bits
-            b = low.bit_length() - 1
-            out.append(known(word[a:b]) or self.fallback(word[a:b]))
-            bits ^= low
-            a = b
-        return b"".join(out)
+        return self.packed(word, [k for k, x in enumerate(bin(bits)[:1:-1]) if x == "1"])
 
     def ids_of(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words without inner marks; those that the dictionary does not hold have no merges, others are merged here."""
-        if self.table is None:
-            yield from (self.packed(w, merge_word(w, self.pieces)) for w in words)
-            return
-        keys, cuts = self.table
-        own = np.fromiter(map(xxhash.xxh64_intdigest, [w.encode() for w in words], repeat(42)), np.uint64, len(words))
-        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        held = (keys[at] == own).tolist() if len(keys) else [False] * len(words)
-        found = cuts[at].tolist() if len(keys) else [0] * len(words)
+        """Ids of words; those of up to 61 code points that a complete dictionary does not hold have no merges, others are merged here."""
         single, fallback = self.known.get, self.fallback
-        for w, k, c in zip(words, held, found, strict=True):
-            if k and c:
-                yield self.of_bits(w, c)
-            elif k or len(w) > MAX_WORD:
-                yield self.packed(w, merge_word(w, self.pieces))
-            else:
+        for w, held in zip(words, self.table.find(words) if self.table else repeat(None), strict=False):
+            if held is not None:
+                yield held
+            elif self.complete and len(w) <= MAX_WORD:
                 yield b"".join([single(x) or fallback(x) for x in w])
+            else:
+                yield self.merged(w)
 
     def learn(self, cache: dict[str, bytes], mark: str, missed: set[str]) -> None:
         words = list(missed)
         cache.update(zip(words, self.ids_of([mark + w for w in words]), strict=True))
 
-    def _slow(self, text: str) -> bytes:
-        """Any text: runs of spaces, marks in the text, spaces at line ends."""
-        words = self.find(MARK + text.replace(" ", MARK))
-        own = {}
-        for w in set(words):
-            own[w] = self.packed(w, merge_word(w, self.pieces))
-        return b"".join(map(own.__getitem__, words))
-
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
         lines = text.split("\n") if self.pieces.breaks else [text]
-        split = [x.split(" ") for x in lines]
-        if MARK in text or any("" in x and len(x) > 1 for x in split) or not lines[0]:
-            return np.frombuffer(self._slow(text), np.int32)
-        spaced, plain = set(split[0]), set()
-        for x in split[1:]:
-            if x[0]:
-                plain.add(x[0])
-            spaced.update(x[1:])
+        split, spaced, plain = [], set(), set()
+        for k, line in enumerate(lines):
+            words = line.split(" ")
+            odd = MARK in line or ("" in words and (len(words) > 1 or not k))
+            if odd:  # several spaces, at an end, or marks: the words come with their marks
+                words = self.find(("" if k else MARK) + line.replace(" ", MARK))
+                plain.update(words)
+            else:
+                spaced.update(words[1:] if k else words)
+                if k and words[0]:
+                    plain.add(words[0])
+            split.append((odd, words))
         if len(self.spaced) + len(self.plain) > CACHE_SIZE:
             self.spaced, self.plain = {}, {}
         if missed := spaced.difference(self.spaced):
             self.learn(self.spaced, MARK, missed)
         if missed := plain.difference(self.plain):
             self.learn(self.plain, "", missed)
-        by_word, out = self.spaced.__getitem__, [b"".join(map(self.spaced.__getitem__, split[0]))]
-        for x in split[1:]:
-            out.append(self.line_feed)
-            if x[0]:
-                out.append(self.plain[x[0]])
-            out.extend(map(by_word, x[1:]))
-        return np.frombuffer(b"".join(out), np.int32)
+        by_rest, by_word, out = self.spaced.__getitem__, self.plain.__getitem__, []
+        for k, (odd, words) in enumerate(split):
+            if k:
+                out.append(self.line_feed)
+            if odd:
+                out.extend(map(by_word, words))
+            elif not k:
+                out.extend(map(by_rest, words))
+            else:
+                if words[0]:
+                    out.append(by_word(words[0]))
+                out.extend(map(by_rest, words[1:]))
+        return np.frombuffer(b"".join(out), self.kind).astype(np.int32)
 
 
 class Decoder:
@@ -323,33 +352,53 @@ def _parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
     yield batch.slice(lo)
 
 
-def cut_dictionary(docs: DataFrame, pieces: Pieces, text_col: str = "text", max_rows: int = MAX_ROWS) -> str | None:
-    """Folder of the cuts of all distinct words, or none if they are more than workers may hold."""
+def cut_dictionary(docs: DataFrame, pieces: Pieces, text_col: str = "text", max_rows: int = MAX_ROWS) -> Cuts | None:
+    """Ids of all distinct words, in a folder; workers read at most ``max_rows`` of them, those used most.
+
+    Words are cut by the lattice, once each, and their ids written down. Where they are too many, the number
+    of binary digits of their uses says which are left out; nothing but 64 such counts reaches the driver.
+    """
     path = track(scratch_path(docs.sparkSession, "cuts"))
     cuts = word_cuts(distinct_words(docs, pieces, text_col), pieces)
-    cuts.select(F.xxhash64("word").alias("key"), F.coalesce("cuts", F.lit(0)).alias("cuts")).write.parquet(path)
-    return path if docs.sparkSession.read.parquet(path).count() <= max_rows else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(pieces)
+        for batch in batches:
+            pairs = zip(batch.column("word").to_pylist(), batch.column("cuts").to_pylist(), strict=True)
+            ids = pa.array([encoder.of_bits(w, c) if c else encoder.merged(w) for w, c in pairs], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("digits"), ids], ["key", "digits", "ids"])
+
+    digits = F.char_length(F.bin("uses")).cast("int")
+    rows = cuts.select(F.xxhash64("word").alias("key"), digits.alias("digits"), "word", "cuts")
+    rows.mapInArrow(run, "key bigint, digits int, ids binary").write.parquet(path)
+    held, least = 0, 64
+    for digits, n in sorted(map(tuple, docs.sparkSession.read.parquet(path).groupBy("digits").count().collect()), reverse=True):
+        if held + n > max_rows:
+            break
+        held, least = held + n, digits
+    else:
+        least = 1
+    return Cuts(path, least) if held or least == 1 else None
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
     """The columns of ``docs`` and ``ids``, the model's piece ids of the text (a column so named is replaced).
 
     The ids are those of the public library for the model. The distinct words of the corpus are cut by the
-    relational lattice of ``word_cuts`` and the cuts written to the shared folder, 16 bytes a word. If
-    the written dictionary has at most ``max_rows`` rows, every worker reads it and cuts texts in
-    place, so texts are never shuffled; beyond that workers merge words themselves, as they do
-    words of over 61 code points and texts with runs of spaces. All give the same ids.
+    relational lattice of ``word_cuts`` and their ids written to the shared folder, some 20 bytes a word.
+    Every worker reads at most ``max_rows`` of them, those used most, so texts are never shuffled; rarer
+    words and those of over 61 code points are merged by the workers. Both give the same ids.
 
     Defined cases: null and empty texts have no ids; repeated rows are each encoded; an empty table gives
     an empty table; white space other than the space is text like any other.
     """
     pieces = load_pieces(model_path)
-    path = cut_dictionary(docs, pieces, text_col, max_rows)
+    cuts = cut_dictionary(docs, pieces, text_col, max_rows)
     source = docs.drop("ids")
     shape = StructType([*source.schema.fields, StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(pieces, path)
+        encoder = Encoder(pieces, cuts)
         for batch in batches:
             for part in _parts(batch, text_col):
                 own = [encoder.encode(t.as_py()) for t in part.column(text_col)]
@@ -382,12 +431,12 @@ def report(docs: DataFrame, model_path: str) -> DataFrame:
     Encodes and decodes in one pass, so ids stay in the task.
     """
     pieces = load_pieces(model_path)
-    path = cut_dictionary(docs, pieces)
+    cuts = cut_dictionary(docs, pieces)
     source = docs.select("doc_id", "text")
     kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(pieces, path), Decoder(pieces)
+        encoder, decoder = Encoder(pieces, cuts), Decoder(pieces)
         for batch in batches:
             rows = []
             for t in batch.column("text"):
