@@ -177,8 +177,9 @@ def distinct_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> D
     odd = text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.contains(MARK)
     marked = F.concat(F.when(F.col("line") == 0, F.lit(MARK)).otherwise(F.lit("")), F.translate(text, " ", MARK))
     found = F.regexp_extract_all(marked, F.lit(pieces.word_pattern()), F.lit(0))
-    words = lines.select("line", odd.alias("odd"), F.posexplode(F.when(odd, found).otherwise(F.split(text, " "))).alias("at", "w"))
-    whole = F.col("odd") | ((F.col("line") > 0) & (F.col("at") == 0))
+    # what the pattern finds has its marks already; nothing of a line but its number is kept beside its words
+    words = lines.select("line", F.posexplode(F.when(odd, found).otherwise(F.split(text, " "))).alias("at", "w"))
+    whole = F.col("w").startswith(MARK) | ((F.col("line") > 0) & (F.col("at") == 0))
     all_words = words.where("w <> ''").select(F.when(whole, F.col("w")).otherwise(F.concat(F.lit(MARK), "w")).alias("word"))
     # counted by the word alone: the edges of a word are grouped later in the same partitioning
     return all_words.where(F.char_length("word").between(2, MAX_WORD)).groupBy("word").agg(F.count("*").alias("uses"))
