@@ -121,3 +121,29 @@ def test_rows_are_bounded_by_the_hash_of_their_key(rows):
     (a, n), (b, m) = (boosting.sampled(x, ["id"], p) for x in (df, df.orderBy("y").repartition(4)))
     assert n == m and 60 < n < 140
     assert {r.id for r in a.collect()} == {r.id for r in b.collect()}
+
+
+def test_several_blocks_grow_in_one_task_as_they_do_over_many(rows, monkeypatch):
+    df = rows(made(400, 5), SCHEMA)
+    many, one = (boosting.Boosting(iterations=4, depth=4, block_rows=90, in_task_rows=n) for n in (0, 400))
+    a = boosting.fit(df, FEATURES, "y", ["id"], many)
+
+    def refused(*_):
+        raise AssertionError("a job per level for a sample that fits a task")
+
+    monkeypatch.setattr(boosting, "_together", refused)
+    b = boosting.fit(df, FEATURES, "y", ["id"], one)
+    assert [r[:7] for r in sorted(map(tuple, a.nodes.collect()))] == [r[:7] for r in sorted(map(tuple, b.nodes.collect()))]
+    both = df.select(a.score().alias("a"), b.score().alias("b")).collect()
+    assert len({r.a for r in both}) > 10 and all(abs(r.a - r.b) < 1e-9 for r in both)
+
+
+def test_scores_go_down_leaves_at_any_depth(rows):
+    nodes = rows(
+        [(0, 1, None, None, None, None, None, 1.0, 9), (2, 1, "b", 5.0, True, 2, 3, None, 9), (2, 2, None, None, None, None, None, 10.0, 4)]
+        + [(2, 3, "a", 2.0, False, 6, 7, None, 5), (2, 6, None, None, None, None, None, 20.0, 2), (2, 7, None, None, None, None, None, 30.0, 3)],
+        boosting.NODES,
+    )
+    data = [(1, 9.0, 5.0), (2, 2.0, 6.0), (3, 2.1, 6.0), (4, None, 6.0), (5, float("nan"), None), (6, 1.0, float("nan")), (7, float("inf"), float("inf"))]
+    out = rows(data, "id long, a double, b double").select("id", boosting.Trees(nodes, ("a", "b")).score().alias("p"))
+    assert {r.id: r.p for r in out.collect()} == {1: 11.0, 2: 21.0, 3: 31.0, 4: 31.0, 5: 11.0, 6: 11.0, 7: 31.0}

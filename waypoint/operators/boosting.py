@@ -3,12 +3,14 @@
 Rows become byte codes: up to 255 quantile bins per feature and one code for missing values. They are
 packed into blocks, chosen and ordered by a hash of the row key, so neither partitioning nor a retried
 task changes a model. Trees grow level by level. Per level each block is reduced to counts and
-residual sums per (node, feature, bin), and only these sums, whose size depends on depth and bins alone,
-meet on the driver. A worker keeps the residuals of its blocks between levels; where they are missing,
-after the loss of an executor say, it derives them from the trees grown so far.
-
-A fitted model is a table of nodes. It is scored by expressions over arrays of these nodes, so a table
-that was saved and read again gives the same predictions.
+residual sums per (node, feature, bin). The rows learned from are a bounded sample; up to
+``in_task_rows`` of them their blocks, some 25 bytes a row, grow all trees inside one task. Beyond that
+only the sums, whose size depends on depth and bins alone, meet on the driver once per level. A worker
+then keeps the residuals of its blocks between levels; where they are missing, after the loss of an
+executor say, it derives them from the trees grown so far.
+
+A fitted model is a table of nodes. It is scored over arrays of these nodes, a batch of rows at a time,
+so a table that was saved and read again gives the same predictions.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ NODES = "tree int, node int, feature string, threshold double, missing_left bool
 
 @dataclass(frozen=True)
 class Boosting:
-    """``max_rows`` bounds the rows learned from; of more, those with the least hashes of their key are taken."""
+    """``max_rows`` bounds the rows learned from; of more, those with the least hashes of their key are taken.
+
+    Up to ``in_task_rows`` of them grow their trees in one task, without a job per level.
+    """
 
     iterations: int = 300
     step: float = 0.05
@@ -40,6 +45,7 @@ class Boosting:
     min_rows: int = 20
     max_rows: int = 1_000_000
     block_rows: int = 250_000
+    in_task_rows: int = 1_000_000
 
 
 class Tree:
@@ -73,10 +79,9 @@ class Block:
         self.level, self.node = 0, np.ones(len(target), np.int64)
 
     def finish(self, tree: Tree, params: Boosting) -> None:
-        node = np.ones(len(self.residual), np.int64)
-        for _ in range(params.depth):
-            node = tree.step_down(self.codes, node)
-        self.residual -= tree.leaf_values(params.step)[node]
+        for _ in range(self.level, params.depth):
+            self.node = tree.step_down(self.codes, self.node)
+        self.residual -= tree.leaf_values(params.step)[self.node]
         self.trees += 1
         self.level, self.node = 0, np.ones(len(self.residual), np.int64)
 
@@ -89,11 +94,12 @@ class Block:
             self.level += 1
         width, features = 2**level, len(self.codes)
         active = self.node >= width
+        codes = self.codes if active.all() else self.codes[:, active]
         place = (self.node[active] - width) * 256
         residual = self.residual[active]
         out = np.zeros((2, width, features, 256))
         for f in range(features):
-            key = place + (self.codes[f] if active.all() else self.codes[f][active])
+            key = place + codes[f]
             out[0, :, f] = np.bincount(key, minlength=width * 256).reshape(width, 256)
             out[1, :, f] = np.bincount(key, residual, minlength=width * 256).reshape(width, 256)
         return out
@@ -219,18 +225,21 @@ def _block_of(run: str, number: int, codes: bytes, target: bytes, base: float) -
 
 
 def _whole(params: Boosting, base: float, names, edges):
-    """Task side, one block: no sums need to meet, so all trees grow where the block is."""
+    """Task side, all blocks of a bounded sample: their sums meet where they are, so all trees grow there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {}
         for batch in batches:
             for row in batch.to_pylist():
                 target = np.frombuffer(row["target"])
-                block = Block(np.frombuffer(row["codes"], np.uint8).reshape(-1, len(target)), target, base)
-                for t in range(1, params.iterations + 1):
-                    tree = grow(block.sums, params)
-                    block.finish(tree, params)
-                    rows = _node_rows(t, tree, names, edges, params.step)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ARROW, strict=True)], _NAMES)
+                found[row["block"]] = Block(np.frombuffer(row["codes"], np.uint8).reshape(-1, len(target)), target, base)
+        blocks = [found[number] for number in sorted(found)]
+        for t in range(1, params.iterations + 1 if blocks else 1):
+            tree = grow(lambda tree, level: sum(block.sums(tree, level) for block in blocks), params)
+            for block in blocks:
+                block.finish(tree, params)
+            rows = _node_rows(t, tree, names, edges, params.step)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ARROW, strict=True)], _NAMES)
 
     return run
 
@@ -293,36 +302,60 @@ class Trees:
     def score(self) -> Column:
         """Prediction for a row that has the features as columns.
 
-        The nodes come as one constant, arrays in heap order per tree, whose size depth and iterations
+        The nodes come to the tasks as arrays in heap order per tree, whose size depth and iterations
         bound. A null or NaN feature takes the learned side at each of its splits.
         """
-        place = F.array_position(F.array(*[F.lit(f) for f in self.features]), F.col("feature"))
-        kept = F.struct(place.cast("int").alias("f"), "threshold", "missing_left", "value")
-        own = F.map_from_entries(F.collect_list(F.struct("node", kept.alias("v"))))
-        size = F.max("node").alias("size")
-        per_tree = self.nodes.groupBy("tree").agg(own.alias("m"), size)
-        heap = F.transform(F.sequence(F.lit(1), "size"), lambda k: F.try_element_at("m", k))
-        listed = per_tree.select("tree", heap.alias("heap"))
-        arrays = [F.col(f"heap.{c}").alias(c) for c in ("f", "threshold", "missing_left", "value")]
-        whole = listed.select(F.struct("tree", *arrays).alias("t")).agg(F.sort_array(F.collect_list("t")).alias("m"))
-        text = whole.select(F.to_json("m")).first()[0]
-        model = F.from_json(F.lit(text), whole.schema["m"].dataType.simpleString())  # folded once while planning
-        values = F.array(*[F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in self.features])
-
-        def down(t: Column, x: Column) -> Column:
-            def step(k: Column) -> Column:
-                f = F.get(t["f"], k - 1)
-                left = F.coalesce(F.get(x, f - 1) <= F.get(t["threshold"], k - 1), F.get(t["missing_left"], k - 1))
-                return F.when(f.isNull(), k).when(left, 2 * k).otherwise(2 * k + 1)
-
-            levels = F.sequence(F.lit(1), F.ceil(F.log2(F.size(t["f"]) + F.lit(1))).cast("int"))
-            end = F.aggregate(levels, F.lit(1), lambda k, _: step(k))
-            return F.get(t["value"], end - 1)
-
-        def total(x: Column) -> Column:
-            return F.aggregate(model, F.lit(0.0), lambda done, t: done + F.coalesce(down(t, x), F.lit(0.0)))
-
-        return F.transform(F.array(values), total)[0]
+        ship_code(self.nodes.sparkSession)
+        heaps = _heaps(self.nodes.select("tree", "node", "feature", "threshold", "missing_left", "value").collect(), self.features)
+
+        @F.arrow_udf("double")
+        def predicted(*columns: pa.Array) -> pa.Array:
+            x = np.array([c.to_numpy(zero_copy_only=False).astype(float) for c in columns])  # null becomes NaN
+            return pa.array(_predictions(heaps, x))
+
+        return predicted(*[F.col(f).cast("double") for f in self.features])
+
+
+def _heaps(nodes: Sequence[tuple], features: Sequence[str]) -> tuple[np.ndarray, ...]:
+    """Feature, threshold, side of the missing and value by (tree in order, node), trees made complete.
+
+    What lies below a leaf holds the leaf's value, so every row goes down as many levels.
+    """
+    place = {t: k for k, t in enumerate(sorted({n[0] for n in nodes}))}
+    depth = max((n[1] for n in nodes), default=1).bit_length() - 1
+    shape = (len(place), 2 ** (depth + 1))
+    feature, threshold = np.full(shape, -1), np.zeros(shape)
+    missing_left, value = np.zeros(shape, bool), np.zeros(shape)
+    for tree, node, name, at, left, result in nodes:
+        k = place[tree]
+        if name is None:
+            value[k, node] = 0.0 if result is None else result
+        else:
+            feature[k, node], threshold[k, node], missing_left[k, node] = features.index(name), at, left
+    for node in range(1, 2**depth):
+        leaf = feature[:, node] < 0
+        for child in (2 * node, 2 * node + 1):
+            value[leaf, child], feature[leaf, child] = value[leaf, node], -1
+    return np.maximum(feature, 0), threshold, missing_left, value
+
+
+def _predictions(heaps: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """Sum over the trees, in their order, for rows given as (feature, row)."""
+    feature, threshold, missing_left, value = heaps
+    n = x.shape[1]
+    out, flat, row = np.zeros(n), x.ravel(), np.arange(n)
+    levels = feature.shape[1].bit_length() - 2
+    gaps = bool(np.isnan(flat).any())
+    for t in range(len(feature)):
+        offset, node = feature[t] * n, np.ones(n, np.int64)
+        for _ in range(levels):
+            at = flat[offset[node] + row]
+            left = at <= threshold[t][node]
+            if gaps:
+                left |= np.isnan(at) & missing_left[t][node]
+            node = 2 * node + 1 - left
+        out += value[t][node]
+    return out
 
 
 def fit(rows: DataFrame, features: Sequence[str], target: str, key: Sequence[str], params: Boosting = Boosting()) -> Trees:
@@ -350,8 +383,9 @@ def fit(rows: DataFrame, features: Sequence[str], target: str, key: Sequence[str
     sizes = blocks.select("block", "rows", "total").orderBy("block").collect()
     base = math.fsum(r["total"] for r in sizes) / sum(r["rows"] for r in sizes)
     first = [(0, 1, None, None, None, None, None, base, total)]
-    if len(sizes) == 1:
-        nodes = blocks.mapInArrow(_whole(params, base, list(features), edges), NODES).unionByName(spark.createDataFrame(first, NODES))
+    if len(sizes) == 1 or total <= params.in_task_rows:
+        grown = blocks.coalesce(1).mapInArrow(_whole(params, base, list(features), edges), NODES)
+        nodes = grown.unionByName(spark.createDataFrame(first, NODES))
     else:
         trees = _together(blocks, params, base, len(features))
         nodes = spark.createDataFrame(first + [r for t, tree in enumerate(trees, 1) for r in _node_rows(t, tree, list(features), edges, params.step)], NODES)
