@@ -22,8 +22,8 @@ OFFICIAL_MI = 103.1  # fixed value: official length the measured route is scaled
 LENGTH_BOUNDS_MI = (95.0, 110.0)  # fixed values: plausible measured length
 MAX_MATCH_MI = 4.0  # fixed value
 
-# The pyramid of cells: the world is one cell, each cell has 32 x 32 below it.
-_LEVELS, _DIGIT = 4, 5
+# The pyramid of cells: the world is one cell, each cell has 32 x 32 below it, in 8 x 8 patches of 4 x 4.
+_LEVELS, _DIGIT, _PATCH = 4, 5, 2
 _TIE_DIGITS = 9
 
 
@@ -78,8 +78,33 @@ def cell_code(lat: Column, lon: Column) -> Column:
     return code
 
 
+def _patch(cell: Column) -> Column:
+    """Number of the patch of a cell among those of the cell above."""
+    row, column = F.shiftright(cell, _DIGIT).bitwiseAND(F.lit(2**_DIGIT - 1)), cell.bitwiseAND(F.lit(2**_DIGIT - 1))
+    return F.shiftright(row, _PATCH) * 2 ** (_DIGIT - _PATCH) + F.shiftright(column, _PATCH)
+
+
+def _with_bounds(met: DataFrame) -> DataFrame:
+    here = (F.col("_wlat"), F.col("_wlon"))
+    reach = haversine_mi(*here, F.col("_one.lat"), F.col("_one.lon"))
+    floor = box_distance_floor_mi(
+        *here, *[F.col(f"_{a}_{b}") for a in ("lat", "lon") for b in ("lo", "hi")]
+    )
+    return met.withColumns({"_reach": reach, "_floor": floor})
+
+
+def _near(met: DataFrame) -> DataFrame:
+    """The boxes met that may hold something nearer than the least reach of the waypoint."""
+    bound = Window.partitionBy("route", "_wlat", "_wlon")
+    slack = 2 * 10.0**-_TIE_DIGITS
+    return met.withColumn("_bound", F.min("_reach").over(bound)).where(F.col("_floor") <= F.col("_bound") + slack)
+
+
 def _below(targets: DataFrame, points: DataFrame, level: int) -> DataFrame:
-    """Targets with each occupied cell of ``level`` below the cell they are at, its reach and floor."""
+    """Targets with occupied cells of ``level`` below the cell they are at, their reach and floor.
+
+    Patches of cells are met first, and only cells of patches that may hold something nearer.
+    """
     cell = F.shiftright("_code", 2 * _DIGIT * (_LEVELS - level))
     boxes = points.groupBy("route", cell.alias("_cell")).agg(
         F.min("lat").alias("_lat_lo"),
@@ -88,20 +113,22 @@ def _below(targets: DataFrame, points: DataFrame, level: int) -> DataFrame:
         F.max("lon").alias("_lon_hi"),
         F.min_by(F.struct("lat", "lon"), "seq").alias("_one"),
     )
-    above = boxes.withColumn("_at", F.shiftright("_cell", 2 * _DIGIT))
-    here = (F.col("_wlat"), F.col("_wlon"))
-    reach = haversine_mi(*here, F.col("_one.lat"), F.col("_one.lon"))
-    floor = box_distance_floor_mi(
-        *here, *[F.col(f"_{a}_{b}") for a in ("lat", "lon") for b in ("lo", "hi")]
+    above = boxes.withColumns({"_at": F.shiftright("_cell", 2 * _DIGIT), "_patch": _patch(F.col("_cell"))})
+    patches = above.groupBy("route", "_at", "_patch").agg(
+        *[F.min(c).alias(c) for c in ("_lat_lo", "_lon_lo")],
+        *[F.max(c).alias(c) for c in ("_lat_hi", "_lon_hi")],
+        F.min_by("_one", "_cell").alias("_one"),
     )
-    return targets.join(above, ["route", "_at"]).withColumns({"_reach": reach, "_floor": floor})
+    met = _near(_with_bounds(targets.join(patches, ["route", "_at"])))
+    kept = met.select("route", "_wlat", "_wlon", "_at", "_patch")
+    return _with_bounds(kept.join(above, ["route", "_at", "_patch"]))
 
 
 def nearest_vertex(waypoints: DataFrame, vertices: DataFrame) -> DataFrame:
     """For every waypoint the nearest vertex of its route; on equal distance the lowest ``seq``.
 
     Branch and bound down a pyramid of cells, from one for the world to some 40 yards. On each level a
-    waypoint meets the occupied cells below the cells it kept, at most 1,024 below each; every join is
+    waypoint meets the occupied cells below the cells it kept, in patches first: at most 64 of these, and 16 cells in each it keeps; every join is
     by route and cell. The distance to one vertex of each cell is an upper bound, and only cells whose
     box may hold something nearer are kept. Only vertices of the surviving finest cells are compared
     one by one, after dropping repeated coordinates.
@@ -114,11 +141,8 @@ def nearest_vertex(waypoints: DataFrame, vertices: DataFrame) -> DataFrame:
         .withColumn("_at", F.lit(0).cast("long"))
     )
     here = (F.col("_wlat"), F.col("_wlon"))
-    bound = Window.partitionBy("route", "_wlat", "_wlon")
-    slack = 2 * 10.0**-_TIE_DIGITS
     for level in range(1, _LEVELS + 1):
-        met = _below(targets, points, level).withColumn("_bound", F.min("_reach").over(bound))
-        near = met.where(F.col("_floor") <= F.col("_bound") + slack)
+        near = _near(_below(targets, points, level))
         targets = near.select("route", "_wlat", "_wlon", F.col("_cell").alias("_at"))
     distance = F.round(haversine_mi(*here, F.col("lat"), F.col("lon")), _TIE_DIGITS)
     best = (
@@ -141,12 +165,16 @@ def snap_waypoints(
     vertices: DataFrame,
     official_mi: float = OFFICIAL_MI,
     fixups: dict[str, str] | None = None,
+    nearest: DataFrame | None = None,
 ) -> DataFrame:
-    """Station table: nearest vertex, its measured mile and the mile on the official scale."""
+    """Station table: nearest vertex, its measured mile and the mile on the official scale.
+
+    ``nearest`` is the result of :func:`nearest_vertex` for the same tables, where it is known already.
+    """
     miles = route_miles(vertices).select("route", F.col("seq").alias("route_seq"), "path_mi")
     total = miles.groupBy("route").agg(F.max("path_mi").alias("_total"))
     return (
-        nearest_vertex(waypoints, vertices)
+        (nearest_vertex(waypoints, vertices) if nearest is None else nearest)
         .join(miles, ["route", "route_seq"], "left")
         .join(total, "route", "left")
         .select(

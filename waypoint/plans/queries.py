@@ -239,7 +239,7 @@ def route_quality(spark, sf):
 
 
 def _thinned_route(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    at = course.nearest_vertex(_waypoints(spark, sf), _vertices(spark, sf))
+    at = p.stored(course.nearest_vertex(_waypoints(spark, sf), _vertices(spark, sf)), "nearest")
     return course.route_downsample(_vertices(spark, sf), at, cap=8, decimals=3), at
 
 
@@ -639,7 +639,7 @@ def course_payload(spark, sf):
     """Thinned vertices, stations with their vertex and scaled miles, and total miles of every route."""
     kept, at = _thinned_route(spark, sf)
     kept = p.stored(kept, "kept")
-    places = course.snap_waypoints(_waypoints(spark, sf), _vertices(spark, sf))
+    places = course.snap_waypoints(_waypoints(spark, sf), _vertices(spark, sf), nearest=at)
     stations = course.station_indexes(kept, at).join(places.select("route", "station_id", "scaled_mi"), ["route", "station_id"])
     total = course.parse_route(_vertices(spark, sf)).groupBy("route").agg(F.max("cum_mi").alias("total_mi"))
     lines = report.payload_lines(
