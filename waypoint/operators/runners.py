@@ -13,6 +13,7 @@ from waypoint.operators.clock import ENTITY
 from waypoint.operators.joins import join_checked, match_null_safe
 from waypoint.operators.ordered import ordinal_rank
 from waypoint.operators.reshape import null_column
+from waypoint.session import written
 
 NOT_FINISHED = "DNF"
 RESULT_COLUMNS = [
@@ -109,7 +110,7 @@ def runner_summary(df: DataFrame) -> DataFrame:
         ]
     )
     return ordinal_rank(
-        per_entity,
+        written(per_entity, "entities"),  # a sort reads its input twice, first for the ranges
         ["edition"],
         [
             F.col("max_position").desc_nulls_last(),

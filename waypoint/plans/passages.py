@@ -145,7 +145,11 @@ def splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranked_splits(spark: SparkSession, sf: str) -> DataFrame:
-    rows = splits(spark, sf)
+    columns = [
+        "edition", "entity", "checkpoint", "cp", "position", "arrive_hrs", "depart_hrs", "gender", "age",
+        "finish_rank", "furthest", "max_hrs", "max_position",
+    ]
+    rows = stored(splits(spark, sf).select(*columns), "splits")  # read for the ranks and for the join with them
     return runners.attach_overall_rank(rows, runners.runner_summary(rows))
 
 
