@@ -166,12 +166,17 @@ def _filled(features: DataFrame) -> DataFrame:
     return impute.impute_times(features, by_station_median(medians), COURSE)
 
 
-def imputed(spark: SparkSession, sf: str) -> DataFrame:
+def stored_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The rebuilt passages, one row each, with what filling and legs need."""
+    return stored(_features(splits(spark, sf)), "features")
+
+
+def imputed(spark: SparkSession, sf: str, features: DataFrame | None = None) -> DataFrame:
     """One-sided times filled from the median stop of the checkpoint.
 
     The features are read twice, for the medians and for the filling, so they are written once.
     """
-    return _filled(stored(_features(splits(spark, sf)), "features"))
+    return _filled(stored_features(spark, sf) if features is None else features)
 
 
 def bucketed_splits(spark: SparkSession, sf: str, store: Buckets) -> DataFrame:
@@ -189,8 +194,8 @@ def bucketed_legs(spark: SparkSession, sf: str, store: Buckets) -> DataFrame:
     return intervals.interval_features(_filled(features), COURSE)
 
 
-def legs(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.interval_features(imputed(spark, sf), COURSE)
+def legs(spark: SparkSession, sf: str, features: DataFrame | None = None) -> DataFrame:
+    return intervals.interval_features(imputed(spark, sf, features), COURSE)
 
 
 def reference_stations(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,8 +213,8 @@ def crosswalk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def leg_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.interval_ratio(legs(spark, sf), crosswalk(spark, sf))
+def leg_ratios(spark: SparkSession, sf: str, features: DataFrame | None = None) -> DataFrame:
+    return intervals.interval_ratio(legs(spark, sf, features), crosswalk(spark, sf))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -233,5 +238,14 @@ def stored_legs(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return stored(legs(spark, sf).select(*LEG_COLUMNS, *more), "legs")
 
 
+def stored_legs_and_ratios(
+    spark: SparkSession, sf: str, features: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Both tables, the ratios from the written legs: the chain before them runs once."""
+    columns = [*LEG_COLUMNS, "leg_ratio", "finish_rank", "finish_hrs"]
+    rows = stored(legs(spark, sf, features).select(*columns), "legs")
+    return rows, stored(intervals.interval_ratio(rows, crosswalk(spark, sf)), "ratios")
+
+
 def stored_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return stored(leg_ratios(spark, sf), "ratios")

@@ -719,7 +719,7 @@ def check_legs(spark, sf):
 
 @query
 def check_ratios(spark, sf):
-    return quality.check_ratios(p.stored_legs(spark, sf, "leg_ratio"), p.stored_ratios(spark, sf))
+    return quality.check_ratios(*p.stored_legs_and_ratios(spark, sf))
 
 
 @query
