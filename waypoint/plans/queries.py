@@ -599,7 +599,8 @@ def _payload_fields(lines: DataFrame) -> DataFrame:
 @query
 def report_payload(spark, sf):
     """All sections of the report in JSON lines, written, read back and taken apart."""
-    rows, ratios = p.stored_legs(spark, sf), p.stored_ratios(spark, sf)
+    features = p.stored_features(spark, sf)
+    rows, ratios = p.stored_legs_and_ratios(spark, sf, features)
     heat = p.stored(report.flow_heatmap(rows), "heat")
     section = report.section
     years = rows.select("edition").distinct().withColumn("year", F.col("edition"))
@@ -624,7 +625,7 @@ def report_payload(spark, sf):
             ),
             section(report.station_speed_means(ratios), "means", ["station_id"], "station_id", None),
             section(report.cohort_trend(ratios), "trend", ["station_id", "finish_block"], "station_id", None),
-            section(report.arrival_histogram(p.rebuilt(spark, sf), p.crosswalk(spark, sf)), "bins", ["station_id", "bin"], "station_id", None),
+            section(report.arrival_histogram(features, p.crosswalk(spark, sf)), "bins", ["station_id", "bin"], "station_id", None),
             section(report.cohort_arrival_windows(ratios), "cohort_windows", ["station_id", "finish_block"], "station_id", None),
             section(report.cohort_medians(ratios), "cohorts", ["cohort", "station_id"], "station_id", None),
             section(report.axis_bounds(ratios).withColumn("axis", F.lit("speed")), "axis", ["axis"], None, None),
