@@ -557,9 +557,10 @@ def reproject_plan(spark, sf):
     buyers = p.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("entity"), F.col("o_custkey").alias("plan_id")
     )
+    features = p.stored_features(spark, sf)  # the rebuilt passages, read here and for the ratios
     known = p.crosswalk(spark, sf).where("station_id is not null")
     actuals = (
-        p.rebuilt(spark, sf)
+        features
         .where("arrive_hrs is not null")
         .join(known.select("edition", "checkpoint", "station_id"), ["edition", "checkpoint"])
         .join(buyers, "entity")
@@ -567,7 +568,8 @@ def reproject_plan(spark, sf):
         .groupBy("plan_id", "station_id")
         .agg(F.min("arrive_hrs").alias("actual_hrs"))
     )
-    df = pacing.reproject_plan(plans, _eta(spark, sf), actuals)
+    ratios = p.stored(p.leg_ratios(spark, sf, features), "ratios")
+    df = pacing.reproject_plan(plans, _eta_of(spark, sf, ratios), actuals)
     real = [c for c, t in df.dtypes if t == "double" and c not in ("goal_hrs", "mile")]
     return _out(df, df.columns, **dict.fromkeys(real, 4))
 
