@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from itertools import repeat
 from pathlib import Path
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +80,58 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+#: What a worker holds from task to task, one thing at a time.
+_held: dict[Hashable, Any] = {}
+_asked = False
+
+
+def holding(key: Hashable, load: Callable[[], Any]) -> Any:
+    """What ``load`` gives, kept by the worker while its tasks (see ``lean``) ask for the same key."""
+    global _asked
+    _asked = True
+    if key not in _held:
+        _held.clear()
+        _held[key] = load()
+        give_back()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: Arrow's pool and the C library keep it otherwise while a worker lives."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that leaves little behind in its worker, which lives on beside those of other steps.
+
+    At its end freed memory is handed back, and what ``holding`` keeps goes unless the task asked for it.
+    """
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        _begun()
+        try:
+            yield from run(batches)
+        finally:
+            _ended()
+
+    return whole
+
+
+# by name, as a nested function is sent to the workers with copies of the globals it uses
+def _begun() -> None:
+    global _asked
+    _asked = False
+
+
+def _ended() -> None:
+    if not _asked:
+        _held.clear()
+    give_back()
+
+
 def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
 

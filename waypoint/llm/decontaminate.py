@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from waypoint.llm.common import mix, word_hashes
+from waypoint.llm.common import lean, mix, word_hashes
 
 #: Characters that words are compared without, besides the case of A-Z.
 PUNCTUATION = b".,;:!?\"()[]{}#*$%&|<>"
@@ -308,11 +309,13 @@ def _hits_udf(items: Items, ids: list, kind) -> object:
     arrow = to_arrow_type(shape)
 
     @F.arrow_udf(shape)
-    def hits(texts: pa.Array) -> pa.Array:
-        found = find([t.as_py() for t in texts.cast(pa.binary())], items)
-        return pa.array(
-            [[{"item_id": ids[k], "edits": e, "start_word": p, "item_words": len(items.words[k])} for k, (e, p) in sorted(x.items())] for x in found], arrow
-        )
+    @lean
+    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = find([t.as_py() for t in texts.cast(pa.binary())], items)
+            yield pa.array(
+                [[{"item_id": ids[k], "edits": e, "start_word": p, "item_words": len(items.words[k])} for k, (e, p) in sorted(x.items())] for x in found], arrow
+            )
 
     return hits
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from waypoint.llm.common import WHITE, stored
+from waypoint.llm.common import WHITE, lean, stored
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_text_lines"]
 SHAPE = StructType([StructField(c, LongType()) for c in STATS])
@@ -55,11 +55,13 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 
 @F.arrow_udf(SHAPE)
-def stats_of(texts: pa.Array) -> pa.Array:
-    rows = [text_stats(t.as_py()) for t in texts]
-    return pa.StructArray.from_arrays(
-        [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(STATS), STATS
-    )
+@lean
+def stats_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        rows = [text_stats(t.as_py()) for t in texts]
+        yield pa.StructArray.from_arrays(
+            [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(STATS), STATS
+        )
 
 
 def base_failed(min_words: int = 50, max_repeat: int = 50) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waypoint.llm.common import connected, stored
+from waypoint.llm.common import connected, lean, stored
 
 CHUNK = 65_536
 
@@ -42,7 +42,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["id", "fp"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, fp bigint")
+    return source.mapInArrow(lean(run), f"id {dict(source.dtypes)['id']}, fp bigint")
 
 
 def _signed(x: int) -> int:
