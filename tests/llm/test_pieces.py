@@ -73,3 +73,22 @@ def test_dictionary_keeps_what_is_used_most(spark, rows):
     held = p.Encoder(own, few).table.find(["▁often", "▁twice", "▁seldom"])
     assert [x is not None for x in held] == [True, True, False]
     assert p.cut_dictionary(df, own, max_rows=0) is None
+
+
+def test_words_of_several_texts_are_looked_up_together(spark, rows, monkeypatch):
+    own = p.load_pieces(MODEL)
+    texts = ["one two\nthree", None, "two  four\nfive", "", "six one"]
+    encoder = p.Encoder(own, p.cut_dictionary(rows([(t,) for t in texts], "text string"), own))
+    asked = []
+    find = encoder.table.find
+    monkeypatch.setattr(encoder.table, "find", lambda words: asked.append(len(words)) or find(words))
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert [x.tolist() for x in encoder.encode_all(texts)] == [library.encode(t or "") for t in texts]
+    assert len(asked) <= 2 and sum(asked) == len({"▁one", "▁two", "three", "▁▁four", "five", "▁six"} | {"▁two"}) + 1
+
+
+def test_lattice_makes_no_substring_without_a_piece_of_its_head(spark, rows):
+    own = p.load_pieces(MODEL)
+    lengths = {r.head: r.lengths for r in p._lengths(rows([("x", 1)], "word string, uses bigint"), own).collect()}
+    assert all(lengths[x[:3]].count(len(x)) == 1 for x in own.ranks if len(x) > 2)
+    assert set(lengths) == {x[:3] for x in own.ranks if len(x) > 2}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import heapq
 import re
@@ -15,17 +16,21 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from waypoint.llm.common import filesystem, track
+from waypoint.llm.common import filesystem, holding, lean, track
 from waypoint.session import scratch_path
 
 MARK = "▁"
 #: Code points of a word whose cuts fit a long; rows of a dictionary that workers may hold (some 20 bytes each).
 MAX_WORD, MAX_ROWS = 61, 16_000_000
 CACHE_SIZE = 100_000
+#: Bytes of texts whose words a worker looks up together.
+LOOKUP = 1 << 20
+#: Words that a task groups edges of in memory, some 700 bytes each, before it sorts instead.
+GROUPED = "100000"
 
 
 @dataclass
@@ -118,11 +123,21 @@ def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
+def _lengths(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(head, lengths) by the first three code points of the pieces of three or more."""
+    lengths: dict[str, set[int]] = {}
+    for p in pieces.ranks:
+        if len(p) > 2:
+            lengths.setdefault(p[:3], set()).add(len(p))
+    return F.broadcast(words.sparkSession.createDataFrame([(h, sorted(x)) for h, x in sorted(lengths.items())], "head string, lengths array<int>"))
+
+
 def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, uses, cuts) for the distinct words (columns word, at most 61 code points, and uses) that hold a piece of two or more.
 
-    Substrings of at most the longest piece's length are exploded and equi-joined to the piece table (as
-    many rows as the model has pieces, so it is broadcast). Edges are grouped by word, in the partitioning
+    Substrings of two code points, and longer ones of the lengths that pieces with the same first three have,
+    are exploded and equi-joined to the piece table (as many rows as the model has pieces, so it is broadcast,
+    like the lengths). Edges are grouped by word, in the partitioning
     that made the words distinct, as one number each, and folded in merge order by a higher-order aggregate: an edge between
     two present cuts with exactly one cut between removes that one. Bit k of ``cuts`` is a cut before
     code point k. Where an edge has become possible after its turn, so that one fold may not do,
@@ -132,12 +147,14 @@ def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
     table = F.broadcast(spark.createDataFrame([(p, r, p in late) for p, r in sorted(pieces.ranks.items())], "piece string, rank int, late boolean"))
     n = F.char_length("word")
     starts = words.where(n >= 2).select("word", "uses", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
-    spans = starts.select("word", "uses", "n", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(pieces.longest), F.col("n") - F.col("s")))).alias("l"))
+    starts = starts.withColumn("head", F.substring("word", F.col("s") + 1, F.lit(3))).join(_lengths(words, pieces), "head", "left")
+    lengths = F.concat(F.array(F.lit(2)), F.coalesce("lengths", F.array().cast("array<int>")))
+    spans = starts.select("word", "uses", "n", "s", F.explode(lengths).alias("l")).where(F.col("s") + F.col("l") <= F.col("n"))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("l")))
     # an edge as one number, in merge order, then from the left: rank, start, length, whether it can be late
     packed = ((F.col("rank").cast("long") * 64 + F.col("s")) * 64 + F.col("l")) * 2 + F.col("late").cast("int")
-    edges = spans.join(table, "piece").select("word", "uses", "n", packed.alias("e"))
-    grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.first("uses").alias("uses"), F.sort_array(F.collect_list("e")).alias("packed"))
+    edges = spans.join(table, "piece").select("word", "uses", packed.alias("e"))
+    grouped = edges.groupBy("word", "uses").agg(F.sort_array(F.collect_list("e")).alias("packed"))
 
     def unpacked(e: Column) -> Column:
         s = F.shiftright(e, 7).bitwiseAND(F.lit(63)).cast("int")
@@ -149,7 +166,7 @@ def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
             (e % 2 == 1).alias("late"),
         )
 
-    grouped = grouped.select("word", "uses", "n", F.transform("packed", unpacked).alias("edges"))
+    grouped = grouped.select("word", "uses", n.alias("n"), F.transform("packed", unpacked).alias("edges"))
 
     def possible(cuts: Column, e: Column) -> Column:
         return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
@@ -198,11 +215,14 @@ class Dictionary:
         if not len(self.keys):
             return [None] * len(words)
         own = np.fromiter(map(xxhash.xxh64_intdigest, [w.encode() for w in words], repeat(42)), np.uint64, len(words))
+        order = np.argsort(own)  # neighbouring searches touch neighbouring memory
+        own = own[order]
         at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        start = self.start[at]
-        ends = np.where(self.keys[at] == own, start + self.size[at], -1).tolist()
+        start, ends = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+        start[order] = self.start[at]
+        ends[order] = np.where(self.keys[at] == own, self.start[at] + self.size[at], -1)
         ids = self.ids
-        return [ids[a:b] if b >= 0 else None for a, b in zip(start.tolist(), ends, strict=True)]
+        return [ids[a:b] if b >= 0 else None for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
 
 
 @dataclass
@@ -213,14 +233,10 @@ class Cuts:
     least: int
 
 
-_tables: tuple[tuple[str, int], Dictionary] | None = None
-
-
 def _dictionary(path: str, least: int) -> Dictionary:
     """Words whose uses have at least ``least`` binary digits, kept by the worker while it serves the same dictionary."""
-    global _tables
-    if _tables is None or _tables[0] != (path, least):
-        _tables = None
+
+    def load() -> Dictionary:
         fs, folder = filesystem(path)
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.path.endswith(".parquet")]
         keys, sizes, ids = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], []
@@ -235,10 +251,9 @@ def _dictionary(path: str, least: int) -> Dictionary:
         del keys, sizes
         start = np.cumsum(size, dtype=np.int64) - size
         order = np.argsort(key)
-        _tables = (path, least), Dictionary(key[order], start[order], size[order], b"".join(ids))
-        del key, size, start, order, ids
-        pa.default_memory_pool().release_unused()
-    return _tables[1]
+        return Dictionary(key[order], start[order], size[order], b"".join(ids))
+
+    return holding((path, least), load)
 
 
 class Encoder:
@@ -287,40 +302,47 @@ class Encoder:
         cache.update(zip(words, self.ids_of([mark + w for w in words]), strict=True))
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        lines = text.split("\n") if self.pieces.breaks else [text]
-        split, spaced, plain = [], set(), set()
-        for k, line in enumerate(lines):
-            words = line.split(" ")
-            odd = MARK in line or ("" in words and (len(words) > 1 or not k))
-            if odd:  # several spaces, at an end, or marks: the words come with their marks
-                words = self.find(("" if k else MARK) + line.replace(" ", MARK))
-                plain.update(words)
-            else:
-                spaced.update(words[1:] if k else words)
-                if k and words[0]:
-                    plain.add(words[0])
-            split.append((odd, words))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text; the words of all that are not known yet are looked up together."""
+        split_texts, spaced, plain = [], set(), set()
+        for text in texts:
+            lines = (text.split("\n") if self.pieces.breaks else [text]) if text else []
+            split = []
+            for k, line in enumerate(lines):
+                words = line.split(" ")
+                odd = MARK in line or ("" in words and (len(words) > 1 or not k))
+                if odd:  # several spaces, at an end, or marks: the words come with their marks
+                    words = self.find(("" if k else MARK) + line.replace(" ", MARK))
+                    plain.update(words)
+                else:
+                    spaced.update(words[1:] if k else words)
+                    if k and words[0]:
+                        plain.add(words[0])
+                split.append((odd, words))
+            split_texts.append(split)
         if len(self.spaced) + len(self.plain) > CACHE_SIZE:
             self.spaced, self.plain = {}, {}
         if missed := spaced.difference(self.spaced):
             self.learn(self.spaced, MARK, missed)
         if missed := plain.difference(self.plain):
             self.learn(self.plain, "", missed)
-        by_rest, by_word, out = self.spaced.__getitem__, self.plain.__getitem__, []
-        for k, (odd, words) in enumerate(split):
-            if k:
-                out.append(self.line_feed)
-            if odd:
-                out.extend(map(by_word, words))
-            elif not k:
-                out.extend(map(by_rest, words))
-            else:
-                if words[0]:
-                    out.append(by_word(words[0]))
-                out.extend(map(by_rest, words[1:]))
-        return np.frombuffer(b"".join(out), self.kind).astype(np.int32)
+        by_rest, by_word = self.spaced.__getitem__, self.plain.__getitem__
+        for split in split_texts:
+            out = []
+            for k, (odd, words) in enumerate(split):
+                if k:
+                    out.append(self.line_feed)
+                if odd:
+                    out.extend(map(by_word, words))
+                elif not k:
+                    out.extend(map(by_rest, words))
+                else:
+                    if words[0]:
+                        out.append(by_word(words[0]))
+                    out.extend(map(by_rest, words[1:]))
+            yield np.frombuffer(b"".join(out), self.kind).astype(np.int32)
 
 
 class Decoder:
@@ -341,7 +363,7 @@ class Decoder:
         return raw.decode("utf-8", "replace").encode() if len(ids) else raw
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: str, most: int = LOOKUP) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most about ``most`` bytes of a column, so that what is made of them stays small."""
     sizes = pc.coalesce(pc.binary_length(batch.column(column)), 0).to_pylist()
     lo, total = 0, 0
@@ -353,6 +375,17 @@ def _parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
     yield batch.slice(lo)
 
 
+@contextlib.contextmanager
+def _conf(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut_dictionary(docs: DataFrame, pieces: Pieces, text_col: str = "text", max_rows: int = MAX_ROWS) -> Cuts | None:
     """Ids of all distinct words, in a folder; workers read at most ``max_rows`` of them, those used most.
 
@@ -371,7 +404,8 @@ def cut_dictionary(docs: DataFrame, pieces: Pieces, text_col: str = "text", max_
 
     digits = F.char_length(F.bin("uses")).cast("int")
     rows = cuts.select(F.xxhash64("word").alias("key"), digits.alias("digits"), "word", "cuts")
-    rows.mapInArrow(run, "key bigint, digits int, ids binary").write.parquet(path)
+    with _conf(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", GROUPED):
+        rows.mapInArrow(lean(run), "key bigint, digits int, ids binary").write.parquet(path)
     held, least = 0, 64
     for digits, n in sorted(map(tuple, docs.sparkSession.read.parquet(path).groupBy("digits").count().collect()), reverse=True):
         if held + n > max_rows:
@@ -402,12 +436,12 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", max_rows: i
         encoder = Encoder(pieces, cuts)
         for batch in batches:
             for part in _parts(batch, text_col):
-                own = [encoder.encode(t.as_py()) for t in part.column(text_col)]
+                own = list(encoder.encode_all(part.column(text_col).to_pylist()))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
-    return source.mapInArrow(run, shape)
+    return source.mapInArrow(lean(run), shape)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -440,13 +474,13 @@ def report(docs: DataFrame, model_path: str) -> DataFrame:
         encoder, decoder = Encoder(pieces, cuts), Decoder(pieces)
         for batch in batches:
             rows = []
-            for t in batch.column("text"):
-                text = t.as_py() or ""
-                ids = encoder.encode(text)
-                back = decoder.decode(ids)
-                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
+            for part in _parts(batch, "text"):
+                texts = part.column("text").to_pylist()
+                for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+                    back = decoder.decode(ids)
+                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == (text or "").encode()))
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             made = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    return source.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {REPORT}")
+    return source.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, {REPORT}")
