@@ -36,6 +36,20 @@ def test_passages_are_rebuilt_once(spark, tables, monkeypatch, name):
     assert len(calls) == 1
 
 
+def test_legs_read_features_as_they_lie(spark, tables, monkeypatch):
+    own, plans = passages.legs, []
+
+    def legs(*a):
+        df = own(*a)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(passages, "legs", legs)
+    before = len(spark.catalog.listTables())
+    assert passages.stored_legs(spark, tables).count() > 0 and len(spark.catalog.listTables()) == before
+    assert "Window" in plans[0] and "Exchange hashpartitioning" not in plans[0]
+
+
 def test_rank_of_entities_sorts_a_written_table(rows, monkeypatch):
     seen, own = [], runners.ordinal_rank
     monkeypatch.setattr(runners, "ordinal_rank", lambda df, *a, **k: (seen.append(df), own(df, *a, **k))[1])

@@ -11,10 +11,10 @@ DAY_S = 86400
 
 def seconds_of_day(text: str | Column) -> Column:
     """``HH:MM`` → seconds since midnight. The parts are not range checked."""
-    parts = F.split(F.col(text) if isinstance(text, str) else text, ":", 2)
-    return F.try_element_at(parts, F.lit(1)).try_cast("long") * HOUR_S + F.try_element_at(
-        parts, F.lit(2)
-    ).try_cast("long") * 60
+    text = F.col(text) if isinstance(text, str) else text
+    colon = F.instr(text, ":")
+    rest = F.when(colon > 0, F.substr(text, colon + 1))  # no arrays of parts: this runs twice a passage
+    return F.substring_index(text, ":", 1).try_cast("long") * HOUR_S + rest.try_cast("long") * 60
 
 
 def minutes_of_text(text: str | Column) -> Column:

@@ -35,7 +35,7 @@ def bare_number(text: str | Column) -> Column:
 def bare_text(text: str | Column) -> Column:
     """``A1*`` → ``A1``."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(text.cast("string"), r"\*", "")
+    return F.replace(text.cast("string"), F.lit("*"), F.lit(""))
 
 
 def gender_code(text: str | Column) -> Column:

@@ -1,7 +1,8 @@
 """From clock readings to absolute times.
 
 All windows run over one entity of one edition. (edition, entity, checkpoint) is a key, so such a
-group never exceeds the number of checkpoints, and the windows of a chain share one exchange.
+group never exceeds the number of checkpoints, and the windows of a chain share one exchange. They
+name the entity first, see :func:`of_entity`.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from waypoint.functions.clock import (
     DAY_S,
@@ -22,6 +24,8 @@ from waypoint.operators.joins import join_checked
 
 CLOCK_PATTERN = r"^\d{2}:\d{2}$"
 ENTITY = ["edition", "entity"]
+BY_ENTITY = ["entity", "edition"]
+_START = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$"
 
 
 @dataclass(frozen=True)
@@ -36,6 +40,15 @@ class ClockRules:
     half_day_s: int = 12 * 3600
 
 
+def of_entity() -> WindowSpec:
+    """The passages of one entity of one edition.
+
+    A sort goes by a prefix of the first column and compares whole rows only where that is equal. So the
+    entity comes first: an edition has millions of rows.
+    """
+    return Window.partitionBy(*BY_ENTITY)
+
+
 def sanitize_times(
     df: DataFrame, corrections: DataFrame | None = None, numeric_entities: bool = True
 ) -> DataFrame:
@@ -77,14 +90,18 @@ def sanitize_times(
 
 
 def attach_edition_station(df: DataFrame, editions: DataFrame, stations: DataFrame) -> DataFrame:
-    """Start time of the edition, and name, position and finish flag of the checkpoint."""
+    """Start time of the edition, and name, position and finish flag of the checkpoint.
+
+    Start texts are read once per edition. One that is malformed fails the query when a row has it.
+    """
     start = F.concat_ws(" ", "start_date", "start_clock")
+    text = F.col("start_text")
     starts = editions.select(
         F.col("edition").cast("long").alias("edition"),
         F.when(F.col("start_date").isNotNull() & F.col("start_clock").isNotNull(), start).alias(
             "start_text"
         ),
-    )
+    ).withColumn("_start", F.when(text.rlike(_START), text.try_cast("timestamp_ntz")))
     places = stations.select(
         F.col("edition").cast("long").alias("edition"),
         "checkpoint",
@@ -95,7 +112,8 @@ def attach_edition_station(df: DataFrame, editions: DataFrame, stations: DataFra
     ).where(F.col("edition").isNotNull())
     return (
         join_checked(join_checked(df, starts, ["edition"]), places, ["edition", "checkpoint"])
-        .withColumn("start_at", strict_timestamp(F.col("start_text")))
+        .withColumn("start_at", F.coalesce(F.col("_start"), strict_timestamp(text)))
+        .drop("_start")
     )
 
 
@@ -113,7 +131,7 @@ def _one_per_checkpoint(df: DataFrame) -> DataFrame:
     ties = [F.asc_nulls_last("arrive_text"), F.asc_nulls_last("depart_text")]
     if "_starred" in df.columns:
         ties.insert(0, F.asc("_starred"))
-    seen = F.lag("cp").over(Window.partitionBy(*ENTITY).orderBy("cp", *ties))
+    seen = F.lag("cp").over(of_entity().orderBy("cp", *ties))
     return df.withColumn("_seen", seen).where(F.col("_seen").isNull() | (F.col("_seen") != F.col("cp"))).drop("_seen", "_starred")
 
 
@@ -129,7 +147,7 @@ def rebuild_clock(df: DataFrame, rules: ClockRules = ClockRules()) -> DataFrame:
     earlier arrival reading, then the earlier departure reading, missing ones last.
     """
     df = _one_per_checkpoint(df)
-    order = Window.partitionBy(*ENTITY).orderBy("cp")
+    order = of_entity().orderBy("cp")
     read = F.col("_read_s")
     stepped_back = (F.lag("_read_s", 1, rules.start_s).over(order) - read) > rules.inversion_s
     slip = (

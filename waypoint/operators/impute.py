@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypoint.functions.numbers import clamp, gender_code, ratio
-from waypoint.operators.clock import ENTITY
+from waypoint.operators.clock import of_entity
 from waypoint.operators.intervals import Course
 from waypoint.operators.joins import join_checked
 from waypoint.operators.runners import NOT_FINISHED
@@ -31,7 +31,7 @@ def stop_features(df: DataFrame, course: Course = Course(), ranked: bool = True)
             "stop_min": (F.col("depart_hrs") - F.col("arrive_hrs")) * 60,
         }
     )
-    furthest = F.max("position").over(Window.partitionBy(*ENTITY))
+    furthest = F.max("position").over(of_entity())
     out = out.withColumn(
         "overall_pace",
         F.when(
@@ -62,7 +62,7 @@ def impute_times(
     get a departure; with ``flag_ends_course`` a row flagged ``is_finish`` gets none either.
     """
     arrive, depart, stop = F.col("arrive_hrs"), F.col("depart_hrs"), F.col("_stop")
-    order = Window.partitionBy(*ENTITY).orderBy("cp")
+    order = of_entity().orderBy("cp")
     wants_departure = depart.isNull() & arrive.isNotNull() & (
         F.col("position") < course.finish_cutoff_mi
     )

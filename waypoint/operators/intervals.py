@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waypoint.functions.numbers import finish_block, ratio
-from waypoint.operators.clock import ENTITY
+from waypoint.operators.clock import of_entity
 from waypoint.operators.joins import join_checked
 from waypoint.operators.runners import NOT_FINISHED
 
@@ -27,8 +27,8 @@ def interval_features(df: DataFrame, course: Course = Course()) -> DataFrame:
     The leg starts at the previous recorded departure (arrival if that is all there is); a missing
     previous value counts as 0, also in the middle of a row sequence.
     """
-    order = Window.partitionBy(*ENTITY).orderBy("cp")
-    whole = Window.partitionBy(*ENTITY)
+    order = of_entity().orderBy("cp")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one pass with the rest
 
     def previous(c):
         return F.coalesce(F.lag(c).over(order), F.lit(0))

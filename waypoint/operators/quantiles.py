@@ -133,26 +133,33 @@ def _counts() -> list[Column]:
 
 
 def _first_bins(rows: DataFrame, group: Sequence[str], ranks: Callable[[], Column]) -> DataFrame:
-    cells = rows.select(*group, F.posexplode("_values").alias("_m", "_v")).where("_v is not null")
-    counted = cells.groupBy(*group, "_m", _bin(F.col("_v")).alias("_bin")).agg(*_counts())
+    counted = _cells(rows, group).groupBy(*group, "_m", "_bin").agg(*_counts())
     own = Window.partitionBy(*group, "_m")
     below = own.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumns(
         {"_below": F.coalesce(F.sum("_n").over(below), F.lit(0)), "_total": F.sum("_n").over(own)}
     )
-    return _holding(placed, ranks).select(*group, "_m", *_ENDS)
+    return _holding(placed, ranks).select(*group, "_m", "_bin", *_ENDS)
 
 
-def _values_inside(rows: DataFrame, group: Sequence[str], bins: DataFrame) -> DataFrame:
-    """Values that lie in one of the bins, with the ends of that bin."""
-    per_group = bins.groupBy(*group).agg(F.collect_list(F.struct("_m", *_ENDS)).alias("_bins"))
+def _cells(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """One row per value that is not null, with its metric and the number of its first bin."""
+    cells = rows.select(*group, F.posexplode("_values").alias("_m", "_v")).where("_v is not null")
+    return cells.withColumn("_bin", _bin(F.col("_v")))
 
-    def value(b: Column) -> Column:
-        return F.element_at("_values", b["_m"] + 1)
 
-    hit = F.filter("_bins", lambda b: (value(b) >= b["_lo"]) & (value(b) <= b["_hi"]))
-    found = F.transform(hit, lambda b: F.struct(value(b).alias("_v"), *[b[c].alias(c) for c in ("_m", *_ENDS)]))
-    return match_null_safe(rows, per_group, group).select(*group, F.inline(found))
+def _values_inside(rows: DataFrame, group: Sequence[str], bins: DataFrame) -> DataFrame:
+    """Values that lie in one of the bins, with the ends of that bin.
+
+    A value looks up the bins cut from its first one, instead of going through all bins of its group.
+    """
+    keys = [*group, "_m", "_bin"]
+    known = bins.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *_ENDS)
+    same = (F.col("_m") == F.col("_r__m")) & (F.col("_bin") == F.col("_r__bin"))
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    return _cells(rows, group).join(known, same & inside).select(*keys, "_v", *_ENDS)
 
 
 def _finer_bins(
@@ -164,14 +171,14 @@ def _finer_bins(
     cells = _values_inside(rows, group, open_bins).withColumnsRenamed(
         {"_lo": "_from", "_hi": "_to", "_n": "_all", "_below": "_base"}
     )
-    counted = cells.groupBy(*group, "_m", "_from", "_base", "_total", part.alias("_part")).agg(*_counts())
+    counted = cells.groupBy(*group, "_m", "_bin", "_from", "_base", "_total", part.alias("_part")).agg(*_counts())
     below = (
         Window.partitionBy(*group, "_m", "_from")
         .orderBy("_part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = counted.withColumn("_below", F.col("_base") + F.coalesce(F.sum("_n").over(below), F.lit(0)))
-    return _holding(placed, ranks).select(*group, "_m", *_ENDS).unionByName(done)
+    return _holding(placed, ranks).select(*group, "_m", "_bin", *_ENDS).unionByName(done)
 
 
 def _counted(rows: DataFrame, group: Sequence[str], bins: DataFrame) -> DataFrame:

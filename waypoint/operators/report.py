@@ -34,7 +34,10 @@ STATION = ["edition", "checkpoint"]
 
 def station_list(legs: DataFrame) -> DataFrame:
     """Checkpoints met in an edition with their name, number and position."""
-    return legs.groupBy(*STATION).agg(
+    # A greatest text is found by sorting the rows, so those that differ are told apart by hashing first. They
+    # are counted, as Spark would leave out a bare ``distinct`` before a maximum.
+    known = legs.groupBy(*STATION, "place", "cp", "position").agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    return known.groupBy(*STATION).agg(
         F.max("place").alias("place"), F.max("cp").alias("cp"), F.max("position").alias("position")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waypoint.functions.clock import lenient_timestamp
 from waypoint.functions.numbers import as_column, bare_number, bare_text, checkpoint_label, trailing_number
-from waypoint.operators.clock import ENTITY
+from waypoint.operators.clock import BY_ENTITY, ENTITY, of_entity
 from waypoint.operators.joins import join_checked, match_null_safe
 from waypoint.operators.ordered import ordinal_rank
 from waypoint.operators.reshape import null_column
@@ -58,7 +58,7 @@ def attach_results(
 def _one_per_key(results: DataFrame, values: Sequence[str]) -> DataFrame:
     """The results by key; the values of a key that occurs more than once raise an error."""
     known = results.where(F.col("edition").isNotNull() & F.col("entity").isNotNull())
-    counted = known.groupBy(*ENTITY).agg(
+    counted = known.groupBy(*BY_ENTITY).agg(  # partitioned as the passages are
         F.count(F.lit(1)).alias("_times"), *[F.first(c).alias(c) for c in values]
     )
     key = F.concat_ws(" ", *[F.col(c).cast("string") for c in ENTITY])
@@ -79,7 +79,7 @@ def with_summary(df: DataFrame, use_departures: bool = True) -> DataFrame:
     Finished means that an official rank exists. A window over the entity instead of an aggregate
     joined back: the rows are already together after the clock operators.
     """
-    whole = Window.partitionBy(*ENTITY)
+    whole = of_entity()
     latest = F.greatest("arrive_hrs", "depart_hrs") if use_departures else F.col("arrive_hrs")
     rank = F.max("official_rank").over(whole)
     finished = rank.isNotNull()

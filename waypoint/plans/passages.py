@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from waypoint.operators import clock, impute, intervals, reshape, runners
 from waypoint.operators.course import station_crosswalk
-from waypoint.operators.clock import ENTITY
+from waypoint.operators.clock import BY_ENTITY
 from waypoint.operators.model import by_station_median, station_medians
-from waypoint.session import scratch_path
+from waypoint.session import scratch_path, written
 from waypoint.sources.buckets import Buckets
 from waypoint.sources.tables import write_table
 
@@ -37,9 +37,12 @@ def _clock_text(minutes: str) -> str:
 
 def raw_passages(spark: SparkSession, sf: str) -> DataFrame:
     """One row per order and line number with its two clock texts."""
-    # Line items repeat per (order, line): combined map-side before anything is shuffled.
+    # Line items repeat per (order, line), but seldom in one file: combining them before the exchange would
+    # hold millions of keys a task for nothing. Laid out by the order, they also meet the orders as they lie.
     lines = (
         table(spark, sf, "lineitem")
+        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        .repartition("l_orderkey")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"))
         .selectExpr("l_orderkey AS k", "int(l_linenumber) AS cp", "pk", "sk")
@@ -90,8 +93,9 @@ def editions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def stations(spark: SparkSession, sf: str) -> DataFrame:
-    return reshape.lay_out_stations(editions(spark, sf), CHECKPOINTS, SPACING_MI)
+def stations(spark: SparkSession, sf: str, years: DataFrame | None = None) -> DataFrame:
+    known = editions(spark, sf) if years is None else years
+    return reshape.lay_out_stations(known, CHECKPOINTS, SPACING_MI)
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,8 +135,14 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
     return clock.sanitize_times(raw_passages(spark, sf), corrections(spark, sf))
 
 
+def _place(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    years = written(editions(spark, sf), "editions")  # from all orders, read for both sides
+    return clock.attach_edition_station(rows, years, stations(spark, sf, years))
+
+
 def placed(spark: SparkSession, sf: str) -> DataFrame:
-    return clock.attach_edition_station(clean(spark, sf), editions(spark, sf), stations(spark, sf))
+    """The cleaned passages with start and station, which they get after the exchange by entity, not before."""
+    return _place(clean(spark, sf).repartition(*BY_ENTITY), spark, sf)
 
 
 def rebuilt(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +172,7 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def _filled(features: DataFrame) -> DataFrame:
-    medians = station_medians(features, COURSE)
+    medians = written(station_medians(features, COURSE), "medians")  # read for each checkpoint and for all
     return impute.impute_times(features, by_station_median(medians), COURSE)
 
 
@@ -181,16 +191,15 @@ def imputed(spark: SparkSession, sf: str, features: DataFrame | None = None) ->
 
 def bucketed_splits(spark: SparkSession, sf: str, store: Buckets) -> DataFrame:
     """``splits`` from cleaned passages and results in buckets of the entity: one exchange each, none after."""
-    rows = store.keep(clean(spark, sf), ENTITY, ["cp"])
-    found = store.keep(results(spark, sf), ENTITY)
-    placed_rows = clock.attach_edition_station(rows, editions(spark, sf), stations(spark, sf))
-    timed = clock.rebuild_departures(clock.rebuild_clock(placed_rows))
+    rows = store.keep(clean(spark, sf), BY_ENTITY, ["cp"])
+    found = store.keep(results(spark, sf), BY_ENTITY)
+    timed = clock.rebuild_departures(clock.rebuild_clock(_place(rows, spark, sf)))
     return runners.with_summary(runners.attach_results(timed, found))
 
 
 def bucketed_legs(spark: SparkSession, sf: str, store: Buckets) -> DataFrame:
     """``legs`` with the features in buckets too: their windows read them as they lie."""
-    features = store.keep(_features(bucketed_splits(spark, sf, store)), ENTITY, ["cp"])
+    features = store.keep(_features(bucketed_splits(spark, sf, store)), BY_ENTITY, ["cp"])
     return intervals.interval_features(_filled(features), COURSE)
 
 
@@ -235,7 +244,10 @@ LEG_COLUMNS = [
 
 
 def stored_legs(spark: SparkSession, sf: str, *more: str) -> DataFrame:
-    return stored(legs(spark, sf).select(*LEG_COLUMNS, *more), "legs")
+    """The legs, written once. The features lie in buckets meanwhile, so filling and legs need no exchange."""
+    with Buckets(spark) as store:
+        features = store.keep(_features(splits(spark, sf)), BY_ENTITY, None)  # they come in order of the entity
+        return stored(legs(spark, sf, features).select(*LEG_COLUMNS, *more), "legs")
 
 
 def stored_legs_and_ratios(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from waypoint.operators import report
-from waypoint.operators.clock import ENTITY
+from waypoint.operators.clock import BY_ENTITY
 from waypoint.plans import passages as p
 from waypoint.session import scratch_scope
 from waypoint.sources.buckets import Buckets
@@ -30,7 +30,7 @@ def write_reports(spark: SparkSession, sf: str, out: str) -> list[str]:
     end, or when a section fails, these and whatever the operators wrote for themselves is deleted.
     """
     with scratch_scope(spark), Buckets(spark) as store:
-        legs = store.keep(p.bucketed_legs(spark, sf, store).select(*p.LEG_COLUMNS), ENTITY, ["cp"])
+        legs = store.keep(p.bucketed_legs(spark, sf, store).select(*p.LEG_COLUMNS), BY_ENTITY, ["cp"])
         sections = leg_sections(legs)
         for name, df in sections.items():
             df.write.mode("overwrite").parquet(f"{out}/{name}")

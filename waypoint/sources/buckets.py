@@ -29,17 +29,15 @@ class Buckets:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._tables: list[tuple[str, str]] = []
 
-    def keep(self, df: DataFrame, keys: Sequence[str], sort: Sequence[str] = ()) -> DataFrame:
+    def keep(self, df: DataFrame, keys: Sequence[str], sort: Sequence[str] | None = ()) -> DataFrame:
+        """``sort=None`` leaves the rows of a bucket in the order they come in, which costs no comparison."""
         name, path = f"waypoint_{uuid.uuid4().hex}", scratch_path(self.spark, "buckets")
         self._tables.append((name, path))
-        (
-            df.repartition(self.buckets, *keys)  # left out by Spark where the rows lie so already
-            .write.format("parquet")
-            .bucketBy(self.buckets, *keys)
-            .sortBy(*keys, *sort)
-            .option("path", path)
-            .saveAsTable(name)
-        )
+        rows = df.repartition(self.buckets, *keys)  # left out by Spark where the rows lie so already
+        writer = rows.write.format("parquet").bucketBy(self.buckets, *keys)
+        if sort is not None:
+            writer = writer.sortBy(*keys, *sort)
+        writer.option("path", path).saveAsTable(name)
         return self.spark.table(name)
 
     def close(self) -> None:
