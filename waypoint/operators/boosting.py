@@ -3,11 +3,12 @@
 Rows become byte codes: up to 255 quantile bins per feature and one code for missing values. They are
 packed into blocks, chosen and ordered by a hash of the row key, so neither partitioning nor a retried
 task changes a model. Trees grow level by level. Per level each block is reduced to counts and
-residual sums per (node, feature, bin). The rows learned from are a bounded sample; up to
-``in_task_rows`` of them their blocks, some 25 bytes a row, grow all trees inside one task. Beyond that
-only the sums, whose size depends on depth and bins alone, meet on the driver once per level. A worker
-then keeps the residuals of its blocks between levels; where they are missing, after the loss of an
-executor say, it derives them from the trees grown so far.
+residual sums per (node, feature, bin). Every labelled row is learned from. Up to ``in_task_rows`` of
+them their blocks, some 25 bytes a row, grow all trees inside one task. Beyond that only the sums, whose
+size depends on depth and bins alone, meet on the driver once per level, and codes with residuals, some
+16 bytes a row, are a cached table of which each tree makes the next. A part that is lost with an executor
+is made anew from the last one written. There residuals are multiples of a grain so small that their sums
+are exact in any order; so only the smaller child of each split is counted, its sibling is the rest.
 
 A fitted model is a table of nodes. It is scored over arrays of these nodes, a batch of rows at a time,
 so a table that was saved and read again gives the same predictions.
@@ -16,25 +17,32 @@ so a table that was saved and read again gives the same predictions.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waypoint.functions.numbers import portable_hash
-from waypoint.session import scratch_path, ship_code
+from waypoint.operators.quantiles import order_statistics
+from waypoint.session import delete, scratch_path, shared_folder, ship_code
 
 MISSING = 255
+CHUNK = 32_768
+SUMMARY_ROWS = 1_000_000
+#: Trees after which codes and residuals are written, so a lost part needs no more than these; blocks and tasks
+#: beyond which there are more tasks, and beyond which their sums meet in the cluster first.
+KEPT_TREES, TASK_BLOCKS, DRIVER_TASKS = 20, 32, 64
 NODES = "tree int, node int, feature string, threshold double, missing_left boolean, left int, right int, value double, n long"
 
 
 @dataclass(frozen=True)
 class Boosting:
-    """``max_rows`` bounds the rows learned from; of more, those with the least hashes of their key are taken.
+    """Every labelled row is learned from, unless a caller sets ``max_rows``: see ``sampled``.
 
     Up to ``in_task_rows`` of them grow their trees in one task, without a job per level.
     """
@@ -43,7 +51,7 @@ class Boosting:
     step: float = 0.05
     depth: int = 6
     min_rows: int = 20
-    max_rows: int = 1_000_000
+    max_rows: int | None = None
     block_rows: int = 250_000
     in_task_rows: int = 1_000_000
 
@@ -51,8 +59,9 @@ class Boosting:
 class Tree:
     """Nodes in heap order: the root is 1, the children of k are 2k and 2k + 1."""
 
-    def __init__(self, depth: int):
+    def __init__(self, depth: int, grain: float = 0.0):
         size = 2 ** (depth + 1)
+        self.grain = grain  # leaf values are multiples of it
         self.feature = np.full(size, -1)  # -1: no split
         self.bin = np.zeros(size, np.int64)
         self.missing_left = np.zeros(size, bool)
@@ -61,13 +70,21 @@ class Tree:
 
     def step_down(self, codes: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Nodes one level below; rows at a leaf stay."""
-        feature = self.feature[node]
-        code = codes[np.maximum(feature, 0), np.arange(len(node))]
-        left = np.where(code == MISSING, self.missing_left[node], code <= self.bin[node])
-        return np.where(feature >= 0, 2 * node + 1 - left, node)
+        rows = codes.shape[1]
+        start = np.maximum(self.feature, 0) * rows
+        place = np.arange(len(self.feature))[:, None]
+        left = np.arange(256) <= self.bin[:, None]
+        left[:, MISSING] = self.missing_left
+        child = np.where(self.feature[:, None] >= 0, 2 * place + 1 - left, place).ravel()
+        flat, out = codes.ravel(), np.empty_like(node)
+        for k in range(0, rows, CHUNK):  # what a chunk needs stays in the cache
+            own = node[k : k + CHUNK]
+            code = flat.take(start.take(own) + np.arange(k, k + len(own)))
+            out[k : k + CHUNK] = child.take(own * 256 + code)
+        return out
 
     def leaf_values(self, step: float) -> np.ndarray:
-        return step * self.total / np.maximum(self.n, 1)
+        return _grained(step * self.total / np.maximum(self.n, 1), self.grain)
 
 
 class Block:
@@ -105,6 +122,10 @@ class Block:
         return out
 
 
+def _grained(x: np.ndarray, grain: float) -> np.ndarray:
+    return np.rint(x / grain) * grain if grain else x
+
+
 def split(tree: Tree, level: int, sums: np.ndarray, params: Boosting) -> bool:
     """Give each node of the level its best split, if one gains; says whether any did.
 
@@ -137,8 +158,8 @@ def split(tree: Tree, level: int, sums: np.ndarray, params: Boosting) -> bool:
     return any_split
 
 
-def grow(sums_of: Callable[[Tree, int], np.ndarray], params: Boosting) -> Tree:
-    tree = Tree(params.depth)
+def grow(sums_of: Callable[[Tree, int], np.ndarray], params: Boosting, grain: float = 0.0) -> Tree:
+    tree = Tree(params.depth, grain)
     for level in range(params.depth):
         sums = sums_of(tree, level)
         if not level:
@@ -181,28 +202,42 @@ def _packed(names: Sequence[str], edges: Sequence[np.ndarray]):
                 codes.append(np.where(np.isnan(x), MISSING, np.searchsorted(edge, x)).astype(np.uint8))
             target = np.ascontiguousarray(own["_target"].to_numpy(), float)
             yield pa.RecordBatch.from_pydict(
-                {"block": pa.array([block], pa.int64()), "rows": pa.array([len(target)], pa.int64()), "total": [float(target.sum())], "codes": [np.stack(codes).tobytes()], "target": [target.tobytes()]}
+                {
+                    "block": pa.array([block], pa.int64()),
+                    "rows": pa.array([len(target)], pa.int64()),
+                    "total": [float(target.sum())],
+                    "most": [float(np.abs(target).max())],
+                    "codes": [np.stack(codes).tobytes()],
+                    "target": [target.tobytes()],
+                }
             )
 
     return run
 
 
-def bins(rows: DataFrame, names: Sequence[str], max_rows: int) -> list[np.ndarray]:
+def bins(rows: DataFrame, names: Sequence[str], total: int) -> list[np.ndarray]:
     """Upper ends of the bins per feature: distinct quantiles, the last bin open.
 
-    The summaries are fine enough to be exact for ``max_rows`` rows and as large as that bound allows.
+    Up to ``SUMMARY_ROWS`` of the ``total`` rows summaries hold every value, so they are exact; of more
+    rows the same quantiles are found by bracketed selection, exact as well.
     """
     levels = [k / MISSING for k in range(1, MISSING)]
-    own = [F.percentile_approx(F.nanvl(c, F.lit(None).cast("double")), levels, max_rows).alias(c) for c in names]
-    found = rows.agg(*own).first()
-    return [np.unique(np.array(found[c] or [], float)) for c in names]
+    known = [F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in names]
+    if total <= SUMMARY_ROWS:
+        found = rows.select(*known).agg(*[F.percentile_approx(c, levels, SUMMARY_ROWS).alias(c) for c in names]).first()
+        return [np.unique(np.array(found[c] or [], float)) for c in names]
+    values = order_statistics(rows.select(*known), names, levels)
+    return [np.unique(np.array(values[c], float)) for c in names]
 
 
 def sampled(rows: DataFrame, key: Sequence[str], params: Boosting) -> tuple[DataFrame, int]:
-    """Rows with ``_order``, a hash of the key: all, or those below the hash that leaves ``max_rows``; their number."""
+    """Rows with ``_order``, a hash of the key, and their number.
+
+    All rows, unless the caller set ``max_rows``: then those below the hash that leaves about as many.
+    """
     named = rows.withColumn("_order", portable_hash(*key))
     total = named.count()
-    if total <= params.max_rows:
+    if params.max_rows is None or total <= params.max_rows:
         return named, total
     limit = int(params.max_rows / total * 2**60)
     kept = named.where(F.col("_order") < limit)
@@ -211,19 +246,6 @@ def sampled(rows: DataFrame, key: Sequence[str], params: Boosting) -> tuple[Data
 
 # ---- training ----------------------------------------------------------------------------------
 
-_held: dict[tuple[str, int], Block] = {}
-
-
-def _block_of(run: str, number: int, codes: bytes, target: bytes, base: float) -> Block:
-    """The block with the residuals this worker has, of the present run only."""
-    for other in [k for k in _held if k[0] != run]:
-        del _held[other]
-    if (run, number) not in _held:
-        values = np.frombuffer(target)
-        _held[run, number] = Block(np.frombuffer(codes, np.uint8).reshape(-1, len(values)), values, base)
-    return _held[run, number]
-
-
 def _whole(params: Boosting, base: float, names, edges):
     """Task side, all blocks of a bounded sample: their sums meet where they are, so all trees grow there."""
 
@@ -248,38 +270,126 @@ _NAMES = [part.split()[0] for part in NODES.split(", ")]
 _ARROW = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
 
 
-def _level_sums(run_id: str, params: Boosting, base: float, done, tree: Tree, level: int):
+def _smaller(tree: Tree, level: int) -> np.ndarray:
+    """Nodes of a level that are counted: the root, or of the children of a split the one with fewer rows."""
+    if not level:
+        return np.array([1])
+    left = 2 * (np.flatnonzero(tree.feature[2 ** (level - 1) : 2**level] >= 0) + 2 ** (level - 1))
+    return np.where(tree.n[left] <= tree.n[left + 1], left, left + 1)
+
+
+def _node_sums(codes: np.ndarray, residual: np.ndarray, tree: Tree, level: int, counted: np.ndarray) -> np.ndarray:
+    """Counts and residual sums by (place in ``counted``, feature, code)."""
+    out = np.empty((2, len(counted), len(codes), 256))
+    if level:
+        node = np.ones(len(residual), np.int64)
+        for _ in range(level):
+            node = tree.step_down(codes, node)
+        place = np.full(2 ** (level + 1), -1)
+        place[counted] = 256 * np.arange(len(counted))
+        place = place.take(node)
+        rows = np.flatnonzero(place >= 0)
+        place, residual = place.take(rows), residual.take(rows)
+    for f, code in enumerate(codes):
+        key = place + code.take(rows) if level else code
+        out[0, :, f] = np.bincount(key, minlength=len(counted) * 256).reshape(-1, 256)
+        out[1, :, f] = np.bincount(key, residual, minlength=len(counted) * 256).reshape(-1, 256)
+    return out
+
+
+def _part_sums(tree: Tree, level: int, counted: np.ndarray):
     """Task side: sums of the blocks of a partition for one level, added up."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
         out = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = _block_of(run_id, row["block"], row["codes"], row["target"], base)
-                for finished in done.value[block.trees :]:
-                    block.finish(finished, params)
-                sums = block.sums(tree, level)
-                out = sums if out is None else out + sums
+        for codes, residual in blocks:
+            sums = _node_sums(codes, residual, tree, level, counted)
+            out = sums if out is None else np.add(out, sums, out=out)
         if out is not None:
-            yield pa.RecordBatch.from_pydict({"sums": [out.tobytes()]})
+            yield out
 
     return run
 
 
+def _after(tree: Tree, params: Boosting):
+    """Task side: a block with its residuals after one more tree."""
+    values = tree.leaf_values(params.step)
+
+    def run(block: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        codes, residual = block
+        node = np.ones(len(residual), np.int64)
+        for _ in range(params.depth):
+            node = tree.step_down(codes, node)
+        return codes, residual - values.take(node)
+
+    return run
+
+
+def _opened(base: float, grain: float):
+    """Task side: codes and first residuals of a written block."""
+
+    def run(block: tuple[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        target = np.frombuffer(block[1][1])
+        return np.frombuffer(block[1][0], np.uint8).reshape(-1, len(target)), _grained(target - base, grain)
+
+    return run
+
+
+def _grain(total: int, most: float) -> float:
+    """A power of two whose multiples, that many of at most four times ``most``, add up exactly in a double."""
+    return 2.0 ** (math.frexp(4.0 * total * most)[1] - 52)
+
+
 def _together(blocks: DataFrame, params: Boosting, base: float, features: int) -> list[Tree]:
     """Trees over several blocks: one job per level, whose result is a bounded table of sums per task."""
     spark = blocks.sparkSession
-    run_id, trees = uuid.uuid4().hex, []
-    for _ in range(params.iterations):
-        done = spark.sparkContext.broadcast(trees)
-
-        def sums_of(tree: Tree, level: int, done=done) -> np.ndarray:
-            parts = blocks.mapInArrow(_level_sums(run_id, params, base, done, tree, level), "sums binary")
-            found = [np.frombuffer(r["sums"]) for r in parts.toLocalIterator()]
-            return sum(found).reshape(2, 2**level, features, 256)
-
-        trees = [*trees, grow(sums_of, params)]
-        done.unpersist()
+    sc = spark.sparkContext
+    shared_folder(spark)
+    count, total, most = blocks.agg(F.count("block"), F.sum("rows"), F.max("most")).first()
+    grain = _grain(total, most + abs(base))
+    parts = min(count, max(sc.defaultParallelism, -(-count // TASK_BLOCKS)))
+    dealt = blocks.select("block", "codes", "target").rdd.map(lambda r: (r[0], (bytes(r[1]), bytes(r[2]))))
+    one_by_one = BatchedSerializer(CPickleSerializer(), 1)
+
+    def held(state: RDD, written: bool) -> RDD:
+        state = state._reserialize(one_by_one).persist(StorageLevel.MEMORY_AND_DISK)
+        if written:
+            state.checkpoint()
+        return state
+
+    state, before = held(dealt.partitionBy(parts, int).map(_opened(base, grain), preservesPartitioning=True), True), None
+    trees, files = [], []
+    try:
+        for t in range(1, params.iterations + 1):
+            above = None
+
+            def sums_of(tree: Tree, level: int, state=state) -> np.ndarray:
+                nonlocal above
+                counted = _smaller(tree, level)
+                found = state.mapPartitions(_part_sums(tree, level, counted))
+                own = found.treeReduce(np.add) if parts > DRIVER_TASKS else sum(found.collect())
+                sums = np.zeros((2, 2**level, features, 256))
+                sums[:, counted - 2**level] = own
+                if level:
+                    sums[:, (counted ^ 1) - 2**level] = above[:, counted // 2 - 2 ** (level - 1)] - own
+                above = sums
+                return sums
+
+            trees.append(grow(sums_of, params, grain))
+            if before is not None:
+                before.unpersist()
+            if state.isCheckpointed():
+                files.append(state.getCheckpointFile())
+                for path in files[:-1]:
+                    delete(spark, path)
+                del files[:-1]
+            before, state = state, held(state.map(_after(trees[-1], params), preservesPartitioning=True), t % KEPT_TREES == 0)
+    finally:
+        for kept in (before, state):
+            if kept is not None:
+                kept.unpersist()
+        for path in files:
+            delete(spark, path)
     return trees
 
 
@@ -361,8 +471,8 @@ def _predictions(heaps: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
 def fit(rows: DataFrame, features: Sequence[str], target: str, key: Sequence[str], params: Boosting = Boosting()) -> Trees:
     """Squared-error boosting of ``target`` on the rows where it is known.
 
-    ``key`` identifies a row; its hash orders rows, and chooses them where there are more than
-    ``max_rows``. Tree 0 holds the mean. Rows whose keys are equal count each.
+    ``key`` identifies a row; its hash orders rows and deals them to blocks. Tree 0 holds the mean. Rows
+    whose keys are equal count each.
     """
     spark = rows.sparkSession
     ship_code(spark)
@@ -371,11 +481,11 @@ def fit(rows: DataFrame, features: Sequence[str], target: str, key: Sequence[str
     kept, total = sampled(needed, key, params)
     if not total:
         raise ValueError("no row to learn from")
-    edges = bins(kept, names, params.max_rows)
+    edges = bins(kept, names, total)
     count = -(-total // params.block_rows)
     dealt = kept.select(*names, "_target", "_order", F.pmod("_order", F.lit(count)).alias("_block"))
     packed = dealt.repartition(count, "_block").sortWithinPartitions("_block", "_order", "_target", *names).mapInArrow(
-        _packed(names, edges), "block long, rows long, total double, codes binary, target binary"
+        _packed(names, edges), "block long, rows long, total double, most double, codes binary, target binary"
     )
     path = scratch_path(spark, "training-blocks")
     packed.write.parquet(path)

@@ -40,7 +40,7 @@ class Training:
     seed: int = 42
     holdout_edition: int | None = 2023
     test_fraction: float = 0.2  # used when no edition is held out
-    max_rows: int = 1_000_000  # labelled rows learned from, see ``boosting.Boosting``
+    max_rows: int | None = None  # every labelled row is learned from, unless a caller bounds them
 
 
 def observed_stops(features: DataFrame, course: Course = Course()) -> DataFrame:

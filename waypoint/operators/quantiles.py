@@ -54,6 +54,25 @@ def grouped_quantiles(
     return _picked(rows, group, wanted, bins)
 
 
+def order_statistics(df: DataFrame, metrics: Sequence[str], levels: Sequence[float]) -> dict[str, list[float]]:
+    """Per column the values at ranks ``ceil(level * n)`` of its ``n`` values that are not null, uninterpolated.
+
+    The distinct ones, at most one per level, come to the driver. ``df`` is passed over twice or more.
+    """
+    listed = F.array(*[F.lit(float(p)) for p in levels])
+
+    def ranks() -> Column:
+        return F.transform(listed, lambda p: F.greatest(F.ceil(p * F.col("_total")), F.lit(1)) - 1)
+
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in metrics]).alias("_values"))
+    counted = _counted(rows, [], _brackets(rows, [], ranks, MAX_INSIDE))
+    wanted = F.exists(ranks(), lambda r: _holds(r, F.col("_start"), F.col("_n")))
+    found: dict[str, list[float]] = {c: [] for c in metrics}
+    for r in counted.where(wanted).select("_m", "_v").collect():
+        found[metrics[r["_m"]]].append(r["_v"])
+    return found
+
+
 def smallest(
     df: DataFrame,
     group: Sequence[str],
