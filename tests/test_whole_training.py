@@ -110,3 +110,8 @@ def test_model_nodes_are_of_every_stop(spark, learned):
     got = plans.all_queries()["model_nodes"](spark, "").collect()
     assert whole(learned) and len(got) == 4
     assert {r.n_rows for r in got} == {learned[0][1]} and all(r.children_add_up for r in got)
+
+
+def test_arrival_model_that_meets_the_baseline_saw_every_arrival(spark, learned):
+    got = plans.all_queries()["arrival_model_beats_baseline"](spark, "").collect()
+    assert whole(learned) and [r.n_fit for r in got] == [learned[0][1]]
