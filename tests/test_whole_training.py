@@ -115,3 +115,8 @@ def test_model_nodes_are_of_every_stop(spark, learned):
 def test_arrival_model_that_meets_the_baseline_saw_every_arrival(spark, learned):
     got = plans.all_queries()["arrival_model_beats_baseline"](spark, "").collect()
     assert whole(learned) and [r.n_fit for r in got] == [learned[0][1]]
+
+
+def test_arrival_report_counts_the_rows_its_model_learned_from(spark, learned):
+    got = plans.all_queries()["arrival_model_report"](spark, "").collect()
+    assert whole(learned) and [r.n_fit for r in got] == [learned[0][1]]
