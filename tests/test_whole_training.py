@@ -120,3 +120,9 @@ def test_arrival_model_that_meets_the_baseline_saw_every_arrival(spark, learned)
 def test_arrival_report_counts_the_rows_its_model_learned_from(spark, learned):
     got = plans.all_queries()["arrival_model_report"](spark, "").collect()
     assert whole(learned) and [r.n_fit for r in got] == [learned[0][1]]
+
+
+def test_times_are_filled_by_a_model_of_every_stop(spark, learned):
+    got = plans.all_queries()["impute_with_model"](spark, "").collect()
+    assert whole(learned) and len(got) == 720
+    assert any(r.depart_imputed for r in got) and all(r.depart_within and r.stop_within for r in got if r.depart_imputed)
