@@ -126,3 +126,8 @@ def test_times_are_filled_by_a_model_of_every_stop(spark, learned):
     got = plans.all_queries()["impute_with_model"](spark, "").collect()
     assert whole(learned) and len(got) == 720
     assert any(r.depart_imputed for r in got) and all(r.depart_within and r.stop_within for r in got if r.depart_imputed)
+
+
+def test_residuals_are_of_a_model_of_every_stop_outside_the_holdout(spark, learned):
+    got = plans.all_queries()["model_residuals"](spark, "").collect()
+    assert whole(learned) and {r.cp for r in got} == {1, 2, 3} and all(r.has_model_error for r in got)
