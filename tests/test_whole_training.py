@@ -131,3 +131,8 @@ def test_times_are_filled_by_a_model_of_every_stop(spark, learned):
 def test_residuals_are_of_a_model_of_every_stop_outside_the_holdout(spark, learned):
     got = plans.all_queries()["model_residuals"](spark, "").collect()
     assert whole(learned) and {r.cp for r in got} == {1, 2, 3} and all(r.has_model_error for r in got)
+
+
+def test_stop_report_counts_the_rows_its_model_learned_from(spark, learned):
+    got = plans.all_queries()["stop_model_report"](spark, "").collect()
+    assert whole(learned) and [r.n_fit for r in got] == [learned[0][1]] and got[0].mae_model is not None
